@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.bindings import Tables
 
-MODULES = ("bibliometrics", "citations")
+MODULES = ("bibliometrics", "citations", "claims")
 
 
 def _entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
