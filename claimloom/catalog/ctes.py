@@ -70,7 +70,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                   CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN '10.5555/o' || o_orderkey END AS cited_doi,
                   CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN o_orderkey::VARCHAR END AS cited_pmid,
                   'Order ' || o_orderkey AS cited_title,
-                  CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS cited_year,
+                  CASE WHEN o_orderkey % 4 <> 0 THEN year(o_orderdate) END AS cited_year,
                   coalesce(is_influential, false) AS is_influential
            FROM bibliographic JOIN orders ON cited_work_id = 'O' || o_orderkey""",
         ("bibliographic",),
