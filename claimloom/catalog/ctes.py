@@ -153,7 +153,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
               FROM (
                 SELECT doc_id, lang, source, p, list_filter(string_split(
                          regexp_replace(trim(body, E' \t\n\r\f'), '([.!?])\s+([A-Z(\[])', E'\\1\x01\\2', 'g'), E'\x01'),
-                         x -> x <> '') AS parts
+                         lambda x: x <> '') AS parts
                 FROM (SELECT doc_id, lang, source, unnest(ps) AS body, unnest(generate_series(1, len(ps))) AS p
                       FROM (SELECT *, string_split(text, E'\n') AS ps FROM documents))))""",
         (),

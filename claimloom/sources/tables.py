@@ -85,6 +85,11 @@ def point_lookup(records: DataFrame, key: str, values: list[int]) -> DataFrame:
     return records.filter(F.col(key).isin(values))
 
 
+def keyed_lookup(records: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Records of many keys, given as a one-column table."""
+    return records.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 def apply_release_diff(base: DataFrame, updates: DataFrame, deletes: DataFrame, key: str, order: str) -> DataFrame:
     """Next release: deleted and updated keys leave the base, the last update of a key
     enters. A key that is both updated and deleted is deleted."""
