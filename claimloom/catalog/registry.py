@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.bindings import Tables
 
-MODULES = ("bibliometrics", "citations", "claims", "graphs", "enrichment", "texts")
+MODULES = ("bibliometrics", "citations", "claims", "graphs", "enrichment", "texts", "scores", "monitors")
 
 
 def _entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:

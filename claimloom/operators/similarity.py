@@ -19,7 +19,6 @@ from ..functions.lexicons import (
     EMBEDDING_GATE_THRESHOLD,
     MAX_CANDIDATES,
 )
-from ..functions.text import token_overlap
 from ..functions.values import cosine
 from ..plans.lineage import stage
 from ..plans.skew import broadcast_if_small
@@ -43,7 +42,7 @@ def _packed(corpus: DataFrame, chunks: DataFrame, cells: DataFrame) -> DataFrame
         corpus.join(chunks, "scope", "left")
         .withColumn("chunk", F.pmod(F.xxhash64("match_id"), F.coalesce("n_chunks", F.lit(1))).cast("int"))
         .groupBy("scope", "chunk")
-        .agg(F.collect_list(F.struct("match_id", "tokens")).alias("entries"))
+        .agg(F.collect_list(F.struct(*[c for c in corpus.columns if c != "scope"])).alias("entries"))
         .join(cells, "scope", "left")
         .withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("n_cells", F.lit(1)) - 1)))
         .drop("n_cells")
@@ -55,37 +54,57 @@ def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) ->
     scopes, by score descending, then id; pairs below ``floor`` and self-matches are out.
 
     ``queries(query_id, scope, tokens)``, ``corpus(match_id, scope, tokens)``. A query may
-    appear under several scopes (for instance one per prefix token).
+    appear under several scopes, one per prefix token; both sides then carry ``place``, the
+    1-based place of that token in a token order common to all claims.
     """
     chunks = broadcast_if_small(_parts(corpus, CHUNK, "n_chunks"))
     cells = broadcast_if_small(_parts(queries, CELL, "n_cells"))
-    packed = _packed(corpus, chunks, cells)
+    # small in bytes but heavy to compare: a fixed number of partitions keeps every core
+    # busy where adaptive execution would merge them
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = ["scope", "chunk", "cell"]
+    packed = _packed(corpus, chunks, cells).repartition(parts, *grid)
     asked = (
         queries.join(chunks, "scope", "left")
         .join(cells, "scope", "left")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("n_chunks", F.lit(1)) - 1)))
         .withColumn("cell", F.pmod(F.xxhash64("query_id"), F.coalesce("n_cells", F.lit(1))).cast("int"))
         .drop("n_chunks", "n_cells")
+        .repartition(parts, *grid)
     )
     size = F.size("tokens")
 
     def comparable(entry: Column) -> Column:
-        other = F.size(entry["tokens"])
-        fits = (F.least(size, other) >= F.greatest(size, other) * floor - 1e-9) if floor > 0 else F.lit(True)
-        return (entry["match_id"] != F.col("query_id")) & fits
-
-    scored = F.transform(
+        keep = entry["match_id"] != F.col("query_id")
+        if floor > 0:
+            other = F.size(entry["tokens"])
+            keep = keep & (F.least(size, other) >= F.greatest(size, other) * floor - 1e-9)
+            if "place" in queries.columns:
+                # at the first token both share, everything shared lies at or behind it; a
+                # pair that cannot reach the floor from there fails for good
+                reachable = F.least(size - F.col("place"), other - entry["place"]) + 1
+                keep = keep & (reachable >= (size + other) * (floor / (1 + floor)) - 1e-9)
+        return keep
+
+    counted = F.transform(
         F.filter("entries", comparable),
         lambda e: F.struct(
-            (-token_overlap(F.col("tokens"), e["tokens"])).alias("rank"), e["match_id"].alias("match_id")
+            F.size(F.array_intersect(F.col("tokens"), e["tokens"])).alias("shared"),
+            F.size(e["tokens"]).alias("other"),
+            e["match_id"].alias("match_id"),
         ),
     )
-    passing = F.filter(scored, lambda s: s["rank"] <= -floor)
-    best = F.slice(F.array_sort(passing), 1, k)
-    found = (
-        asked.join(packed, ["scope", "chunk", "cell"])
-        .select("query_id", F.explode(best).alias("m"))
+    # the score is shared / union, and 0 when a side is empty
+    scored = F.transform(
+        counted,
+        lambda e: F.struct(
+            F.coalesce(-F.try_divide(e["shared"], size + e["other"] - e["shared"]), F.lit(0.0)).alias("rank"),
+            e["match_id"].alias("match_id"),
+        ),
     )
+    passing = F.filter(scored, lambda s: s["rank"] <= -floor)
+    best = F.array_compact(F.array(F.array_min(passing))) if k == 1 else F.slice(F.sort_array(passing), 1, k)
+    found = asked.join(packed, grid).select("query_id", F.explode(best).alias("m"))
     if k == 1:
         top = found.groupBy("query_id").agg(F.min("m").alias("m"))
     else:
@@ -115,16 +134,16 @@ def resolve_targets(relations: DataFrame, claims: DataFrame) -> DataFrame:
     with up to three candidates of at least 0.05; without a cited work it is unresolved.
     """
     queries = relations.filter(F.col("cited_work_id").isNotNull()).select(
-        F.col("assertion_id").alias("query_id"), F.col("cited_work_id").alias("scope"), F.array_sort("tokens").alias("tokens")
+        F.col("assertion_id").alias("query_id"), F.col("cited_work_id").alias("scope"), F.sort_array("tokens").alias("tokens")
     )
     corpus = claims.select(
-        F.col("interpretation_id").alias("match_id"), F.col("work_id").alias("scope"), F.array_sort("tokens").alias("tokens")
+        F.col("interpretation_id").alias("match_id"), F.col("work_id").alias("scope"), F.sort_array("tokens").alias("tokens")
     )
     corpus = _smallest_copies(corpus, ["scope", "tokens"], MAX_CANDIDATES)
     top = (
-        grid_matches(queries, corpus, MAX_CANDIDATES, 0.0)
+        grid_matches(stage(queries, "queries"), stage(corpus, "corpus"), MAX_CANDIDATES, 0.0)
         .groupBy(F.col("query_id").alias("assertion_id"))
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "match_id"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "match_id"))).alias("top"))
     )
     joined = relations.select("assertion_id", "cited_work_id").join(top, "assertion_id", "left")
     best = -F.col("top")[0]["rank"]
@@ -161,11 +180,13 @@ def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
     ordered = (
         exploded.join(frequency, "token")
         .groupBy("class_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
     )
     size = F.size("tokens")
     keep = size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1
-    return ordered.withColumn("scope", F.explode(F.slice("tokens", F.lit(1), keep)))
+    return ordered.select(
+        "class_id", "tokens", F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("place", "scope")
+    ).withColumn("place", F.col("place") + 1)
 
 
 def _search(queries: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -257,8 +278,9 @@ def best_matches(
     """
     if "corpus_id" not in claims.columns or vectors is None:
         claims = claims.withColumn("corpus_id", F.lit(None).cast("string"))
-    tokens = claims.filter(F.size("tokens") > 0).select(
-        "claim_id", "corpus_id", F.array_sort("tokens").alias("tokens")
+    tokens = stage(
+        claims.select("claim_id", "corpus_id", F.sort_array("tokens").alias("tokens")).filter(F.size("tokens") > 0),
+        "tokens",
     )
     classes = stage(_classes(tokens), "classes")
     if vectors is not None:
@@ -361,11 +383,11 @@ def align_greedy(gold: DataFrame, predicted: DataFrame, threshold: float = ALIGN
     global order gives.
     """
     most = gold.groupBy("paper").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    queries = gold.select(F.col("gold_id").alias("query_id"), F.col("paper").alias("scope"), F.array_sort("tokens").alias("tokens"))
-    corpus = predicted.select(F.col("pred_id").alias("match_id"), F.col("paper").alias("scope"), F.array_sort("tokens").alias("tokens"))
+    queries = gold.select(F.col("gold_id").alias("query_id"), F.col("paper").alias("scope"), F.sort_array("tokens").alias("tokens"))
+    corpus = predicted.select(F.col("pred_id").alias("match_id"), F.col("paper").alias("scope"), F.sort_array("tokens").alias("tokens"))
     corpus = _smallest_copies(corpus, ["scope", "tokens"], most)
     pairs = stage(
-        grid_matches(queries.filter(F.size("tokens") > 0), corpus, most, threshold).select(
+        grid_matches(stage(queries.filter(F.size("tokens") > 0), "queries"), stage(corpus, "corpus"), most, threshold).select(
             F.col("query_id").alias("gold_id"), F.col("match_id").alias("pred_id"), "score"
         ),
         "pairs",

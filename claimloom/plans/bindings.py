@@ -46,6 +46,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A text table split over all cores even when its file is one row group.
+
+        Text costs far more to read than to move; a table with enough partitions of its own
+        is left as it is.
+        """
+        table = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
 
 # --- works, authors, affiliations, edges ------------------------------------------------
 
@@ -294,7 +304,7 @@ def event_interpretations(t: Tables) -> DataFrame:
 
 def document_sentences(t: Tables) -> DataFrame:
     """Sentences of every document, paragraph by paragraph, whole text."""
-    paragraphs = t.documents.select(
+    paragraphs = t.spread("documents", "doc_id").select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("paragraph", "body")
     )
     body = F.regexp_replace("body", r"(?U)^\s+|\s+$", "")
