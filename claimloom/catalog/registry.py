@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.bindings import Tables
 
-MODULES = ("bibliometrics", "citations", "claims", "graphs", "enrichment", "texts", "scores", "monitors")
+MODULES = (
+    "bibliometrics", "citations", "claims", "graphs", "enrichment", "texts", "scores", "monitors", "sources",
+)
 
 
 def _entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:

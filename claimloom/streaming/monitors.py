@@ -17,11 +17,18 @@ from ..plans.lineage import fresh_path
 
 
 def read_table_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet table as a stream of its files, with the batch table's schema."""
+    """A Parquet table as a stream of its files, with the batch table's schema.
+
+    A stream reads folders; a table that is one file is its folder narrowed to that name.
+    """
     reader = spark.readStream.schema(like.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(location).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", location.getName()).parquet(location.getParent().toString())
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None) -> None:
