@@ -49,6 +49,26 @@ def _packed(corpus: DataFrame, chunks: DataFrame, cells: DataFrame) -> DataFrame
     )
 
 
+def _bounded(rows: DataFrame, floor: float) -> DataFrame:
+    """Sizes that a partner may have for the pair to reach ``floor``.
+
+    A partner's size lies between ``floor`` times and ``1 / floor`` times the own size.
+    With ``place``, the pair is looked at where its first common token is: everything
+    shared lies at or behind it, so the own remainder must cover the overlap that both
+    sizes demand, which caps the partner's size. Rows that no partner fits are dropped.
+    """
+    size = F.size("tokens")
+    rows = rows.withColumn("size", size)
+    if floor <= 0:
+        return rows.withColumns({"lo": F.lit(0), "hi": F.lit(2**31 - 1)})
+    hi = F.floor(size / F.lit(floor) + 1e-9)
+    if "place" in rows.columns:
+        share = floor / (1 + floor)
+        hi = F.least(hi, F.floor((size - F.col("place") + 1) / F.lit(share) - size + 1e-9))
+    out = rows.withColumns({"lo": F.ceil(size * F.lit(floor) - 1e-9).cast("int"), "hi": hi.cast("int")})
+    return out.filter(F.col("lo") <= F.col("hi")).drop("place")
+
+
 def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) -> DataFrame:
     """``(query_id, score, match_id)``: the ``k`` best matches of each query within its
     scopes, by score descending, then id; pairs below ``floor`` and self-matches are out.
@@ -57,6 +77,7 @@ def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) ->
     appear under several scopes, one per prefix token; both sides then carry ``place``, the
     1-based place of that token in a token order common to all claims.
     """
+    queries, corpus = _bounded(queries, floor), _bounded(corpus, floor).drop("lo")
     chunks = broadcast_if_small(_parts(corpus, CHUNK, "n_chunks"))
     cells = broadcast_if_small(_parts(queries, CELL, "n_cells"))
     # small in bytes but heavy to compare: a fixed number of partitions keeps every core
@@ -72,25 +93,18 @@ def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) ->
         .drop("n_chunks", "n_cells")
         .repartition(parts, *grid)
     )
-    size = F.size("tokens")
 
     def comparable(entry: Column) -> Column:
-        keep = entry["match_id"] != F.col("query_id")
-        if floor > 0:
-            other = F.size(entry["tokens"])
-            keep = keep & (F.least(size, other) >= F.greatest(size, other) * floor - 1e-9)
-            if "place" in queries.columns:
-                # at the first token both share, everything shared lies at or behind it; a
-                # pair that cannot reach the floor from there fails for good
-                reachable = F.least(size - F.col("place"), other - entry["place"]) + 1
-                keep = keep & (reachable >= (size + other) * (floor / (1 + floor)) - 1e-9)
-        return keep
+        if floor <= 0:
+            return entry["match_id"] != F.col("query_id")
+        fits = (entry["size"] >= F.col("lo")) & (entry["size"] <= F.col("hi"))
+        return fits & (entry["hi"] >= F.col("size")) & (entry["match_id"] != F.col("query_id"))
 
     counted = F.transform(
         F.filter("entries", comparable),
         lambda e: F.struct(
             F.size(F.array_intersect(F.col("tokens"), e["tokens"])).alias("shared"),
-            F.size(e["tokens"]).alias("other"),
+            e["size"].alias("other"),
             e["match_id"].alias("match_id"),
         ),
     )
@@ -98,7 +112,7 @@ def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) ->
     scored = F.transform(
         counted,
         lambda e: F.struct(
-            F.coalesce(-F.try_divide(e["shared"], size + e["other"] - e["shared"]), F.lit(0.0)).alias("rank"),
+            F.coalesce(-F.try_divide(e["shared"], F.col("size") + e["other"] - e["shared"]), F.lit(0.0)).alias("rank"),
             e["match_id"].alias("match_id"),
         ),
     )
