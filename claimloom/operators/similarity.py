@@ -182,20 +182,24 @@ def resolve_targets(relations: DataFrame, claims: DataFrame) -> DataFrame:
 # --- best match over all claims --------------------------------------------------------------------
 
 
-def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Classes once per prefix token, rarest tokens first.
-
-    Two sets with overlap of at least t share a token among the first
-    ``size - ceil(t * size) + 1`` tokens of each under any fixed token order, so joining on
-    those tokens misses nothing, and ordering by frequency keeps the join keys rare.
-    """
+def _rarest_first(classes: DataFrame) -> DataFrame:
+    """``(class_id, tokens)`` with each class's tokens ordered by frequency, then text."""
     exploded = classes.select("class_id", F.explode("tokens").alias("token"))
     frequency = broadcast_if_small(exploded.groupBy("token").agg(F.count("*").alias("df")))
-    ordered = (
+    return (
         exploded.join(frequency, "token")
         .groupBy("class_id")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
     )
+
+
+def _prefixes(ordered: DataFrame, threshold: float) -> DataFrame:
+    """Classes once per prefix token.
+
+    Two sets with overlap of at least t share a token among the first
+    ``size - ceil(t * size) + 1`` tokens of each under any fixed token order, so joining on
+    those tokens misses nothing, and ordering by frequency keeps the join keys rare.
+    """
     size = F.size("tokens")
     keep = size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1
     return ordered.select(
@@ -203,10 +207,10 @@ def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
     ).withColumn("place", F.col("place") + 1)
 
 
-def _search(queries: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
+def _search(queries: DataFrame, ordered: DataFrame, threshold: float, k: int) -> DataFrame:
     """Top ``k`` classes at or above the threshold for the query classes."""
-    indexed = stage(_prefixes(classes, threshold), "prefixes")
-    asked = indexed.join(queries.select("class_id"), "class_id", "left_semi")
+    indexed = _prefixes(ordered, threshold)
+    asked = _prefixes(ordered.join(queries.select("class_id"), "class_id", "left_semi"), threshold)
     return grid_matches(
         asked.withColumnRenamed("class_id", "query_id"), indexed.withColumnRenamed("class_id", "match_id"), k, threshold
     )
@@ -256,9 +260,10 @@ def _best_allowed(classes: DataFrame, threshold: float, vectors: DataFrame, firs
     """Best match whose papers pass the gate; a query whose ``k`` best are all closed asks
     for eight times more until it has one or runs out."""
     papers = classes.select("class_id", "corpus_id")
+    ordered = stage(_rarest_first(classes), "ordered")
     pending, k, found = classes.select("class_id"), first_k, None
     while True:
-        top = stage(_search(pending, classes, threshold, k), "top")
+        top = stage(_search(pending, ordered, threshold, k), "top")
         pairs = top.join(
             papers.select(F.col("class_id").alias("query_id"), F.col("corpus_id").alias("left_corpus_id")), "query_id"
         ).join(papers.select(F.col("class_id").alias("match_id"), F.col("corpus_id").alias("right_corpus_id")), "match_id")
@@ -300,10 +305,11 @@ def best_matches(
     if vectors is not None:
         outside = _best_allowed(classes, threshold, vectors)
     else:
+        ordered = stage(_rarest_first(classes), "ordered")
         pending = classes.filter(F.col("second").isNull()).select("class_id")
         outside = None
         for level in (*[v for v in levels if v > threshold], threshold):
-            step = stage(_search(pending, classes, level, 1), "best")
+            step = stage(_search(pending, ordered, level, 1), "best")
             outside = step if outside is None else outside.unionByName(step)
             pending = pending.join(step.select(F.col("query_id").alias("class_id")), "class_id", "left_anti")
     per_class = classes.join(outside.withColumnRenamed("query_id", "class_id"), "class_id", "left")
