@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding
+from . import exact_dedup, language_id, mixing, ngram_lm, quality, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op2_shard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_ngram_score(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, folder, "documents"))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_languages(_table(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"), digest_all=True)
 
@@ -35,7 +43,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_shard, op6_exact_dedup, op9_quality_rules)
+    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op6_exact_dedup, op9_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
