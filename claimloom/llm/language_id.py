@@ -46,6 +46,8 @@ def features(text: str) -> np.ndarray:
             out += np.bincount(mixed[:whole] % np.uint32(BUCKETS), minlength=BUCKETS)
     return out
 
+_EXAMPLE = {"doc_id": "string", "lang": "string", "whole": "boolean", "ids": "array<int>", "counts": "array<long>"}
+
 
 @dataclass
 class Model:
@@ -70,16 +72,16 @@ class Model:
         return self.languages[best], float(chance[best]), bool(chance[best] >= self.threshold)
 
 
-def _examples(text: str, doc_id: object) -> Iterator[np.ndarray]:
-    """Features of the whole text and of some short runs of its words, the same on every run."""
-    yield features(text)
+def _examples(text: str, doc_id: object) -> Iterator[tuple[bool, np.ndarray]]:
+    """Features of the whole text (true) and of some short runs of its words, the same on every run."""
+    yield True, features(text)
     words = text.split()
     for k, length in enumerate((1, 3, 8, 24)):
         if len(words) > 2 * length:
             at = zlib.crc32(f"{doc_id}/{k}".encode()) % (len(words) - length)
             run = " ".join(words[at : at + length])
             if _LETTER.search(run):
-                yield features(run)
+                yield False, features(run)
 
 
 def training_examples(docs: DataFrame, sample: int) -> pd.DataFrame:
@@ -93,33 +95,34 @@ def training_examples(docs: DataFrame, sample: int) -> pd.DataFrame:
     luck = F.xxhash64("doc_id")
     chosen = usable.select(luck.alias("luck")).orderBy("luck").limit(sample).agg(F.max("luck")).first()[0]
     if chosen is None:
-        return pd.DataFrame({"doc_id": [], "lang": [], "ids": [], "counts": []})
+        return pd.DataFrame({c: [] for c in _EXAMPLE})
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for doc_id, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
                 if not _LETTER.search(text):
                     continue
-                for counts in _examples(text, doc_id):
+                for whole, counts in _examples(text, doc_id):
                     used = np.flatnonzero(counts)
-                    for column, value in zip(rows, (str(doc_id), lang, used, counts[used]), strict=True):
+                    for column, value in zip(rows, (str(doc_id), lang, whole, used, counts[used]), strict=True):
                         column.append(value)
-            types = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "lang", "ids", "counts"])
+            types = (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], list(_EXAMPLE))
 
     near = usable.filter(luck <= chosen)
-    got = near.mapInArrow(extract, "doc_id string, lang string, ids array<int>, counts array<long>").toPandas()
+    got = near.mapInArrow(extract, ", ".join(f"{k} {v}" for k, v in _EXAMPLE.items())).toPandas()
     # rows that share the last id could exceed the sample; ties are all taken
     return got.assign(size=got["counts"].map(sum)).sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
 
 
-def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float = 6.0, batch: int = 64, seed: int = 5, lost: float = 0.001) -> Model:
+def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float = 1.0, batch: int = 64, seed: int = 5, wrong: float = 0.01, lost: float = 0.001) -> Model:
     """Fit embedding and softmax by stochastic gradient descent, then calibrate on a fifth left out.
 
-    The sharpness (inverse temperature) minimises log loss on the fifth; the threshold is the
-    probability that all but the share ``lost`` of its examples reach for their true language,
-    and at most one half, so that a clear majority is never rejected.
+    The sharpness (inverse temperature) minimises log loss on the fifth. The threshold is the
+    smallest probability above which at most the share ``wrong`` of its examples, short runs
+    included, get a wrong language, but never more than what all but the share ``lost`` of its whole
+    texts reach, so that clean documents stay.
     """
     languages = sorted(examples["lang"].unique())
     if len(languages) < 2 or len(examples) < 10:
@@ -165,8 +168,12 @@ def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float
 
     loss = {s: -np.log(np.maximum(chances(s)[np.arange(len(truth)), truth], 1e-12)).mean() for s in 2.0 ** np.arange(-3, 5, 0.5)}
     sharpness = min(loss, key=lambda s: (loss[s], s))
-    true = np.sort(chances(sharpness)[np.arange(len(truth)), truth])
-    threshold = min(0.5, float(true[int(lost * len(true))]))
+    found = chances(sharpness)
+    order = np.argsort(-found.max(axis=1), kind="stable")
+    sure, missed = found.max(axis=1)[order], np.cumsum(found.argmax(axis=1)[order] != truth[order])
+    fine = np.flatnonzero(missed <= wrong * np.arange(1, len(sure) + 1))
+    whole = np.sort(found.max(axis=1)[examples["whole"].to_numpy(bool)[test]])
+    threshold = min(float(sure[fine[-1]]) if len(fine) else 1.0, float(whole[int(lost * len(whole))]) if len(whole) else 0.0)
     return Model(languages, table, bias.astype(np.float64), float(sharpness), threshold)
 
 
