@@ -122,7 +122,7 @@ def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float
     The sharpness (inverse temperature) minimises log loss on the fifth. The threshold is the
     smallest probability above which at most the share ``wrong`` of its examples, short runs
     included, get a wrong language, but never more than what all but the share ``lost`` of its whole
-    texts reach, so that clean documents stay.
+    texts reach, nor than one half: a language likelier than all others together is not rejected.
     """
     languages = sorted(examples["lang"].unique())
     if len(languages) < 2 or len(examples) < 10:
@@ -173,7 +173,7 @@ def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float
     sure, missed = found.max(axis=1)[order], np.cumsum(found.argmax(axis=1)[order] != truth[order])
     fine = np.flatnonzero(missed <= wrong * np.arange(1, len(sure) + 1))
     whole = np.sort(found.max(axis=1)[examples["whole"].to_numpy(bool)[test]])
-    threshold = min(float(sure[fine[-1]]) if len(fine) else 1.0, float(whole[int(lost * len(whole))]) if len(whole) else 0.0)
+    threshold = min(float(sure[fine[-1]]) if len(fine) else 1.0, float(whole[int(lost * len(whole))]) if len(whole) else 0.0, 0.5)
     return Model(languages, table, bias.astype(np.float64), float(sharpness), threshold)
 
 
