@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_lm, quality, sharding
+from . import bpe, exact_dedup, language_id, mixing, ngram_lm, quality, sharding, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,13 +38,26 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"), digest_all=True)
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_archive(_table(spark, folder, "pages"))
+
+
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode_documents(_table(spark, folder, "documents"), tokenizer, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     trusted = _table(spark, folder, "labels").filter("quality = 1 and toxic = 0")
     return quality.rate_quality(_table(spark, folder, "documents"), trusted)
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_archive(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op6_exact_dedup, op9_quality_rules)
+    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op6_exact_dedup, op7_warc, op8_bpe, op9_quality_rules, op10_token_files)
 }
 
 ORACLES: dict[str, str] = {
