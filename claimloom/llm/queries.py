@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, ngram_lm, quality, sharding, token_files, warc
+from . import bpe, exact_dedup, jaccard_join, language_id, mixing, ngram_lm, quality, sharding, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, folder, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"), digest_all=True)
 
@@ -57,7 +61,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op6_exact_dedup, op7_warc, op8_bpe, op9_quality_rules, op10_token_files)
+    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_warc, op8_bpe, op9_quality_rules, op10_token_files)
 }
 
 ORACLES: dict[str, str] = {
