@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stage
 from .common import checked_broadcast, lower_ascii
 
-_TEXT = F.coalesce(F.col("text"), F.lit(""))
+
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
 def _refined(docs: DataFrame, prefix: int) -> tuple[DataFrame, DataFrame]:
@@ -17,18 +19,18 @@ def _refined(docs: DataFrame, prefix: int) -> tuple[DataFrame, DataFrame]:
     Lower-casing A-Z changes no length, so lengths need no text work; the prefix is hashed only
     for lengths that occur twice.
     """
-    length = F.octet_length(_TEXT)
+    length = F.octet_length(_text())
     lengths = stage(docs.groupBy(length.alias("length")).count().filter("count > 1").select("length"), "lengths")
-    head = F.xxhash64(F.col("length"), lower_ascii(F.substring(_TEXT, 1, prefix)))
+    head = F.xxhash64(F.col("length"), lower_ascii(F.substring(_text(), 1, prefix)))
     repeated = (
-        docs.select(_TEXT.alias("text"), length.alias("length"))
+        docs.select(_text().alias("text"), length.alias("length"))
         .join(checked_broadcast(lengths), "length", "left_semi")
         .groupBy(head.alias("prefix_key"))
         .count()
         .filter("count > 1")
         .select("prefix_key")
     )
-    key = F.xxhash64(length, lower_ascii(F.substring(_TEXT, 1, prefix)))
+    key = F.xxhash64(length, lower_ascii(F.substring(_text(), 1, prefix)))
     return docs.withColumn("prefix_key", key), stage(repeated, "prefixes")
 
 
@@ -45,7 +47,7 @@ def exact_duplicates(docs: DataFrame, prefix: int = 64, digest_all: bool = False
     no rows. Other columns are ignored.
     """
     rows, repeated = _refined(docs.select("doc_id", "text"), prefix)
-    full = F.sha2(lower_ascii(_TEXT), 256)
+    full = F.sha2(lower_ascii(_text()), 256)
     keys = repeated.withColumn("shared", F.lit(True))
     if digest_all:  # hashed before the join, so no text moves
         flagged = rows.select("doc_id", "prefix_key", full.alias("digest")).join(keys, "prefix_key", "left")
@@ -80,7 +82,7 @@ def drop_duplicates(docs: DataFrame, prefix: int = 64) -> DataFrame:
     same id and text are told apart by nothing, so any one of them stays.
     """
     marked, repeated = _refined(docs.select("doc_id", "text"), prefix)
-    full = F.sha2(lower_ascii(_TEXT), 256)
+    full = F.sha2(lower_ascii(_text()), 256)
     keys = repeated.withColumn("shared", F.lit(True))
     pairs = stage(
         marked.join(checked_broadcast(keys), "prefix_key", "left_semi").groupBy("doc_id", full.alias("digest")).agg(F.count("*").alias("n")),
@@ -91,7 +93,7 @@ def drop_duplicates(docs: DataFrame, prefix: int = 64) -> DataFrame:
         pairs.join(best, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_lose_id"), F.col("digest").alias("_lose_digest")),
         "losers",
     )
-    key = F.xxhash64(F.octet_length(_TEXT), lower_ascii(F.substring(_TEXT, 1, prefix)))
+    key = F.xxhash64(F.octet_length(_text()), lower_ascii(F.substring(_text(), 1, prefix)))
     shared = keys.select(F.col("prefix_key").alias("_prefix_key"), F.col("shared").alias("_shared"))
     own = list(docs.columns)
     rows = docs.withColumn("_prefix_key", key).join(checked_broadcast(shared), "_prefix_key", "left")
