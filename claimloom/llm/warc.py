@@ -170,7 +170,9 @@ class _Reader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        if partition is None:  # an archive without files
+            return
         every = [part.split()[0] for part in SCHEMA.split(", ")]
         pick = [every.index(n) for n in self.names]
         store, _ = filesystem(self.path)
