@@ -146,3 +146,6 @@ COUNTRIES = (
     "new zealand", "taiwan", "hong kong", "czech republic", "hungary", "romania",
     "thailand", "malaysia", "indonesia", "pakistan", "colombia",
 )
+
+# --- fixed values: BibTeX blocks that are no entries -------------------------------------
+BIBTEX_NOT_ENTRIES = ("comment", "string", "preamble")

@@ -4,6 +4,8 @@ model completions."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,9 +221,47 @@ def _only_keys(given: Column, allowed: tuple[str, ...]) -> Column:
     return F.size(F.array_except(F.map_keys(given), F.array(*[F.lit(k) for k in allowed]))) == 0
 
 
+def _alone(text: Column) -> Column:
+    """The text as one JSON value, null if anything else precedes or follows it.
+
+    Set in a list before its own checksum, a text that ends early, or holds more than one value,
+    leaves the list another shape.
+    """
+    check = F.sha2(text, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "'), check, F.lit('"]')))
+    closed = (F.try_variant_get(pair, "$[1]", "string") == check) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(closed, F.try_variant_get(pair, "$[0]", "variant"))
+
+
+def _kind(value: Column, path: str, *kinds: str, absent: bool = True) -> Column:
+    """Whether what stands at ``path`` is of one of the kinds; ``absent`` if nothing does."""
+    found = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return F.coalesce(F.regexp_extract(found, "^[A-Z]+", 0).isin(*kinds), F.lit(absent))
+
+
+def _claim_kinds(claim: Column) -> Column:
+    """JSON kinds of a claim's fields, which a declared string would turn into text unseen."""
+    optional_text = [_kind(claim, f"$.qualifiers.{k}", "STRING", "VOID") for k in _QUALIFIER_KEYS[:4]]
+    fixed_text = [_kind(claim, f"$.qualifiers.{k}", "STRING") for k in _QUALIFIER_KEYS[4:6]]
+    relations = F.coalesce(F.try_variant_get(claim, "$.relations", "array<variant>"), F.array().cast("array<variant>"))
+
+    def relation(r: Column) -> Column:
+        texts = [_kind(r, f"$.{k}", "STRING", absent=False) for k in _RELATION_KEYS[:3]]
+        return reduce(and_, [*texts, _kind(r, "$.scope", "STRING"), _kind(r, "$.stance_distribution", "OBJECT", "VOID")])
+
+    return reduce(
+        and_,
+        [
+            *(_kind(claim, f"$.{k}", "STRING", absent=False) for k in _CLAIM_KEYS[:3]),
+            _kind(claim, "$.qualifiers", "OBJECT"), *optional_text, *fixed_text, _kind(claim, "$.qualifiers.negated", "BOOLEAN"),
+            _kind(claim, "$.relations", "ARRAY"), F.forall(relations, relation),
+        ],
+    )
+
+
 def parse_completions(replayed: DataFrame) -> DataFrame:
-    """Claims of completions that match the closed output shape; any deviation (bad JSON,
-    unknown key, missing field, bad enum value) rejects the whole completion.
+    """Claims of completions that match the closed output shape; any deviation (bad JSON, text
+    around it, unknown key, missing field, wrong kind, bad enum value) rejects the whole completion.
 
     ``replayed(request_id, completion, text, citations, ...)``. Of an accepted completion,
     a claim is kept when its words occur in the passage.
@@ -232,6 +272,8 @@ def parse_completions(replayed: DataFrame) -> DataFrame:
         replayed.withColumn("_top", F.from_json("completion", raw_map))
         .withColumn("_raw", F.from_json(F.col("_top")["claims"], f"array<{raw_map}>"))
         .withColumn("_claims", F.from_json(F.col("_top")["claims"], f"array<{_CLAIM_SCHEMA}>"))
+        .withColumn("_value", _alone(F.col("completion")))
+        .withColumn("_kinds", F.try_variant_get("_value", "$.claims", "array<variant>"))
     )
 
     def object_of(value: Column) -> Column:
@@ -277,6 +319,7 @@ def parse_completions(replayed: DataFrame) -> DataFrame:
 
     top_ok = F.col("_top").isNotNull() & _only_keys(F.col("_top"), ("claims",))
     claims_ok = F.col("_raw").isNotNull() & F.forall("_raw", good_claim)
+    claims_ok &= _kind(F.col("_value"), "$.claims", "ARRAY") & F.forall("_kinds", _claim_kinds)
     accepted = shaped.filter(F.coalesce(top_ok & claims_ok, F.lit(False)))
     rows = accepted.select(*replayed.columns, F.posexplode("_claims").alias("claim_ordinal", "claim"))
     verbatim = strip(F.col("claim.verbatim_text"))

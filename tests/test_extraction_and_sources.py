@@ -91,6 +91,14 @@ CASES = {
     "not_in_text": (good(verbatim_text="drug increased"), 0, 0),
     "one_of_two": ({"claims": good()["claims"] + good(verbatim_text="never")["claims"]}, 1, 0),
     "one_bad_spoils": ({"claims": good()["claims"] + good(occurrence_type="x")["claims"]}, 0, 0),
+    "number_as_text": (good(normalized_text=7), 0, 0),
+    "object_as_text": (good(normalized_text={"a": "b"}), 0, 0),
+    "list_as_population": (good(qualifiers={"population": ["rats"]}), 0, 0),
+    "null_population": (good(qualifiers={"population": None}), 1, 0),
+    "number_as_marker": (good(relations=[{**RELATION, "citation_marker": 1}]), 0, 0),
+    "object_as_relations": (good(relations={"a": RELATION}), 0, 0),
+    "list_as_distribution": (good(relations=[{**RELATION, "stance_distribution": [0.7]}]), 0, 0),
+    "claims_object": ({"claims": {"a": 1}}, 0, 0),
     "distribution": (good(relations=[{**RELATION, "stance_distribution": {"support": 0.7, "neutral": 0.3}}]), 1, 1),
 }
 
@@ -98,6 +106,9 @@ CASES = {
 def test_strict_completions(spark):
     rows = [(k, json.dumps(v[0]), "The drug reduced HbA1c [1].", [("[1]", "r1")]) for k, v in CASES.items()]
     rows.append(("broken", "{\"claims\": [", "The drug reduced", []))
+    whole = json.dumps(good())
+    for name, text in (("prose_after", whole + " Done."), ("prose_before", "Here: " + whole), ("two_values", whole + ", " + whole), ("list", "[" + whole + "]")):
+        rows.append((name, text, "The drug reduced HbA1c [1].", []))
     df = spark.createDataFrame(rows, "request_id string, completion string, text string, citations array<struct<marker:string,rid:string>>")
     claims = E.parse_completions(df).cache()
     counts = {r.request_id: r["count"] for r in claims.groupBy("request_id").count().collect()}
@@ -151,3 +162,37 @@ def test_reference_exports(spark):
     assert counts["a.ris"] == (2, 1) and counts["b.bib"] == (2, 1)
     formats = {r.file: r.f for r in files.select("file", R.detect_format(F.lit(None), F.col("text")).alias("f")).collect()}
     assert formats["a.ris"] == "ris" and formats["b.bib"] == "bibtex" and formats["d.csv"] == "csv"
+
+
+def test_full_text_reader_details():
+    from claimloom.sources.fulltext import flatten_document
+
+    deep = "<article><body>" + "<sec>" * 5000 + "<p>Deep.</p>" + "</sec>" * 5000 + "</body></article>"
+    assert flatten_document(deep)["paragraphs"] == [{"section": None, "text": "Deep.", "start": 0, "marks": []}]
+    late = "<article><body><sec><p>First.</p><sec><title> </title><p>In <b>it<xref ref-type='bibr' rid='a'>1<sup>x</sup></xref></b>.</p></sec><title>Late</title></sec></body></article>"
+    assert flatten_document(late)["paragraphs"] == [
+        {"section": "Late", "text": "First.", "start": 0, "marks": []},
+        {"section": "Late", "text": "In it1.", "start": 7, "marks": [{"marker": "1", "rid": "a", "at": 5}]},
+    ]
+    twice = (
+        "<article><front><article-meta><article-title>T</article-title><article-title>U</article-title></article-meta></front><back><ref id='r'><label>1</label>"
+        "<label>2</label><pub-id pub-id-type='doi'>a</pub-id><pub-id pub-id-type='doi'>b</pub-id><year>1999</year><year>2001</year><year>x</year></ref></back></article>"
+    )
+    found = flatten_document(twice)
+    assert found["title"] == "T" and found["refs"] == [{"rid": "r", "label": "2", "title": None, "doi": "b", "pmid": None, "year": 2001}]
+    assert flatten_document("<!DOCTYPE a [<!ENTITY x 'y'>]><article><body><p>&x;</p></body></article>") is None
+    assert flatten_document("<html><p>no paper</p></html>") is None and flatten_document("<a>") is None and flatten_document(None) is None
+
+
+def test_repeated_ids_do_not_multiply(spark):
+    xml = "<article><body><p>One.</p></body></article>"
+    docs = spark.createDataFrame([("a", xml), ("a", xml), ("b", "<broken")], "doc_id string, xml string")
+    assert sorted(r.parse_status for r in X.parse_papers(docs).collect()) == ["failed", "parsed", "parsed"]
+
+
+def test_bibtex_scan():
+    from claimloom.sources.references import split_bibtex
+
+    text = "@comment{@article{in, a={1}}} stray } @book{x, t={a {b} c}} { @misc{y} } @open{z, {q"
+    assert split_bibtex(text) == ["in, a={1}}", "x, t={a {b} c}}", "y}", "z, {q"]
+    assert split_bibtex(None) == []
