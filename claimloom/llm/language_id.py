@@ -46,7 +46,7 @@ def features(text: str) -> np.ndarray:
             out += np.bincount(mixed[:whole] % np.uint32(BUCKETS), minlength=BUCKETS)
     return out
 
-_EXAMPLE = {"doc_id": "string", "lang": "string", "whole": "boolean", "ids": "array<int>", "counts": "array<long>"}
+_EXAMPLE = {"doc_id": "string", "lang": "string", "whole": "boolean", "ids": "array<smallint>", "counts": "array<int>"}
 
 
 @dataclass
@@ -107,7 +107,7 @@ def training_examples(docs: DataFrame, sample: int) -> pd.DataFrame:
                     used = np.flatnonzero(counts)
                     for column, value in zip(rows, (str(doc_id), lang, whole, used, counts[used]), strict=True):
                         column.append(value)
-            types = (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            types = (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int16()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], list(_EXAMPLE))
 
     near = usable.filter(luck <= chosen)
@@ -129,9 +129,15 @@ def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float
         return Model(languages, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), 1.0, 0.0)
     wanted = examples["lang"].map({l: i for i, l in enumerate(languages)}).to_numpy()
     apart = np.array([zlib.crc32(b"fold" + d.encode()) % 5 == 0 for d in examples["doc_id"]])
-    rows = np.zeros((len(examples), BUCKETS), np.float32)
-    for i, (ids, counts) in enumerate(zip(examples["ids"], examples["counts"], strict=True)):
-        rows[i, ids] = np.asarray(counts) / np.sum(counts)
+    found_ids, found_counts = examples["ids"].to_list(), examples["counts"].to_list()
+
+    def dense(pick: np.ndarray) -> np.ndarray:
+        """The mean over subwords as rows; made for one batch at a time."""
+        rows = np.zeros((len(pick), BUCKETS), np.float32)
+        for row, i in zip(rows, pick, strict=True):
+            row[found_ids[i]] = np.asarray(found_counts[i], np.float32) / np.sum(found_counts[i])
+        return rows
+
     if apart.all() or not apart.any():
         apart[:] = False
     rng = np.random.default_rng(seed)
@@ -145,7 +151,7 @@ def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float
         order = rng.permutation(fit)
         for start in range(0, len(order), batch):
             pick = order[start : start + batch]
-            x = rows[pick]
+            x = dense(pick)
             hidden = x @ embed
             logits = hidden @ weights + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -160,7 +166,9 @@ def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float
             done += 1
     table = (embed @ weights).astype(np.float64)
     test = apart if apart.any() else ~apart
-    logits, truth = rows[test] @ table + bias, wanted[test]
+    tested = np.flatnonzero(test)
+    logits = np.concatenate([dense(tested[i : i + batch]) @ table for i in range(0, len(tested), batch)]) + bias
+    truth = wanted[test]
 
     def chances(sharpness: float) -> np.ndarray:
         e = np.exp(sharpness * (logits - logits.max(axis=1, keepdims=True)))
@@ -177,7 +185,7 @@ def train(examples: pd.DataFrame, width: int = 16, epochs: int = 6, rate: float
     return Model(languages, table, bias.astype(np.float64), float(sharpness), threshold)
 
 
-def fit_model(docs: DataFrame, sample: int = 2000) -> Model:
+def fit_model(docs: DataFrame, sample: int = 1000) -> Model:
     """Train on at most ``sample`` labelled documents."""
     return train(training_examples(docs, sample))
 
@@ -193,7 +201,7 @@ def _predicted(docs: DataFrame, model: Model):
     return predict(F.col("text").cast("string"))
 
 
-def identify_languages(docs: DataFrame, sample: int = 2000) -> DataFrame:
+def identify_languages(docs: DataFrame, sample: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted for every row of ``docs``.
 
     The prediction reads nothing but the whole text. ``accepted`` is false where the calibrated
@@ -206,7 +214,7 @@ def identify_languages(docs: DataFrame, sample: int = 2000) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.accepted")
 
 
-def keep_identified(docs: DataFrame, sample: int = 2000) -> DataFrame:
+def keep_identified(docs: DataFrame, sample: int = 1000) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with all their columns."""
     marked = docs.withColumn("_language", _predicted(docs, fit_model(docs, sample)))
     return marked.filter("_language.accepted").drop("_language")
