@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stage
-from .common import WORD, lower_ascii, words
+from .common import WORD, checked_broadcast, words
 
 #: Steps per unit of score in the histogram that the threshold is read from.
 SCORE_STEPS = 1000
@@ -14,17 +14,16 @@ SCORE_STEPS = 1000
 WINDOW = 5
 
 
+def _hashed_words(rows: DataFrame) -> DataFrame:
+    """Add ``own_words`` of the text, and ``hashes``, which all windows and features are made of."""
+    return rows.withColumn("own_words", words(F.col("text"))).withColumn("hashes", F.transform("own_words", lambda w: F.xxhash64(w)))
+
+
 def _with_features(rows: DataFrame, buckets: int) -> DataFrame:
     """One row per feature: every word and every pair of neighbours, hashed into ``buckets``."""
-    lowered = rows.withColumn("lowered", words(lower_ascii(F.col("text"))))
-    hashed = lowered.withColumn(
-        "features",
-        F.concat(
-            F.transform("lowered", lambda w: F.xxhash64(w)),
-            F.transform("lowered", lambda w, i: F.xxhash64(w, F.get("lowered", i + 1))),
-        ),
-    ).drop("lowered", "text")
-    return hashed.withColumn("feature", F.explode_outer("features")).drop("features").withColumn("bucket", F.pmod("feature", F.lit(buckets)))
+    pairs = F.transform("hashes", lambda h, i: F.xxhash64(h, F.get("hashes", i + 1)))
+    featured = rows.withColumn("features", F.concat("hashes", pairs)).drop("hashes", "text")
+    return featured.withColumn("feature", F.explode_outer("features")).drop("features").withColumn("bucket", F.pmod("feature", F.lit(buckets)))
 
 
 def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
@@ -34,10 +33,9 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFram
     Counts are summed before they move: a task sends at most one row per bucket.
     """
     target = trusted.select("doc_id").distinct().withColumn("target", F.lit(1))
-    ids = docs.select("doc_id").distinct().join(target, "doc_id", "left_semi")
-    flagged = docs.select("doc_id", "text").join(ids.withColumn("target", F.lit(1)), "doc_id", "left").drop("doc_id")
+    flagged = docs.select("doc_id", "text").join(checked_broadcast(stage(target, "trusted")), "doc_id", "left").drop("doc_id")
     counted = (
-        _with_features(flagged, buckets)
+        _with_features(_hashed_words(flagged).drop("own_words"), buckets)
         .filter("bucket is not null")
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("target").alias("target"))
@@ -50,17 +48,17 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFram
 
 
 def with_base_counts(rows: DataFrame) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``text``; nulls count as empty.
+    """Add hashes, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``text``; nulls count as empty.
 
     Words inside repeated windows are found from the sorted window hashes of the one text; only
     texts in which some window occurs twice are sorted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit(WORD)))
-    rows = rows.withColumn("own_words", words(text)).withColumn("own_lines", worded)
+    rows = _hashed_words(rows).withColumn("own_lines", worded)
     n = F.size("own_words")
     none = F.array().cast("array<bigint>")
-    windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.slice("own_words", i + 1, WINDOW)))
+    windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.slice("hashes", i + 1, WINDOW)))
     rows = rows.withColumn("windows", F.when(n >= WINDOW, windows).otherwise(none))
     placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     nothing = F.array().cast("array<struct<h:bigint,i:int>>")
@@ -90,18 +88,21 @@ def rate_quality(
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     score and kept. The score is the mean log ratio, over words and pairs of neighbours, between a
-    multinomial of the trusted documents (``trusted.doc_id``) and one of the whole corpus. A row is
-    kept if it passes the base rules and scores at least ``threshold``: the score that all but the
-    share ``lost`` of the trusted documents passing the base rules reach, less ``margin``. The
-    threshold is read from a histogram of fixed step, so it does not depend on partitions.
+    multinomial of the trusted documents (``trusted.doc_id``) and one of the whole corpus. A fifth of
+    the trusted, by a checksum of doc_id, is kept from the multinomial: a document scores higher
+    where its own words were counted, so only these show what a clean document scores. A row is
+    kept if it passes the base rules and reaches the score that all but the share ``lost`` of that
+    fifth (those passing the base rules) reach, less ``margin``. The threshold is read from a
+    histogram of fixed step, so it does not depend on partitions.
 
     Nulls: a null text is empty and fails; a null doc_id is never trusted. Without trusted
     documents the base rules alone decide. Rows repeated are rated one by one. An empty table gives
     no rows. Other columns are ignored.
     """
-    weights = ngram_weights(docs, trusted, buckets)
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    weights = ngram_weights(docs, trusted.filter(~apart), buckets)
     rows = with_base_counts(docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id()))
-    keys = [c for c in rows.columns if c != "text"]
+    keys = [c for c in rows.columns if c not in ("text", "hashes")]
     scored = (
         _with_features(rows, buckets)
         .join(F.broadcast(weights), "bucket", "left")  # a fixed number of buckets
@@ -112,7 +113,7 @@ def rate_quality(
     thin = stage(scored.withColumn("base_failed", failed), "scores")
     steps = F.floor(F.col("score") * SCORE_STEPS)
     reference = (
-        thin.filter("not base_failed").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy(steps.alias("step")).count().orderBy("step").collect()
+        thin.filter("not base_failed").filter(apart).join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy(steps.alias("step")).count().orderBy("step").collect()
     )  # one row per histogram step
     lowest, allowed = None, lost * sum(r["count"] for r in reference)
     for r in reference:
