@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage,
@@ -130,10 +130,20 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: StructType, options: dict):
         self.path, self.names = path, schema.fieldNames()
         self.with_payload, self.verify = "payload" in self.names, options.get("verify", "false").lower() == "true"
-        self.tests: list[tuple[str, str, tuple]] = []
+        self.pushdown = options.get("pushdown", "false").lower() == "true"
+        self.tests: list[tuple[str, str, tuple]] = [
+            (column, kind, tuple(values)) for column, kind, values in json.loads(options.get("only", "[]"))
+        ]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Take tests that a record's header lines decide; leave the others to Spark."""
+        """With the option ``pushdown``, take tests that a record's header lines decide; leave the others to Spark.
+
+        Spark keeps what was pushed with the loaded relation, so a second query on the same
+        DataFrame would see it too: load the archive anew for each query then.
+        """
+        if not self.pushdown:
+            yield from filters
+            return
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if column not in _HEADER_OF:
@@ -233,8 +243,10 @@ class _Writer(DataSourceWriter):
 class WarcDataSource(DataSource):
     """``format("warc")``: read or write a folder of WARC files.
 
-    Options: path; verify=true recomputes payload digests; file_bytes and compression (none, gzip)
-    for writing. A schema without ``payload`` reads headers only.
+    Options: path; verify=true recomputes payload digests; pushdown=true takes filters on header
+    columns from a query (for one query per load); only, header predicates as a JSON list of
+    [column, "in" | "starts" | "present", values]; file_bytes and compression (none, gzip) for
+    writing. A schema without ``payload`` reads headers only.
     """
 
     @classmethod
@@ -285,11 +297,24 @@ def write_pages(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
     return path
 
 
-def read_archive(spark, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
-    """The records of a folder of archives; filters on header columns reach the reader."""
+def read_archive(
+    spark: SparkSession,
+    path: str,
+    payload: bool = True,
+    verify: bool = False,
+    record_types: tuple[str, ...] = (),
+    uri_prefix: str | None = None,
+    pushdown: bool = False,
+) -> DataFrame:
+    """The records of a folder of archives, restricted by header before any payload is touched.
+
+    ``pushdown`` also takes header predicates from the one query that the result is for.
+    """
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("warc").options(path=path, verify=str(verify).lower())
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark requires it of readers that can
+    only = [("record_type", "in", record_types)] if record_types else []
+    only += [("target_uri", "starts", (uri_prefix,))] if uri_prefix else []
+    reader = spark.read.format("warc").options(path=path, verify=str(verify).lower(), pushdown=str(pushdown).lower(), only=json.dumps(only))
     return (reader if payload else reader.schema(SCHEMA.removesuffix(", payload binary"))).load()
 
 

@@ -49,10 +49,14 @@ def test_archive_contents_and_pushdown(spark, compression):
     payloads = {r.record_id: bytes(r.payload) for r in records.filter("record_type = 'response'").collect()}
     assert payloads["urn:page:2"] == PAGES[2][2].encode() and payloads["urn:page:9"] == b"y" * 3_000_000
     assert payloads["urn:page:1"] == b"<html>one</html>" and "urn:page:3" not in payloads
-    picked = records.filter((F.col("record_type") == "response") & F.col("target_uri").startswith("http://b")).select("record_id")
-    plan = picked._jdf.queryExecution().executedPlan().toString()
+    picked = warc.read_archive(spark, folder, record_types=("response",), uri_prefix="http://b")
+    assert picked.filter("record_type = 'revisit'").count() == 0
     assert [r.record_id for r in picked.collect()] == ["urn:page:1"]
+    pushed = warc.read_archive(spark, folder, pushdown=True).filter((F.col("record_type") == "response") & F.col("target_uri").startswith("http://b"))
+    plan = pushed.select("record_id")._jdf.queryExecution().executedPlan().toString()
+    assert [r.record_id for r in pushed.collect()] == ["urn:page:1"]
     assert "BatchScan warc" in plan and "Filter" not in plan.replace("RuntimeFilters", "")
+    assert records.filter("record_type = 'revisit'").count() == 4 and records.count() == len(PAGES)
     assert {r.target_uri for r in records.collect()} >= {"http://a/ X-Evil: 1", None}
 
 
