@@ -130,7 +130,7 @@ ENTRIES = {
             "order_works authorships degrees",
             _AUTHOR
             + """ SELECT name, document_count, citation_count, h_index FROM am
-               ORDER BY document_count DESC, h_index DESC, citation_count DESC, author_key LIMIT 50""",
+               """,
         ),
     ),
     "author_metrics": (author_metrics, with_ctes("order_works authorships degrees", _AUTHOR + " SELECT * FROM am")),

@@ -283,7 +283,7 @@ def reference_snapshot(t):
         + "), x -> x is not null))) as line"
     )
     snapshot = text.select(F.from_json("line", tables.REFERENCE_SCHEMA).alias("d")).select("d.*")
-    return tables.reference_links(snapshot, 2).select(
+    return tables.reference_links(snapshot).select(
         "paper_id", "position", "cited_corpus_id", "cited_doi", "cited_title", "is_influential"
     )
 
@@ -497,7 +497,7 @@ ENTRIES = {
         """WITH g AS (SELECT l_orderkey, l_returnflag, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
            r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS position FROM g)
            SELECT 'O' || l_orderkey AS paper_id, position, p::VARCHAR AS cited_corpus_id, CASE WHEN p % 2 = 0 THEN '10.1/' || p END AS cited_doi,
-             'Part ' || p AS cited_title, p % 5 = 0 AS is_influential FROM r WHERE position < 2""",
+             'Part ' || p AS cited_title, p % 5 = 0 AS is_influential FROM r""",
     ),
     "member_export": (
         member_export,

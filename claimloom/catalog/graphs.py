@@ -77,12 +77,16 @@ def _centers(t):
     return B.order_works(t).groupBy("venue").agg(F.min("work_id").alias("work_id")).select("work_id")
 
 
+#: Works shown around one center; the cut is the feature, and is flagged.
+_NEIGHBORHOOD = 250
+
+
 def neighborhood_k2(t):
-    return G.neighborhoods(_centers(t), _pairs(t), 2)
+    return G.neighborhoods(_centers(t), _pairs(t), 2, _NEIGHBORHOOD)
 
 
 def neighborhood_edges(t):
-    nodes = G.neighborhoods(_centers(t), _pairs(t), 1)
+    nodes = G.neighborhoods(_centers(t), _pairs(t), 1, _NEIGHBORHOOD)
     return G.neighborhood_edges(nodes, _pairs(t)).groupBy("center").agg(F.count("*").alias("edges"))
 
 
@@ -129,15 +133,17 @@ def discovery_supporting_seeds(t):
     )
 
 
-_SNOWBALL_TARGET = 60
+#: Works wanted per seed; the size of the corpus is the feature.
+_WORKS_PER_SEED = 2
 
 
 def _snowball(t):
-    seeds = B.order_works(t).filter("work_id in ('O1', 'O2', 'O3')").select(
-        "work_id", F.substring("work_id", 2, 9).cast("int").alias("position")
-    )
+    """From the retracted orders that nothing cites, in the order of their numbers."""
+    cited = _pairs(t).select(F.col("cited_work_id").alias("work_id"))
+    roots = B.order_works(t).filter("is_retracted").join(cited, "work_id", "left_anti")
+    seeds = roots.select("work_id", F.substr("work_id", F.lit(2)).cast("long").alias("position"))
     links = _pairs(t).select("citing_work_id", "cited_work_id", F.col("cited_work_id").alias("position"))
-    return G.snowball(seeds, links, _SNOWBALL_TARGET)
+    return G.snowball(seeds, links, _WORKS_PER_SEED * seeds.count())
 
 
 def snowball(t):
@@ -238,16 +244,18 @@ _SQL_DISCOVER = """, wl AS (SELECT *, row_number() OVER (PARTITION BY citing_wor
             AND NOT EXISTS (SELECT 1 FROM seed_ids s WHERE s.set_id = seeds.set_id AND s.v = cited_pmid))"""
 _CORPUS = "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::VARCHAR END"
 
-_SQL_SNOWBALL = f""", l0 AS (SELECT work_id, 0 AS level, row_number() OVER (ORDER BY substring(work_id, 2)::INT) AS ordinal
-          FROM order_works WHERE work_id IN ('O1', 'O2', 'O3')),
+_SQL_SNOWBALL = f""", l0 AS (SELECT work_id, 0 AS level, row_number() OVER (ORDER BY substring(work_id, 2)::BIGINT) AS ordinal
+          FROM order_works WHERE work_id IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderstatus = 'P')
+            AND work_id NOT IN (SELECT cited_work_id FROM pairs)),
+   n0 AS (SELECT count(*) AS n, {_WORKS_PER_SEED} * count(*) AS target FROM l0),
    w1 AS (SELECT citing_work_id, cited_work_id, ordinal AS po, cited_work_id AS pos FROM pairs JOIN l0 ON citing_work_id = work_id),
    f1 AS (SELECT cited_work_id AS work_id, min((po, pos)) AS pt FROM w1 WHERE cited_work_id NOT IN (SELECT work_id FROM l0) GROUP BY 1),
-   l1 AS (SELECT work_id, 1 AS level, 3 + row_number() OVER (ORDER BY pt) AS ordinal, pt FROM f1 QUALIFY ordinal <= {_SNOWBALL_TARGET}),
+   l1 AS (SELECT work_id, 1 AS level, (SELECT n FROM n0) + row_number() OVER (ORDER BY pt) AS ordinal, pt FROM f1 QUALIFY ordinal <= (SELECT target FROM n0)),
    w2 AS (SELECT citing_work_id, cited_work_id, ordinal AS po, cited_work_id AS pos FROM pairs JOIN l1 ON citing_work_id = work_id),
    f2 AS (SELECT cited_work_id AS work_id, min((po, pos)) AS pt FROM w2
           WHERE cited_work_id NOT IN (SELECT work_id FROM l0 UNION ALL SELECT work_id FROM l1) GROUP BY 1),
-   n1 AS (SELECT 3 + count(*) AS n FROM l1),
-   l2 AS (SELECT work_id, 2 AS level, (SELECT n FROM n1) + row_number() OVER (ORDER BY pt) AS ordinal, pt FROM f2 QUALIFY ordinal <= {_SNOWBALL_TARGET}),
+   n1 AS (SELECT (SELECT n FROM n0) + count(*) AS n FROM l1),
+   l2 AS (SELECT work_id, 2 AS level, (SELECT n FROM n1) + row_number() OVER (ORDER BY pt) AS ordinal, pt FROM f2 QUALIFY ordinal <= (SELECT target FROM n0)),
    corpus AS (SELECT work_id, level, ordinal FROM l0 UNION ALL SELECT work_id, level, ordinal FROM l1 UNION ALL SELECT work_id, level, ordinal FROM l2)"""
 
 _TERMS_SQL = """, terms AS (SELECT 'I' || k AS interpretation_id, unnest(['intervention', 'comparator', 'outcome']) AS role,
@@ -404,7 +412,7 @@ ENTRIES = {
         with_ctes(
             "order_works pairs",
             _SQL_SNOWBALL
-            + f""", done1 AS (SELECT 3 + count(*) >= {_SNOWBALL_TARGET} AS d FROM l1)
+            + """, done1 AS (SELECT n >= (SELECT target FROM n0) AS d FROM n1)
                SELECT DISTINCT citing_work_id, cited_work_id FROM w1
                  WHERE NOT (SELECT d FROM done1) OR (po, pos) <= (SELECT max(pt) FROM l1)
                UNION SELECT DISTINCT citing_work_id, cited_work_id FROM w2

@@ -160,7 +160,7 @@ def _assertions(t):
     none = F.array().cast("array<struct<interpretation_id:string,score:double>>")
     return B.line_relations(t).select(
         F.col("citing_occurrence_id").alias("occurrence_id"),
-        F.when(F.col("cited_work_id").isNotNull(), F.concat(F.lit("10.5555/p"), F.substring("cited_work_id", 2, 18))).alias("cited_doi"),
+        F.when(F.col("cited_work_id").isNotNull(), F.concat(F.lit("10.5555/p"), F.substr("cited_work_id", F.lit(2)))).alias("cited_doi"),
         "assertion_id", "function", "stance", "scope", "resolution", "stance_distribution",
         F.when(F.col("stance") == "support", F.col("target_interpretation_id")).alias("target_interpretation_id"),
         F.when(

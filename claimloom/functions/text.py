@@ -45,8 +45,7 @@ def sentences_with_offsets(text: Column) -> Column:
     Each piece keeps the white space in front of it, so piece lengths add up to the
     paragraph and give exact offsets.
     """
-    marked = F.regexp_replace(text, "(?U)" + SENTENCE_BOUNDARY, "\u0001")
-    pieces = F.split(marked, "\u0001")
+    pieces = F.split(text, "(?U)" + SENTENCE_BOUNDARY)
     starts = F.aggregate(
         pieces,
         F.array(F.lit(0)),

@@ -14,15 +14,13 @@ from ..functions.identifiers import author_key, strip
 from ..functions.values import parse_country
 from ..plans.ranking import with_global_position
 
-MAX_TOP_K = 50
-
-
 def long_form(works: DataFrame, array_column: str, name: str) -> DataFrame:
     return works.select("work_id", F.explode(array_column).alias(name))
 
 
-def clamp_top_k(k: int) -> int:
-    return max(1, min(k, MAX_TOP_K))
+def first_k(ordered: DataFrame, k: int | None) -> DataFrame:
+    """The first ``k`` rows, or all."""
+    return ordered if k is None else ordered.limit(k)
 
 
 # --- cohorts -----------------------------------------------------------------------------
@@ -132,36 +130,24 @@ def corpus_summary(works: DataFrame, authorships: DataFrame, degrees: DataFrame)
     )
 
 
-def top_cited(works: DataFrame, degrees: DataFrame, k: int = 10) -> DataFrame:
+def top_cited(works: DataFrame, degrees: DataFrame, k: int | None = None) -> DataFrame:
     """Most cited works of the cohort; uncited ones never appear."""
-    return (
-        works.join(degrees, "work_id")
-        .filter(F.col("citation_count") > 0)
-        .orderBy(F.desc("citation_count"), F.coalesce("title", F.lit("")), "work_id")
-        .limit(clamp_top_k(k))
-        .select("work_id", "title", "year", "citation_count")
-    )
+    cited = works.join(degrees, "work_id").filter(F.col("citation_count") > 0)
+    ordered = cited.orderBy(F.desc("citation_count"), F.coalesce("title", F.lit("")), "work_id")
+    return first_k(ordered, k).select("work_id", "title", "year", "citation_count")
 
 
-def top_authors(works: DataFrame, authorships: DataFrame, k: int = 10) -> DataFrame:
+def top_authors(works: DataFrame, authorships: DataFrame, k: int | None = None) -> DataFrame:
     documents = author_works(works, authorships).groupBy("author_key").agg(
         F.min("name").alias("name"), F.count("*").alias("document_count")
     )
-    return (
-        documents.orderBy(F.desc("document_count"), "author_key")
-        .limit(clamp_top_k(k))
-        .select("name", "document_count")
-    )
+    return first_k(documents.orderBy(F.desc("document_count"), "author_key"), k).select("name", "document_count")
 
 
-def top_sources(works: DataFrame, k: int = 10) -> DataFrame:
+def top_sources(works: DataFrame, k: int | None = None) -> DataFrame:
     venues = works.select(strip(F.col("venue")).alias("source")).filter(F.col("source") != "")
-    return (
-        venues.groupBy("source")
-        .agg(F.count("*").alias("document_count"))
-        .orderBy(F.desc("document_count"), "source")
-        .limit(clamp_top_k(k))
-    )
+    counted = venues.groupBy("source").agg(F.count("*").alias("document_count"))
+    return first_k(counted.orderBy(F.desc("document_count"), "source"), k)
 
 
 # --- productivity and impact --------------------------------------------------------------
@@ -214,10 +200,9 @@ def author_metrics(works: DataFrame, authorships: DataFrame, degrees: DataFrame)
     )
 
 
-def ranked_authors(metrics: DataFrame, k: int = 50) -> DataFrame:
-    return metrics.orderBy(
-        F.desc("document_count"), F.desc("h_index"), F.desc("citation_count"), "author_key"
-    ).limit(clamp_top_k(k))
+def ranked_authors(metrics: DataFrame, k: int | None = None) -> DataFrame:
+    ordered = metrics.orderBy(F.desc("document_count"), F.desc("h_index"), F.desc("citation_count"), "author_key")
+    return first_k(ordered, k)
 
 
 def lotka_points(works: DataFrame, authorships: DataFrame) -> DataFrame:

@@ -8,21 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import author_node_id, strip
 from ..functions.values import knowledge_sources, predicate_label
 from ..plans.lineage import stage
-from ..plans.skew import broadcast_if_small
+from ..plans.ranking import with_global_position
 from .citations import citation_degrees
 from .claims import head_per_occurrence
 
-MAX_GRAPH_PAPERS = 500
-MAX_NEIGHBORHOOD = 250
-MAX_SNOWBALL = 20_000
-
-
 # --- induced views -------------------------------------------------------------------------
 
 
-def first_papers(works: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Up to ``limit`` works by title and id, and a one-row ``truncated`` flag."""
-    limit = max(1, min(limit, MAX_GRAPH_PAPERS))
+def first_papers(works: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Up to ``limit`` works (or all) by title and id, and a one-row ``truncated`` flag."""
+    if limit is None:
+        return works, works.sparkSession.createDataFrame([(False,)], "truncated boolean")
     ordered = works.orderBy(F.asc_nulls_last("title"), "work_id")
     flag = works.agg((F.count("*") > limit).alias("truncated"))
     return ordered.limit(limit), flag
@@ -30,7 +26,7 @@ def first_papers(works: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 def induced_edges(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with both ends among the nodes."""
-    ids = broadcast_if_small(nodes.select("work_id"))
+    ids = nodes.select("work_id")
     return pairs.join(ids.withColumnRenamed("work_id", "citing_work_id"), "citing_work_id", "left_semi").join(
         ids.withColumnRenamed("work_id", "cited_work_id"), "cited_work_id", "left_semi"
     )
@@ -38,7 +34,7 @@ def induced_edges(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def paper_nodes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes with global citation degrees; a bounded node set is counted map-side."""
-    ids = broadcast_if_small(nodes.select("work_id"))
+    ids = nodes.select("work_id")
     touching = pairs.join(ids.withColumnRenamed("work_id", "citing_work_id"), "citing_work_id", "left_semi").unionByName(
         pairs.join(ids.withColumnRenamed("work_id", "cited_work_id"), "cited_work_id", "left_semi")
     )
@@ -78,33 +74,36 @@ def paper_envelope(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 
 
 def neighborhoods(
-    centers: DataFrame, pairs: DataFrame, depth: int = 1, max_nodes: int = MAX_NEIGHBORHOOD
+    centers: DataFrame, pairs: DataFrame, depth: int = 1, max_nodes: int | None = None
 ) -> DataFrame:
     """``(center, work_id, hop, truncated)`` within ``depth`` hops, either direction.
 
-    At most ``max_nodes`` per center, kept by (hop, id). A center has then visited fewer
+    At most ``max_nodes`` per center (or all), kept by (hop, id). A center has then visited fewer
     than ``max_nodes`` works, so the ``2 * max_nodes`` smallest neighbours of any work
     always contain every neighbour that can still be chosen: hubs shrink to that before
     any join, with the same result.
     """
-    depth = max(1, min(depth, 3))
     both = pairs.select(F.col("citing_work_id").alias("src"), F.col("cited_work_id").alias("dst")).unionByName(
         pairs.select(F.col("cited_work_id").alias("src"), F.col("citing_work_id").alias("dst"))
     )
-    smallest = Window.partitionBy("src").orderBy("dst")
-    adjacency = stage(
-        both.distinct().withColumn("_r", F.row_number().over(smallest)).filter(F.col("_r") <= 2 * max_nodes).drop("_r"),
-        "adjacency",
-    )
+    both = both.distinct()
+    if max_nodes is not None:
+        smallest = Window.partitionBy("src").orderBy("dst")
+        both = both.withColumn("_r", F.row_number().over(smallest)).filter(F.col("_r") <= 2 * max_nodes).drop("_r")
+    adjacency = stage(both, "adjacency")
     visited = centers.select(F.col("work_id").alias("center"), "work_id", F.lit(0).alias("hop"), F.lit(False).alias("cut"))
     frontier = visited
     for hop in range(1, depth + 1):
         reached = (
-            adjacency.join(broadcast_if_small(frontier.select("center", F.col("work_id").alias("src"))), "src")
+            adjacency.join(frontier.select("center", F.col("work_id").alias("src")), "src")
             .select("center", F.col("dst").alias("work_id"))
             .distinct()
             .join(visited.select("center", "work_id"), ["center", "work_id"], "left_anti")
         )
+        if max_nodes is None:
+            frontier = stage(reached.select("center", "work_id", F.lit(hop).alias("hop"), F.lit(False).alias("cut")), "hop")
+            visited = visited.unionByName(frontier)
+            continue
         by_id = Window.partitionBy("center").orderBy("work_id")
         room = visited.groupBy("center").agg((max_nodes - F.count("*")).alias("room"))
         ranked = (
@@ -300,63 +299,58 @@ def claim_entity_edges(groundings: DataFrame) -> DataFrame:
 # --- snowball --------------------------------------------------------------------------------------------
 
 
-def capped_references(links: DataFrame, per_paper: int) -> DataFrame:
-    """The first ``per_paper`` references of each paper by list position."""
+def capped_references(links: DataFrame, per_paper: int | None = None) -> DataFrame:
+    """The first ``per_paper`` references of each paper by list position, or all."""
+    if per_paper is None:
+        return links
     order = Window.partitionBy("citing_work_id").orderBy("position")
     return links.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_paper).drop("_r")
 
 
 def snowball(
-    seeds: DataFrame, links: DataFrame, target_size: int = 1000, refs_per_paper: int = 50
+    seeds: DataFrame, links: DataFrame, target_size: int | None = None, refs_per_paper: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Breadth-first corpus of up to ``target_size`` works along reference lists.
+    """Breadth-first corpus of up to ``target_size`` works (or all reachable) along reference lists.
 
     ``seeds(work_id, position)``; ``links(citing_work_id, cited_work_id, position)`` with
     resolved ids. Works join in order of (level, parent, list position); the walk stops at
-    the reference that completes the corpus, and edges up to that reference are kept.
-    Returns works ``(work_id, level, ordinal)`` and edges. The corpus is capped at 20,000
-    works, which bounds every frontier.
+    the reference that completes the corpus, and edges up to that reference are kept. All
+    seeds belong to it. Returns works ``(work_id, level, ordinal)`` and edges. Each level is
+    numbered by range partitions, so no level meets in one task.
     """
-    target_size = max(1, min(target_size, MAX_SNOWBALL))
     refs = capped_references(links, refs_per_paper)
-    by_position = Window.orderBy("position")
-    corpus = stage(
-        seeds.groupBy("work_id")
-        .agg(F.min("position").alias("position"))
-        .orderBy("position")
-        .limit(MAX_SNOWBALL)
-        .select("work_id", F.lit(0).alias("level"), F.row_number().over(by_position).cast("long").alias("ordinal")),
-        "corpus",
-    )
+    first = seeds.groupBy("work_id").agg(F.min("position").alias("position"))
+    numbered = with_global_position(first, [F.col("position"), F.col("work_id")], "ordinal")
+    corpus = stage(numbered.select("work_id", F.lit(0).alias("level"), F.col("ordinal").cast("long").alias("ordinal")), "corpus")
     edges = None
     size, level, frontier = corpus.count(), 0, corpus
-    while size < target_size:
+    while target_size is None or size < target_size:
         level += 1
         walked = stage(
             refs.join(
-                F.broadcast(frontier.select(F.col("work_id").alias("citing_work_id"), "ordinal")), "citing_work_id"
+                frontier.select(F.col("work_id").alias("citing_work_id"), "ordinal"), "citing_work_id"
             ).select("citing_work_id", "cited_work_id", "position", F.struct("ordinal", "position").alias("at")),
             "walked",
         )
         first_seen = walked.groupBy("cited_work_id").agg(F.min("at").alias("at"))
         fresh = (
             first_seen.withColumnRenamed("cited_work_id", "work_id")
-            .join(F.broadcast(corpus.select("work_id")), "work_id", "left_anti")
-            .orderBy("at")
-            .limit(target_size - size)
+            .join(corpus.select("work_id"), "work_id", "left_anti")
+            .select("work_id", F.col("at.ordinal").alias("parent"), "at.position")
         )
+        placed = with_global_position(fresh, [F.col("parent"), F.col("position"), F.col("work_id")], "place")
+        if target_size is not None:
+            placed = placed.filter(F.col("place") <= target_size - size)
         frontier = stage(
-            fresh.select(
-                "work_id",
-                F.lit(level).alias("level"),
-                (F.row_number().over(Window.orderBy("at")) + size).cast("long").alias("ordinal"),
-                "at",
+            placed.select(
+                "work_id", F.lit(level).alias("level"), (F.col("place") + size).cast("long").alias("ordinal"),
+                F.struct(F.col("parent").alias("ordinal"), "position").alias("at"),
             ),
             "level",
         )
         added = frontier.count()
         size += added
-        if size >= target_size:
+        if target_size is not None and size >= target_size:
             stop = frontier.agg(F.max("at")).scalar()
             walked = walked.filter(F.col("at") <= stop)
         step = walked.filter("citing_work_id <> cited_work_id").select("citing_work_id", "cited_work_id").distinct()

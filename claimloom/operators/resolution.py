@@ -15,7 +15,7 @@ from ..functions.identifiers import (
     pmid_from_token,
 )
 from ..functions.values import integrity_flags, is_blank, names_of
-from ..plans.skew import broadcast_if_small, spread_nulls
+from ..plans.skew import spread_nulls
 
 #: Work column behind each kind of identifier.
 WORK_KEYS = {"corpus": "s2_corpus_id", "doi": "doi", "pmid": "pmid"}
@@ -71,7 +71,7 @@ def resolve(
         *records.columns, F.col("_c.rank").alias("_rank"), F.col("_c.key").alias("_key")
     )
     known = identifier_map(works, priority, fold_doi).withColumnRenamed("key", "_key")
-    found = exploded.join(broadcast_if_small(known), "_key").drop("_key")
+    found = exploded.join(known, "_key").drop("_key")
     return (
         found.groupBy(record_id)
         .agg(F.min_by(F.struct(*[c for c in found.columns if c not in (record_id, "_rank")]), "_rank").alias("_m"))
@@ -155,11 +155,7 @@ def backfill_text(works: DataFrame, records: DataFrame, record_field: str, work_
 
 def edges_between_known(works: DataFrame, citations: DataFrame) -> DataFrame:
     """Bulk citation records whose two ends are known works, without self-citations."""
-    ids = broadcast_if_small(
-        works.filter(F.col("s2_corpus_id") != "")
-        .groupBy(F.col("s2_corpus_id").alias("c"))
-        .agg(F.min("work_id").alias("w"))
-    )
+    ids = works.filter(F.col("s2_corpus_id") != "").groupBy(F.col("s2_corpus_id").alias("c")).agg(F.min("work_id").alias("w"))
     citing = ids.select(F.col("c").alias("_citing"), F.col("w").alias("citing_work_id"))
     cited = ids.select(F.col("c").alias("_cited"), F.col("w").alias("cited_work_id"))
     return (
@@ -239,7 +235,11 @@ def check_integrity(works: DataFrame, messages: DataFrame, only_unchecked: bool
         normalize_doi(F.col("doi")).alias("_doi"),
         integrity_flags(F.col("update_to"), F.col("title")).alias("f"),
     ).filter(F.col("_doi").isNotNull())
-    flags = flags.groupBy("_doi").agg(F.min("f").alias("f"))
+    # one record of a retraction is enough; a retraction's notice goes before others, then by text
+    notice = F.min(F.when(F.col("f.notice").isNotNull(), F.struct((~F.col("f.is_retracted")).alias("later"), F.col("f.notice").alias("notice"))))
+    flags = flags.groupBy("_doi").agg(
+        F.struct(F.bool_or("f.is_retracted").alias("is_retracted"), notice["notice"].alias("notice")).alias("f")
+    )
     joined = todo.withColumn("_doi", F.lower("doi")).join(flags, "_doi", "left")
     seen = F.col("f").isNotNull()
     return joined.select(

@@ -21,7 +21,6 @@ from ..functions.lexicons import (
 )
 from ..functions.values import cosine
 from ..plans.lineage import stage
-from ..plans.skew import broadcast_if_small
 
 CHUNK = 256
 CELL = 4096
@@ -78,8 +77,8 @@ def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) ->
     1-based place of that token in a token order common to all claims.
     """
     queries, corpus = _bounded(queries, floor), _bounded(corpus, floor).drop("lo")
-    chunks = broadcast_if_small(_parts(corpus, CHUNK, "n_chunks"))
-    cells = broadcast_if_small(_parts(queries, CELL, "n_cells"))
+    chunks = _parts(corpus, CHUNK, "n_chunks")
+    cells = _parts(queries, CELL, "n_cells")
     # small in bytes but heavy to compare: a fixed number of partitions keeps every core
     # busy where adaptive execution would merge them
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -185,7 +184,7 @@ def resolve_targets(relations: DataFrame, claims: DataFrame) -> DataFrame:
 def _rarest_first(classes: DataFrame) -> DataFrame:
     """``(class_id, tokens)`` with each class's tokens ordered by frequency, then text."""
     exploded = classes.select("class_id", F.explode("tokens").alias("token"))
-    frequency = broadcast_if_small(exploded.groupBy("token").agg(F.count("*").alias("df")))
+    frequency = exploded.groupBy("token").agg(F.count("*").alias("df"))
     return (
         exploded.join(frequency, "token")
         .groupBy("class_id")

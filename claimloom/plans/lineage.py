@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,18 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names; a temporary one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="claimloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """This application's folder below the one ``spark.checkpoint.dir`` names.
+
+    Where the setting is missing, as in tests, local mode gets a temporary folder that goes when
+    the process ends; on a cluster the setting is required.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        configured = tempfile.mkdtemp(prefix="claimloom-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(configured)
+        configured = spark.sparkContext.getCheckpointDir()
+    return f"{configured.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged; call it when no result is read any more."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder) if ":" in (folder := shared_folder(spark)) else (fs.LocalFileSystem(), folder)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

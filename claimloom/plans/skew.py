@@ -1,14 +1,10 @@
-"""Small devices against hot keys and unchecked broadcasts."""
+"""A device against hot null keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A side is broadcast by hint only when it has at most this many rows.
-BROADCAST_ROWS = 200_000
-
-
 def spread_nulls(key: Column, by: Column) -> Column:
     """A join key whose nulls scatter over all partitions instead of meeting in one.
 
@@ -16,11 +12,3 @@ def spread_nulls(key: Column, by: Column) -> Column:
     former null never matches.
     """
     return F.coalesce(key, F.concat(F.lit("\u0000"), by.cast("string")))
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``rows + 1`` rows; otherwise leave the
-    choice of join to Spark."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df

@@ -37,15 +37,11 @@ GOLD_SCHEMA = (
 
 def shard_paths(spark: SparkSession, manifest: DataFrame, root: str, dataset: str) -> list[str]:
     """Paths of the manifest's shards that exist; the manifest is one row per shard."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    names = [r["basename"] for r in manifest.filter(F.col("dataset") == dataset).select("basename").collect()]
-    out = []
-    for name in sorted(names):
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        if path.getFileSystem(conf).exists(path):
-            out.append(f"{root}/{name}")
-    return out
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root).select("path")
+    there = files.select(F.element_at(F.split("path", "/"), -1).alias("basename"))
+    wanted = manifest.filter(F.col("dataset") == dataset).select("basename").distinct()
+    # a release has some thousand shards
+    return [f"{root}/{r.basename}" for r in wanted.join(there, "basename", "left_semi").orderBy("basename").collect()]
 
 
 def read_shards(spark: SparkSession, paths: list[str], dataset: str) -> DataFrame:

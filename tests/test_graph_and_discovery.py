@@ -37,7 +37,7 @@ def test_neighborhoods_match_brute_force(spark):
         for r in G.neighborhoods(df, pairs, depth, cap).collect():
             got.setdefault(r.center, ({}, r.truncated))[0][r.work_id] = r.hop
         for c in centers:
-            assert got[c] == brute_neighborhood(c, edges, min(depth, 3), cap), (c, depth, cap)
+            assert got[c] == brute_neighborhood(c, edges, depth, cap), (c, depth, cap)
 
 
 def test_paper_graph(spark, rows):
