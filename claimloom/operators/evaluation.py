@@ -127,7 +127,7 @@ def _pair_count(signatures: DataFrame, groups: str) -> Column:
     none.
     """
     rows = signatures.filter(F.size(groups) > 0).groupBy(groups).agg(F.sum("n").alias("n"))
-    within = rows.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).scalar()
+    within = rows.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))).scalar()
     named = rows.withColumn("s", F.to_json(F.col(groups)))
     spread = named.filter(F.size(groups) > 1).select("s", "n", F.explode(groups).alias("g"))
     plain = named.filter(F.size(groups) == 1).select("s", "n", F.col(groups)[0].alias("g"))

@@ -68,9 +68,10 @@ def _bounded(rows: DataFrame, floor: float) -> DataFrame:
     return out.filter(F.col("lo") <= F.col("hi")).drop("place")
 
 
-def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) -> DataFrame:
+def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float, skip_self: bool = True) -> DataFrame:
     """``(query_id, score, match_id)``: the ``k`` best matches of each query within its
-    scopes, by score descending, then id; pairs below ``floor`` and self-matches are out.
+    scopes, by score descending, then id; pairs below ``floor`` are out, and with ``skip_self``
+    (both sides are the same rows) so are equal ids.
 
     ``queries(query_id, scope, tokens)``, ``corpus(match_id, scope, tokens)``. A query may
     appear under several scopes, one per prefix token; both sides then carry ``place``, the
@@ -94,10 +95,11 @@ def grid_matches(queries: DataFrame, corpus: DataFrame, k: int, floor: float) ->
     )
 
     def comparable(entry: Column) -> Column:
+        other = entry["match_id"] != F.col("query_id") if skip_self else F.lit(True)
         if floor <= 0:
-            return entry["match_id"] != F.col("query_id")
+            return other
         fits = (entry["size"] >= F.col("lo")) & (entry["size"] <= F.col("hi"))
-        return fits & (entry["hi"] >= F.col("size")) & (entry["match_id"] != F.col("query_id"))
+        return fits & (entry["hi"] >= F.col("size")) & other
 
     counted = F.transform(
         F.filter("entries", comparable),
@@ -154,7 +156,7 @@ def resolve_targets(relations: DataFrame, claims: DataFrame) -> DataFrame:
     )
     corpus = _smallest_copies(corpus, ["scope", "tokens"], MAX_CANDIDATES)
     top = (
-        grid_matches(stage(queries, "queries"), stage(corpus, "corpus"), MAX_CANDIDATES, 0.0)
+        grid_matches(stage(queries, "queries"), stage(corpus, "corpus"), MAX_CANDIDATES, 0.0, skip_self=False)
         .groupBy(F.col("query_id").alias("assertion_id"))
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "match_id"))).alias("top"))
     )
@@ -406,7 +408,7 @@ def align_greedy(gold: DataFrame, predicted: DataFrame, threshold: float = ALIGN
     corpus = predicted.select(F.col("pred_id").alias("match_id"), F.col("paper").alias("scope"), F.sort_array("tokens").alias("tokens"))
     corpus = _smallest_copies(corpus, ["scope", "tokens"], most)
     pairs = stage(
-        grid_matches(stage(queries.filter(F.size("tokens") > 0), "queries"), stage(corpus, "corpus"), most, threshold).select(
+        grid_matches(stage(queries.filter(F.size("tokens") > 0), "queries"), stage(corpus, "corpus"), most, threshold, skip_self=False).select(
             F.col("query_id").alias("gold_id"), F.col("match_id").alias("pred_id"), "score"
         ),
         "pairs",
