@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Entries a worker keeps of words already encoded; a full cache starts anew.
-CACHED = 300_000
+CACHED = 200_000
 #: Longer runs without white space are not worth keeping.
 CACHED_CHARS = 64
 _SPACES = "\t-\r \x85\xa0  -     　"
@@ -52,7 +52,7 @@ class WordBpe:
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.symbols = byte_symbols()
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -84,12 +84,12 @@ class WordBpe:
                 heapq.heappush(heap, (rank, before[i], made, left))
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
         if found is None:
             symbols = [self.symbols[b] for b in piece.encode("utf-8", "surrogatepass")]
             symbols[-1] += self.end
-            found = self.merge([self.vocab[s] for s in symbols if s in self.vocab])
+            found = np.array(self.merge([self.vocab[s] for s in symbols if s in self.vocab]), "<u4").tobytes()
             if len(piece) <= CACHED_CHARS:
                 if len(self._pieces) >= CACHED:
                     self._pieces.clear()
@@ -101,10 +101,7 @@ class WordBpe:
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         lowered = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()  # no special form for a final sigma
-        out: list[int] = []
-        for piece in _PIECE.findall(lowered):
-            out += self._piece(piece)
-        return np.array(out, "<u4").tobytes()
+        return b"".join([self._piece(p) for p in _PIECE.findall(lowered)])
 
     def _plain(self, text: str) -> bytes:
         chunks = [c for c in _SPACE_RUN.split(text) if c] if _ONLY_PYTHON_SPACES.search(text) else text.split()

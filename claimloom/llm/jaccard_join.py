@@ -29,8 +29,10 @@ CELL = 1000
 LOCAL_REPEATS = 4
 COMMON = 500_000
 #: Incidence entries per block of the product, and n-grams a counting task holds.
-BLOCK_ENTRIES, HELD = 1_000_000, 4_000_000
+BLOCK_ENTRIES, HELD = 1_000_000, 2_000_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)[:MINIMA]
+#: Bits of a set's parity sketch; nodes of a second round of first links, and its random stars.
+SKETCH, CROWD, STARS = 1024, 16, 3
 
 
 # --- n-gram sets --------------------------------------------------------------------------------
@@ -40,7 +42,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept for the next time; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -78,6 +80,20 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parity of the members that fall on each of ``SKETCH`` bits.
+
+    Members of both sets cancel, so two sketches differ in at most as many bits as there are
+    members of one set only. That bounds the overlap from above.
+    """
+    return np.packbits(np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def may_overlap(differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b whose sketches differ in so many bits can still link."""
+    return (a + b - differ) // 2 >= least_overlap(a, b)
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest intersection of sets of these sizes that links them."""
     return -(-(NUM * (a + b)) // (NUM + DEN))
@@ -93,42 +109,46 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _summaries(docs: DataFrame) -> DataFrame:
     """One row per document (set, size, minima), and rows (gram, seen) of n-grams repeated in a task. Written once."""
     kind = docs.schema["doc_id"].dataType
-    schema = f"doc_id {kind.simpleString()}, node long, n long, minima array<long>, key long, n_seen long"
+    schema = f"doc_id {kind.simpleString()}, node long, n long, minima array<long>, sketch binary, key long, n_seen long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
 
+        names = ["doc_id", "node", "n", "minima", "sketch", "key", "n_seen"]
+
         def repeats(id_type: pa.DataType) -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= LOCAL_REPEATS
             k = int(often.sum())
-            columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(grams[often])), pa.array(counts[often].astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "minima", "key", "n_seen"])
+            columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(_signed(grams[often])), pa.array(counts[often].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            nodes, sizes, minima = [], [], []
+            nodes, sizes, minima, sketches = [], [], [], []
             for text in batch.column("text"):
                 grams = shingles(text.as_py())
                 sizes.append(len(grams))
                 nodes.append(node_of(grams) if len(grams) else None)
-                minima.append(_signed(np.array([_mixed(grams ^ s).min() ^ s for s in _SEEDS], np.uint64)) if len(grams) else None)
+                minima.append(_signed(_mixed(grams ^ _SEEDS[:, None]).min(axis=1)) if len(grams) else None)
+                sketches.append(sketch(grams) if len(grams) else None)
                 if len(grams) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     held.append(grams)
                     size += len(grams)
             n = batch.num_rows
-            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "minima", "key", "n_seen"])
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
             if size > HELD:
                 yield repeats(id_type)
                 held, size = [], 0
                 seen.clear()
         if held:
             yield repeats(id_type)
+        _HASHES.clear()  # a worker lives on for other tasks
 
     return stage(docs.select("doc_id", "text").mapInArrow(run, schema), "summaries")
 
@@ -144,10 +164,12 @@ def _entries(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
+        maybe = np.zeros(1 << 22, bool)  # most n-grams are not common, and are told so by their first bits
+        maybe[keys >> np.uint64(42)] = True
         seen: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                parts: list[list[np.ndarray]] = [[], [], [], [], []]
+                parts: list[list] = [[], [], [], []]  # entries, common flags; node and size of each set
                 for text in batch.slice(start, 512).column("text"):
                     grams = shingles(text.as_py())
                     n = len(grams)
@@ -157,18 +179,27 @@ def _entries(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                         seen.clear()
                     seen.add(node)
                     kept = n - -(-NUM * n // DEN) + 1
-                    at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
-                    wide = keys[at] == grams if len(keys) else np.zeros(n, bool)
-                    last = np.flatnonzero(wide)
-                    order = np.concatenate((np.flatnonzero(~wide), last[np.lexsort((grams[last], counts[at[last]]))] if len(last) else last))[:kept]
-                    for part, values in zip(parts, (grams[order], np.full(kept, node), np.full(kept, n), np.arange(kept), wide[order]), strict=True):
-                        part.append(values)
+                    wide = maybe[grams >> np.uint64(42)]
+                    if wide.any():
+                        hits = np.flatnonzero(wide)
+                        at = np.minimum(np.searchsorted(keys, grams[hits]), len(keys) - 1)
+                        real = keys[at] == grams[hits]
+                        wide[hits[~real]] = False
+                        last, at = hits[real], at[real]
+                        order = np.concatenate((np.flatnonzero(~wide), last[np.lexsort((grams[last], counts[at]))]))[:kept]
+                        grams, wide = grams[order], wide[order]
+                    for part, value in zip(parts, (grams[:kept], wide[:kept], node, n), strict=True):
+                        part.append(value)
                 if parts[0]:
-                    key, node, size, place, wide = (np.concatenate(p) for p in parts)
+                    key, wide = np.concatenate(parts[0]), np.concatenate(parts[1])
+                    lengths = np.array([len(k) for k in parts[0]])
+                    node, size = np.repeat(np.array(parts[2], np.int64), lengths), np.repeat(np.array(parts[3], np.int64), lengths)
+                    place = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(_signed(key)), pa.array(node), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(wide)],
                         ["key", "node", "n", "place", "wide"],
                     )
+        _HASHES.clear()
 
     return docs.select("text").mapInArrow(run, "key long, node long, n int, place int, wide boolean")
 
@@ -183,6 +214,7 @@ def _sets(rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
                 found = [shingles(t.as_py()) for t in part.column("text")]
                 columns = [part.column(c) for c in carry] + [pa.array([node_of(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*carry, "node", "grams"])
+        _HASHES.clear()
 
     schema = ", ".join([*(f"{c} long" for c in carry), "node long", "grams binary"])
     return rows.select(*carry, "text").mapInArrow(run, schema)
@@ -191,28 +223,51 @@ def _sets(rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
 # --- products -------------------------------------------------------------------------------------
 
 
-def _products(key_runs: tuple[np.ndarray, np.ndarray], node: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.ndarray | None, group: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of one column that may still link: sizes near enough, enough left after this place.
+def _may_link(n: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether entries of one column may belong to a link: sizes near enough, enough left from this place on."""
+    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    return (DEN * small >= NUM * large) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= least_overlap(n[a], n[b]))
 
-    ``side``: 0 where both sides of a cell are the same rows, else 1 and 2; ``group``: known
-    components, pairs inside which are settled.
+
+def _small_products(starts: np.ndarray, stops: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within small columns, all columns of one length at a time."""
+    length = stops - starts
+    for size in np.unique(length).tolist():
+        i, j = np.triu_indices(size, 1)
+        of_size = starts[length == size]
+        step = max(1, 500_000 // max(len(i), 1))  # bounded temporaries
+        for first in range(0, len(of_size), step):
+            at = of_size[first : first + step, None]
+            a, b = (at + i).ravel(), (at + j).ravel()
+            ok = _may_link(n, place, a, b)
+            yield node[a[ok]], node[b[ok]]
+
+
+def _cell_products(
+    starts: np.ndarray, stops: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.ndarray, group: np.ndarray, signs: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within cells: ``side`` is 0 where both sides are the same rows, else 1 and 2.
+
+    Pairs inside a known component are settled. Sketches, as rows of signs, multiply to the
+    number of bits that agree less those that differ.
     """
-    starts, stops = key_runs
     for first, stop in zip(starts.tolist(), stops.tolist(), strict=True):
         rows = np.arange(first, stop)
-        if side is not None and side[first:stop].any():
+        if side[first:stop].any():
             left, right = rows[side[first:stop] == 1], rows[side[first:stop] == 2]
         else:
             left = right = rows
+        if not len(left) or not len(right):
+            continue
+        other = signs[right].astype(np.float32).T
         for i in range(0, len(left), 256):  # bounded temporaries
-            a, b = left[i : i + 256, None], right[None, :]
-            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            ok = (DEN * small >= NUM * large) & (1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1 >= least_overlap(n[a], n[b]))
+            mine = left[i : i + 256]
+            a, b = mine[:, None], right[None, :]
+            ok = _may_link(n, place, a, b) & (group[a] != group[b])
             ok &= node[a] < node[b] if left is right else node[a] != node[b]
-            if group is not None:
-                ok &= group[a] != group[b]
-            x, y = np.nonzero(ok)
-            yield node[left[i + x]], node[right[y]]
+            differ = (SKETCH - signs[mine].astype(np.float32) @ other).astype(np.int64) // 2
+            x, y = np.nonzero(ok & may_overlap(differ, n[a], n[b]))
+            yield node[mine[x]], node[right[y]]
 
 
 def _counted(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +307,11 @@ def _block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = _columns(batches, ("key", "node", "n", "place", "wide"))
     if not columns:
         return
-    order = np.lexsort((columns[1], columns[0]))
+    order = np.argsort(columns[0])
+    starts, stops = _runs(columns[0][order])
+    met = np.repeat((stops - starts > 1) | columns[4][order][starts], stops - starts)
+    order = order[met]  # an n-gram of one set links nothing
+    order = order[np.lexsort((columns[1][order], columns[0][order]))]
     key, node, n, place, wide = (c[order] for c in columns)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a set may come from several tasks
@@ -260,7 +319,7 @@ def _block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts, stops = _runs(key)
     length = stops - starts
     small = (length > 1) & (length <= DENSE) & ~wide[starts]
-    a, b, shared = _counted(list(_products((starts[small], stops[small]), node, n, place, None, None)))
+    a, b, shared = _counted(list(_small_products(starts[small], stops[small], node, n, place)))
     if len(a):
         k = len(a)
         yield pa.RecordBatch.from_arrays(
@@ -278,17 +337,19 @@ def _block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells of large columns: pairs of rows in different components."""
-    columns = _columns(batches, ("key", "row", "col", "side", "node", "n", "place", "component"))
+    columns = _columns(batches, ("key", "row", "col", "side", "node", "n", "place", "component", "sketch"))
     if not columns:
         return
     order = np.lexsort((columns[2], columns[1], columns[0]))
-    key, row, col, side, node, n, place, component = (c[order] for c in columns)
-    runs = _runs(key, row, col)
-    a, b, shared = _counted(list(_products(runs, node, n.astype(np.int64), place.astype(np.int64), side, component)))
+    key, row, col, side, node, n, place, component, sketches = (c[order] for c in columns)
+    bits = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(key), -1), axis=1)
+    signs = bits.view(np.int8) * np.int8(2) - np.int8(1)
+    starts, stops = _runs(key, row, col)
+    a, b, shared = _counted(list(_cell_products(starts, stops, node, n.astype(np.int64), place.astype(np.int64), side, component, signs)))
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int64))], ["a", "b", "shared"])
 
 
-def _grid(entries: DataFrame, components: DataFrame) -> DataFrame:
+def _grid(entries: DataFrame, components: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs within large columns of the incidence, across components.
 
     In each column the rows of its largest component are *settled* among themselves. The others
@@ -310,7 +371,7 @@ def _grid(entries: DataFrame, components: DataFrame) -> DataFrame:
         ),
         "wide-keys",
     )
-    joined = rows.join(columns, "key")
+    joined = stage(rows.join(columns, "key"), "wide-cells").join(classes.select("node", "sketch"), "node")
     settled = F.col("component") == F.col("major")
     own = F.pmod(F.xxhash64("node"), F.when(settled, F.col("major_parts")).otherwise(F.col("parts"))).cast("int")
     at = joined.withColumn("own", own)
@@ -333,7 +394,7 @@ def _grid(entries: DataFrame, components: DataFrame) -> DataFrame:
         ),
     )
     cells = at.withColumn("cell", F.explode(F.when(settled, of_settled).otherwise(of_others)))
-    cells = cells.select("key", "cell.row", "cell.col", "cell.side", "node", "n", "place", "component")
+    cells = cells.select("key", "cell.row", "cell.col", "cell.side", "node", "n", "place", "component", "sketch")
     return cells.repartition("key", "row", "col").mapInArrow(_cell, "a long, b long, shared long")
 
 
@@ -351,6 +412,30 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
+def _compare_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
+        a, b = (batch.column(c).to_numpy() for c in ("a_n", "b_n"))
+        ok = may_overlap(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64), a, b) & (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b))
+        mask = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches leave open; no link is among the others. Written once."""
+    mine = classes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    other = classes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    joined = stage(pairs.select("a", "b"), "pairs").join(mine, "a").join(other, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    return stage(joined.mapInArrow(_compare_sketches, "a long, b long"), "plausible")
+
+
+def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components so far."""
+    mine = components.select(F.col("node").alias("a"), F.col("component").alias("a_part"))
+    other = components.select(F.col("node").alias("b"), F.col("component").alias("b_part"))
+    return pairs.join(mine, "a", "left").join(other, "b", "left").filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+
+
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that link, by their whole sets. Written once.
 
@@ -378,12 +463,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. One pass gives every document its set's identity, size and ``MINIMA`` independent minima, and
        finds n-grams repeated inside a task.
-    2. Nodes that share a minimum are compared with the smallest node that has it. What links makes
-       the first components, which settles most of a large group in one comparison per member.
+    2. Nodes that share a minimum are compared with the smallest node that has it, then, where a
+       crowd shares one and is not yet one component, with the smallest of some random sixteen.
+       What links makes the first components: a few comparisons per member settle large groups.
     3. Another pass gives the leading entries of every node, common n-grams last, in blocks of
        columns. A block multiplies its small columns and counts shared entries per pair; pairs
-       whose sizes, or what is left of either set, cannot reach the threshold are discarded.
-       Large columns are multiplied in cells, across components only.
+       whose sizes, or what is left of either set, cannot reach the threshold are discarded, and
+       so are those whose parity sketches differ in too many bits. Large columns are multiplied in
+       cells, across components only.
     4. Pairs still in different components are compared by their whole sets, and components are
        closed over all links.
 
@@ -393,9 +480,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows. Other columns are ignored.
     """
     found = _summaries(docs)
-    rows = found.filter("n is not null").select("doc_id", "node", "n", "minima")
+    rows = found.filter("n is not null").select("doc_id", "node", "n", "minima", "sketch")
     classes = stage(
-        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("minima").alias("minima")), "sets"
+        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch")), "sets"
     )
     repeated = found.filter("key is not null").groupBy("key").agg(F.sum("n_seen").alias("n"))
     top = most_frequent(stage(repeated, "repeated"), COMMON)
@@ -403,28 +490,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = np.argsort(keys)
     common = keys[order], np.array([r["n"] for r in top], np.int64)[order]
 
-    minima = classes.select("node", "n", F.posexplode("minima").alias("which", "least"))
-    leaders = stage(
-        minima.groupBy("which", "least").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("nodes"))
-        .filter("nodes > 1").select("which", "least", F.col("leader.node").alias("b"), F.col("leader.n").alias("b_n")),
-        "leaders",
-    )
-    near = (DEN * F.least("n", "b_n") >= NUM * F.greatest("n", "b_n")) & (F.col("node") != F.col("b"))
-    star = stage(minima.join(leaders, ["which", "least"]).filter(near).select(F.col("node").alias("a"), "b").distinct(), "stars")
-    star_links = _linked(docs, classes, star)
-    settled = _components(star_links)
+    minima = classes.select("node", F.posexplode("minima").alias("which", "least"))
+    group = ["which", "least"]
+    leaders = stage(minima.groupBy(*group).agg(F.min("node").alias("b"), F.count("*").alias("nodes")).filter("nodes > 1"), "leaders")
+    star = minima.join(leaders, group).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    links = _linked(docs, classes, _plausible(star, classes))
+    settled = _components(links)
+
+    crowds = leaders.filter(F.col("nodes") > CROWD).select(*group, "nodes")
+    members = stage(minima.join(crowds, group).join(settled.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "crowds")
+    open_ = members.groupBy(*group).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(*group)
+    near = stage(members.join(stage(open_, "open"), group).select("node", *group, "nodes", F.explode(F.array(*[F.lit(i) for i in range(STARS)])).alias("star")), "near")
+    bucket = F.pmod(F.xxhash64("node", "star"), F.ceil(F.col("nodes") / CROWD)).alias("bucket")
+    near = near.select("node", *group, "star", bucket)
+    centres = stage(near.groupBy(*group, "star", "bucket").agg(F.min("node").alias("b")), "centres")
+    random = near.join(centres, [*group, "star", "bucket"]).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    links = links.unionByName(_linked(docs, classes, _plausible(_across(random, settled), classes)))
+    settled = _components(links)
 
     entries = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     blocks = max(-(-entries // BLOCK_ENTRIES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     apart = F.when(F.col("wide"), F.xxhash64("node")).otherwise(0)  # entries of common n-grams go anywhere
     multiplied = stage(_entries(docs, common).repartition(blocks, "key", apart).mapInArrow(_block, _BLOCK), "products")
-    wide = _grid(multiplied.filter("key is not null").select("key", "node", "n", "place"), settled)
+    wide = _grid(multiplied.filter("key is not null").select("key", "node", "n", "place"), settled, classes)
     counted = multiplied.filter("a is not null").select("a", "b", "shared").unionByName(wide).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    mine = settled.select(F.col("node").alias("a"), F.col("component").alias("a_part"))
-    other = settled.select(F.col("node").alias("b"), F.col("component").alias("b_part"))
-    parted = F.coalesce("a_part", "a") != F.coalesce("b_part", "b")
-    candidates = stage(counted.join(mine, "a", "left").join(other, "b", "left").filter(parted).select("a", "b"), "candidates")
-    links = star_links.unionByName(_linked(docs, classes, candidates))
+    candidates = _plausible(_across(counted, settled), classes)
+    links = links.unionByName(_linked(docs, classes, candidates))
 
     parts = _components(links)
     labelled = classes.join(parts, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))

@@ -26,7 +26,8 @@ PERCENTILE = 0.95
 #: A writer closes a file at the first document that takes it to this many ids.
 FILE_IDS = 4 << 20
 MAGIC = b"PFORIDS1"
-CACHED, CACHED_CHARS = 300_000, 64
+#: Entries a worker keeps of parts of texts already encoded; a full cache starts anew.
+CACHED, CACHED_CHARS = 600_000, 64
 
 # --- blocks -----------------------------------------------------------------------------------
 
@@ -132,8 +133,9 @@ class TokenFile:
 
 # --- encoding ---------------------------------------------------------------------------------
 
-#: Characters that Python's classes and the tokenizer's count differently; texts with them are encoded whole.
-_ODD = re.compile("[\x1c-\x1f" + "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
+#: Characters that Python's classes and the tokenizer's count differently; parts with them go to the tokenizer as they are.
+_CONTROL = re.compile("[\x1c-\x1f]")
+_ODD = re.compile("[" + "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
 # fixed value: the pre-tokenizer's pattern, in classes of Python's re
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _UNEVEN = re.compile(r" \s|\s |^\s|\s\Z")
@@ -157,18 +159,29 @@ class ByteEncoder:
         self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.symbols = byte_symbols()
         self._parts: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self._pieces.get(piece)
+        if found is None:
+            tokens = self.model.tokenize("".join([self.symbols[b] for b in piece.encode()]))
+            found = np.array([t.id for t in tokens], "<u4").tobytes()
+            if len(piece) <= CACHED_CHARS:
+                if len(self._pieces) >= CACHED:
+                    self._pieces.clear()
+                self._pieces[piece] = found
+        return found
 
     def _fresh(self, part: str) -> bytes:
-        ids: list[int] = []
-        for piece in _PIECE.findall(part):
-            ids += [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in piece.encode()]))]
-        return np.array(ids, "<u4").tobytes()
+        if _CONTROL.search(part) or not part.isascii() and _ODD.search(part):
+            return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self._piece(p) for p in _PIECE.findall(part)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
         if not text:
             return b""
-        if _ODD.search(text) or any(a in text for a in self.added):
+        if any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = _SINGLE_SPACE.split(text) if _UNEVEN.search(text) else text.split(" ")
         get = self._parts.get

@@ -10,7 +10,6 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
