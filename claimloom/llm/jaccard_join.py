@@ -89,6 +89,20 @@ def sketch(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
+def long_sketch(grams: np.ndarray) -> bytes | None:
+    """Of a large set, whose short sketch is full, a longer one: at least two bits a member, by powers of two."""
+    if 2 * len(grams) <= SKETCH:
+        return None
+    bits = 1 << (2 * len(grams) - 1).bit_length()
+    return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two long sketches differ, the longer folded onto the shorter: parities of its parts add up."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def may_overlap(differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sets of sizes a and b whose sketches differ in so many bits can still link."""
     return (a + b - differ) // 2 >= least_overlap(a, b)
@@ -109,38 +123,39 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _summaries(docs: DataFrame) -> DataFrame:
     """One row per document (set, size, minima), and rows (gram, seen) of n-grams repeated in a task. Written once."""
     kind = docs.schema["doc_id"].dataType
-    schema = f"doc_id {kind.simpleString()}, node long, n long, minima array<long>, sketch binary, key long, n_seen long"
+    schema = f"doc_id {kind.simpleString()}, node long, n long, minima array<long>, sketch binary, long_sketch binary, key long, n_seen long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
 
-        names = ["doc_id", "node", "n", "minima", "sketch", "key", "n_seen"]
+        names = ["doc_id", "node", "n", "minima", "sketch", "long_sketch", "key", "n_seen"]
 
         def repeats(id_type: pa.DataType) -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= LOCAL_REPEATS
             k = int(often.sum())
-            columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(_signed(grams[often])), pa.array(counts[often].astype(np.int64))]
+            columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(_signed(grams[often])), pa.array(counts[often].astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, names)
 
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            nodes, sizes, minima, sketches = [], [], [], []
+            nodes, sizes, minima, sketches, longer = [], [], [], [], []
             for text in batch.column("text"):
                 grams = shingles(text.as_py())
                 sizes.append(len(grams))
                 nodes.append(node_of(grams) if len(grams) else None)
                 minima.append(_signed(_mixed(grams ^ _SEEDS[:, None]).min(axis=1)) if len(grams) else None)
                 sketches.append(sketch(grams) if len(grams) else None)
+                longer.append(long_sketch(grams))
                 if len(grams) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     held.append(grams)
                     size += len(grams)
             n = batch.num_rows
-            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(longer, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
             if size > HELD:
                 yield repeats(id_type)
@@ -421,12 +436,24 @@ def _compare_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
+def _compare_long_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch"))
+        ok = [x is None or y is None or bool(may_overlap(bits_apart(x, y), m, n)) for m, n, x, y in zip(*columns, strict=True)]
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that sizes and sketches leave open; no link is among the others. Written once."""
     mine = classes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
     other = classes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
     joined = stage(pairs.select("a", "b"), "pairs").join(mine, "a").join(other, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
-    return stage(joined.mapInArrow(_compare_sketches, "a long, b long"), "plausible")
+    near = stage(joined.mapInArrow(_compare_sketches, "a long, b long"), "near")
+    mine = classes.filter("long_sketch is not null").select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("long_sketch").alias("a_sketch"))
+    other = classes.filter("long_sketch is not null").select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("long_sketch").alias("b_sketch"))
+    longer = near.join(mine, "a", "left").join(other, "b", "left").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    return stage(longer.mapInArrow(_compare_long_sketches, "a long, b long"), "plausible")
 
 
 def _across(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -480,9 +507,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows. Other columns are ignored.
     """
     found = _summaries(docs)
-    rows = found.filter("n is not null").select("doc_id", "node", "n", "minima", "sketch")
+    rows = found.filter("n is not null").select("doc_id", "node", "n", "minima", "sketch", "long_sketch")
     classes = stage(
-        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch")), "sets"
+        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"), F.first("long_sketch").alias("long_sketch")), "sets"
     )
     repeated = found.filter("key is not null").groupBy("key").agg(F.sum("n_seen").alias("n"))
     top = most_frequent(stage(repeated, "repeated"), COMMON)

@@ -107,6 +107,23 @@ def test_limits_at_the_threshold():
     assert (100 * need >= 75 * (a + b - need)).all() and (100 * (need - 1) < 75 * (a + b - need + 1)).all()
 
 
+def test_sketches_never_hide_a_link():
+    rng = np.random.default_rng(4)
+    for n, changed in ((300, 20), (900, 60), (5000, 700), (5000, 900), (700, 0)):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[changed:], rng.integers(0, 2**63, changed // 3, dtype=np.uint64))))
+        apart = len(np.setxor1d(a, b))
+        short = np.bitwise_count(np.frombuffer(jaccard_join.sketch(a), np.uint64) ^ np.frombuffer(jaccard_join.sketch(b), np.uint64)).sum()
+        assert short <= apart and (apart - short) % 2 == 0
+        x, y = jaccard_join.long_sketch(a), jaccard_join.long_sketch(b)
+        assert (x is None) == (2 * len(a) <= jaccard_join.SKETCH)
+        if x and y:
+            assert jaccard_join.bits_apart(x, y) == jaccard_join.bits_apart(y, x) <= apart
+    whole, half = np.arange(4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(1900, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert len(jaccard_join.long_sketch(whole)) > len(jaccard_join.long_sketch(half))
+    assert jaccard_join.bits_apart(jaccard_join.long_sketch(whole), jaccard_join.long_sketch(half)) <= 2100
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(d, t) for d, t in hard_rows(3) if d is not None]
     docs = docs_frame(spark, [(d, t, "en", "s") for d, t in rows])
