@@ -7,6 +7,7 @@ import sys
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -138,7 +139,8 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _ODD = re.compile("[" + "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
 # fixed value: the pre-tokenizer's pattern, in classes of Python's re
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_UNEVEN = re.compile(r" \s|\s |^\s|\s\Z")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_ENDINGS = frozenset(".,;:!?")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -157,21 +159,29 @@ class ByteEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self._parts: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
         if found is None:
-            tokens = self.model.tokenize("".join([self.symbols[b] for b in piece.encode()]))
-            found = np.array([t.id for t in tokens], "<u4").tobytes()
+            symbols = piece.encode().decode("latin-1").translate(self.symbols)
+            found = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
             if len(piece) <= CACHED_CHARS:
                 if len(self._pieces) >= CACHED:
                     self._pieces.clear()
                 self._pieces[piece] = found
         return found
 
+    def _after_space(self, part: str) -> bytes:
+        """A part that follows a space: mostly letters, which are one piece, and a mark, which is another."""
+        if part.isalpha():
+            return self._piece(" " + part)
+        if part[-1] in _ENDINGS and part[:-1].isalpha():
+            return self._piece(" " + part[:-1]) + self._piece(part[-1])
+        return self._fresh(" " + part)
+
     def _fresh(self, part: str) -> bytes:
         if _CONTROL.search(part) or not part.isascii() and _ODD.search(part):
             return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -183,7 +193,8 @@ class ByteEncoder:
             return b""
         if any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = _SINGLE_SPACE.split(text) if _UNEVEN.search(text) else text.split(" ")
+        uneven = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text)
+        parts = _SINGLE_SPACE.split(text) if uneven else text.split(" ")
         get = self._parts.get
         packed = [get(p) for p in parts]
         packed[0] = self._fresh(parts[0])
@@ -191,7 +202,7 @@ class ByteEncoder:
             for i, found in enumerate(packed):
                 if found is None:
                     part = parts[i]
-                    packed[i] = self._fresh(" " + part)
+                    packed[i] = self._after_space(part)
                     if len(part) <= CACHED_CHARS:
                         if len(self._parts) >= CACHED:
                             self._parts.clear()
