@@ -11,6 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ from ..plans.lineage import stage
 
 #: Rows a counting task holds before it hands them on; sums are finished by Spark.
 HELD_ROWS = 400_000
+#: Tokens a scoring task works on at once, and n-grams whose weights it carries; scores depend on neither.
+BLOCK_TOKENS, CARRIED = 1_500_000, 300_000
+#: Bits of the filter that tells most n-grams seen too rarely; it saves work, scores do not depend on it.
+FILTER_BITS = 28
 END = b""  # no word is empty, so the end of a text can take the empty one
 
 
@@ -62,8 +69,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
 
 
-def most_frequent(counted: DataFrame, limit: int, least: int = 1) -> list:
-    """At most ``limit`` rows of a table with counts ``n``: as many of its highest counts as fit whole.
+def lowest_count(counted: DataFrame, limit: int, least: int = 1) -> int | None:
+    """The count from which at most ``limit`` rows of a table with counts ``n`` are left; None if no class fits.
 
     The cut is read from a histogram of fixed size: one class per count up to 4096, then 64 per
     doubling.
@@ -76,6 +83,12 @@ def most_frequent(counted: DataFrame, limit: int, least: int = 1) -> list:
         if room < 0:
             break
         cut = r["lowest"]
+    return cut
+
+
+def most_frequent(counted: DataFrame, limit: int, least: int = 1) -> list:
+    """At most ``limit`` rows of a table with counts ``n``: as many of its highest counts as fit whole."""
+    cut = lowest_count(counted, limit, least)
     return [] if cut is None else counted.filter(F.col("n") >= cut).collect()
 
 
@@ -251,23 +264,14 @@ def _built(model_id: str, parts: tuple) -> tuple[Automaton, np.ndarray]:
     return _BUILT[model_id]
 
 
-def score_documents(
-    docs: DataFrame, order: int = 2, head_words: int = 200_000, state_words: int = 20_000, kept_grams: int = 200_000, least: int = 2
-) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
+def _score_bounded(docs: DataFrame, order: int, head_words: int, state_words: int, kept_grams: int, least: int) -> DataFrame:
+    """Scores under a model that every task carries, cut where the caller says.
 
-    Words are counted over all training documents, then n-grams level by level, over all of them
-    too: a candidate has kept parts and words among the ``state_words`` most frequent. The model
-    that every task carries is bounded: at most ``head_words`` words and, at each level,
-    ``kept_grams`` n-grams seen ``least`` times or more, the most frequent first; the last count is
-    taken whole or not at all, so no tie is broken.
-    Words outside the head meet their counts in a shuffle join instead, so both scores use the
-    exact count of every token.
-
-    ``base_score`` is the add-one unigram score, ``score`` that of the automaton, both log10 of
-    the whole text and its end. Nulls: a null text is empty (only the end is scored), a null id
-    counts as the empty text. Rows repeated are scored one by one. An empty table gives no rows;
-    without training documents every token has probability one. Other columns are ignored.
+    A candidate n-gram has kept parts and words among the ``state_words`` most frequent. The model
+    has at most ``head_words`` words and, at each level, ``kept_grams`` n-grams seen ``least`` times
+    or more, the most frequent first; the last count is taken whole or not at all, so no tie is
+    broken. Words outside the head meet their counts in a shuffle join instead, so both scores use
+    the exact count of every token.
     """
     vocabulary = count_words(docs)
     total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -327,3 +331,266 @@ def score_documents(
         (F.col("base") + F.coalesce("extra", none)).alias("base_score"),
         (F.col("own") + F.coalesce("extra", none)).alias("score"),
     )
+
+
+# --- the whole model, as tables -----------------------------------------------------------------
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(a, b)`` of two 64-bit columns."""
+    p1, p2, p3, p4 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
+
+    def turned(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+    h = np.full(len(a), 42, np.uint64)
+    for x in (a, b):
+        h = h + np.uint64(0x27D4EB2F165667CD)  # the last prime and the width of a number
+        h = turned(h ^ (turned(x.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+class _WordKeys(dict):
+    """64-bit keys of words, kept for the next time; starts anew when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_ROWS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def _blocks(texts: Iterable[str | None], keys: _WordKeys) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word keys of whole texts, each after the end of a text; place in the text; number of the text in the block."""
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in held])
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.concatenate(held), np.arange(len(starts)) - starts, np.repeat(np.arange(len(sizes)), sizes)
+
+    held, size = [], 0
+    for text in texts:
+        words = tokens(text)
+        held.append(np.fromiter(map(keys.__getitem__, [END, *words]), np.uint64, len(words) + 1).view(np.int64))
+        size += len(words) + 1
+        if size > BLOCK_TOKENS:
+            yield block()
+            held, size = [], 0
+    if held:
+        yield block()
+
+
+def _longer(keys: np.ndarray) -> np.ndarray:
+    """Keys of n-grams one longer, at the places where they end; the first place has none."""
+    return np.concatenate((keys[:1], pair_keys(keys[:-1], keys[1:])))
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the table the filter was made of."""
+    at = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def key_filter(table: DataFrame) -> np.ndarray:
+    """A bit for the last ``FILTER_BITS`` bits of every ``key``; its size is fixed."""
+    mask = (1 << FILTER_BITS) - 1
+    rows = table.groupBy(F.expr(f"shiftright(key & {mask}L, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63L as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def count_keys(docs: DataFrame) -> DataFrame:
+    """(key, n): exact count of every token of the training documents by its 64-bit key. Written once."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, place, _ in _blocks(_training_texts(batches), _WordKeys()):
+            found, n = np.unique(keys[place > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["key", "n"])
+
+    return stage(docs.select("doc_id", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+
+
+def count_pairs(docs: DataFrame, level: int, shorter: DataFrame, least: int) -> DataFrame:
+    """(a, b, key, n): n-grams of ``level`` words seen ``least`` times, as all but the last word, all but the first. Written once.
+
+    Parts are seen as often as the whole, so pairs of which ``shorter`` lacks a part need no count.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(shorter))  # of fixed size
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n)], ["a", "b", "n"])
+
+        for keys, place, _ in _blocks(_training_texts(batches), _WordKeys()):
+            for _ in range(level - 2):
+                keys = _longer(keys)
+            maybe = _passes(shared.value, keys)
+            ends = np.flatnonzero((place[1:] >= level - 1) & maybe[1:] & maybe[:-1])
+            held.append((keys[ends], keys[ends + 1]))
+            size += len(ends)
+            if size > 8 * HELD_ROWS:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return stage(counted.select("a", "b", F.xxhash64("a", "b").alias("key"), "n"), "pairs")
+
+
+def weigh(docs: DataFrame, order: int, least: int) -> tuple[list[DataFrame], int, int]:
+    """Tables (key, n, own, base, known) of weights, a level each; number of training tokens and of distinct ones.
+
+    The log10 score of a text is the sum of ``own`` over all its n-grams, beside the constant
+    -log10(tokens + words + 1) of each token: a word adds its add-one count, an n-gram what its arc
+    differs from its failure arcs, and either, as a context, its failure weight.
+    """
+    words = count_keys(docs)
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    none = F.lit(0.0)
+    level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(total + kinds + 1))).alias("p"), F.log10(F.col("n") + 1).alias("own"))
+    level = level.select("*", F.col("own").alias("base"), F.lit(1).alias("known"))
+    weights = []
+    for k in range(2, order + 1):
+        kept = count_pairs(docs, k, level.filter(F.col("n") >= least), least)
+        seen = kept.groupBy("a").agg(F.sum("n").alias("mass"), F.count("*").alias("follow")).join(level.select(F.col("key").alias("a"), F.col("n").alias("seen")), "a")
+        below = F.greatest("seen", "mass") + F.col("follow")
+        contexts = stage(seen.select("a", below.alias("below"), (1 - F.col("mass") / below).alias("left")), "contexts")
+        failing = contexts.select(F.col("a").alias("key"), F.log10("left").alias("fail"))
+        weights.append(level.join(failing, "key", "left").select("key", "n", (F.col("own") + F.coalesce("fail", none)).alias("own"), "base", "known"))
+        arcs = kept.join(contexts, "a").join(level.select(F.col("key").alias("b"), F.col("p").alias("shorter")), "b")
+        chance = F.col("n") / F.col("below") + F.col("left") * F.col("shorter")
+        level = stage(arcs.select("key", "n", chance.alias("p"), (F.log10(chance) - F.log10("left") - F.log10("shorter")).alias("own")), "arcs")
+        level = level.select("*", none.alias("base"), F.lit(0).alias("known"))
+    return [stage(w.select("key", "n", "own", "base", "known"), "weights") for w in (*weights, level)], total, kinds
+
+
+def _sum_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of (key, row_no, rows) added up by row, as far as a task holds them."""
+    held, size, names = [], 0, ["own", "base", "known"]
+
+    def rows() -> pa.RecordBatch:
+        row_no, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+        found, at = np.unique(row_no, return_inverse=True)
+        sums = [np.bincount(at, v, len(found)) for v in values]
+        return pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums[:2]), pa.array(sums[2].astype(np.int64))], ["row_no", *names])
+
+    for batch in batches:
+        lists = batch.column("rows")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        row_no = np.repeat(batch.column("row_no").to_numpy(zero_copy_only=False), lengths) + lists.flatten().to_numpy(zero_copy_only=False)
+        held.append((row_no, *(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths) for c in names)))
+        size += len(row_no)
+        if size > 5 * HELD_ROWS:
+            yield rows()
+            held, size = [], 0
+    if held:
+        yield rows()
+
+
+def _score_whole(docs: DataFrame, order: int, least: int) -> DataFrame:
+    """Scores under all n-grams seen ``least`` times, looked up by a shuffle join.
+
+    A task carries the weights of the most frequent n-grams and adds them up itself. Of any other
+    that a filter lets pass, a block of texts sends one row with the texts it occurs in.
+    """
+    levels, total, kinds = weigh(docs, order, least)
+    weights = levels[0]
+    for w in levels[1:]:
+        weights = weights.unionByName(w)
+    cut = lowest_count(weights, CARRIED)
+    top = weights.filter(F.col("n") >= cut).toArrow().sort_by("key") if cut is not None else weights.limit(0).toArrow()
+    carried = tuple(top[c].to_numpy() for c in ("key", "own", "base", "known"))
+    rest = weights if cut is None else weights.filter(F.col("n") < cut)
+    shared = docs.sparkSession.sparkContext.broadcast((carried, [key_filter(w) for w in levels]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "own", "row_no", "key", "rows"]
+
+    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (top_keys, *values), filters = shared.value
+        ids: list = []
+        row_no = TaskContext.get().partitionId() << 40
+        words = _WordKeys()
+        id_type = pa.null()
+
+        def texts() -> Iterator[str | None]:
+            nonlocal id_type
+            for batch in batches:
+                id_type = batch.schema.field("doc_id").type
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    ids.append(doc_id)
+                    yield text.as_py()
+
+        for keys, place, number in _blocks(texts(), words):
+            n = number[-1] + 1
+            sums = [np.zeros(n) for _ in values]
+            for level, bits in enumerate(filters, 1):
+                keys = _longer(keys) if level > 1 else keys
+                ends = np.flatnonzero((place >= max(level - 1, 1)) & _passes(bits, keys))
+                ends = ends[np.argsort(keys[ends], kind="stable")]
+                found, first, times = np.unique(keys[ends], return_index=True, return_counts=True)
+                if len(top_keys):
+                    at = np.minimum(np.searchsorted(top_keys, found), len(top_keys) - 1)
+                    here = top_keys[at] == found
+                    inside = np.repeat(here, times)
+                    which, texts_of = np.repeat(at, times)[inside], number[ends[inside]]
+                    sums = [s + np.bincount(texts_of, v[which], n) for s, v in zip(sums, values, strict=True)]
+                    ends, found, times = ends[~inside], found[~here], times[~here]
+                for part in range(0, len(found), 100_000):
+                    t = times[part : part + 100_000]
+                    before = int(times[:part].sum())
+                    offsets = np.concatenate(([0], np.cumsum(t))).astype(np.int32)
+                    rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[ends[before : before + offsets[-1]]].astype(np.int32)))
+                    k = len(t)
+                    kinds_ = (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(k, x) for x in kinds_), pa.array(np.full(k, row_no)), pa.array(found[part : part + 100_000]), rows], names)
+            mine, own, base, known = ids[:n], *sums
+            del ids[:n]
+            held = [held_out(x) for x in mine]
+            columns = [pa.array(mine, id_type), pa.array(held), pa.array(np.bincount(number, minlength=n) - 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(row_no, row_no + n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names)
+            row_no += int(n)
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, own double, row_no long, key long, rows array<int>"
+    sent = stage(docs.select("doc_id", "text").mapInArrow(look_up, schema), "looked-up")
+    asked = sent.filter("key is not null").select("key", "row_no", "rows").join(rest.select("key", "own", "base", "known"), "key")
+    parts = asked.select("row_no", "rows", "own", "base", "known").mapInArrow(_sum_up, "row_no long, own double, base double, known long")
+    more = parts.groupBy("row_no").agg(*(F.sum(c).alias(f"more_{c}") for c in ("own", "base", "known")))
+    each = F.col("n_tokens") * F.lit(-math.log10(total + kinds + 1))
+    return sent.filter("key is null").join(more, "row_no", "left").select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (each + F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (each + F.col("own") + F.coalesce("more_own", F.lit(0.0))).alias("score"),
+    )
+
+
+def score_documents(
+    docs: DataFrame, order: int = 3, head_words: int | None = None, state_words: int | None = None, kept_grams: int | None = None, least: int = 2
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
+
+    Words are counted over all training documents, then n-grams level by level up to ``order``
+    words, over all of them too. Every n-gram seen ``least`` times or more is in the model, which is
+    a table of weights that grows with the data; words and n-grams are 64-bit hashes there. Only
+    where a caller gives a cut is the model small enough for a task to carry
+    (``_score_bounded``).
+
+    ``base_score`` is the add-one unigram score, ``score`` that of the interpolated n-grams, both
+    log10 of the whole text and its end. Nulls: a null text is empty (only the end is scored), a
+    null id counts as the empty text. Rows repeated are scored one by one. An empty table gives no
+    rows; without training documents every token has probability one. Other columns are ignored.
+    """
+    if head_words is state_words is kept_grams is None:
+        return _score_whole(docs, order, least)
+    every = np.iinfo(np.int32).max
+    return _score_bounded(docs, order, *(every if x is None else x for x in (head_words, state_words, kept_grams)), least)

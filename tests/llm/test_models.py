@@ -87,6 +87,52 @@ def test_scores_are_those_of_the_definition(odd_docs, odd_rows, order, head, sta
         ), (r, want[r.doc_id])
 
 
+def whole_scores(rows, order):
+    """Scores by definition under every n-gram seen twice, whatever the number of words."""
+    train = [lm_tokens(t) for d, t in rows if not is_held(d, 7, 2)]
+    counts = Counter(w for words in train for w in words)
+    total, kinds = sum(counts.values()), len(counts)
+    unigram = lambda w: (counts[w] + 1) / (total + kinds + 1)
+    levels, kept = {}, {(w,): n for w, n in counts.items()}
+    for n in range(2, order + 1):
+        grams = Counter(tuple(p[i : i + n]) for p in ([b"", *words] for words in train) for i in range(len(p) - n + 1))
+        levels[n - 1] = {}
+        for g, c in grams.items():
+            if c >= 2:
+                levels[n - 1].setdefault(g[:-1], (kept[g[:-1]], {}))[1][g[-1]] = c
+        kept = grams
+    out = []
+    for d, t in rows:
+        words = lm_tokens(t)
+        out.append((d, len(words), sum(counts[w] > 0 for w in words), total, sum(math.log10(unigram(w)) for w in words), plain_score(words, levels, unigram, None, None)))
+    return out
+
+
+def assert_scores(got, want):
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[-1], 6))
+    found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=order)
+    want = sorted(want, key=order)
+    assert [r[:4] for r in found] == [r[:4] for r in want]
+    assert np.allclose([r[4:] for r in found], [r[4:] for r in want], rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("carried", [0, 300, 300_000])
+def test_no_gram_is_cut(spark, odd_docs, odd_rows, monkeypatch, carried):
+    monkeypatch.setattr(ngram_lm, "CARRIED", carried)
+    assert_scores(ngram_lm.score_documents(odd_docs).collect(), whole_scores([(d, t) for d, t, _, _ in odd_rows], 3))
+
+
+def test_more_words_and_bigrams_than_any_cut(spark):
+    words = [f"v{i}" for i in range(22_000)]
+    rng, rows = random.Random(1), []
+    for i in range(24):  # 264,000 bigrams, each in two texts
+        if i % 2 == 0:
+            rng.shuffle(words)
+        rows.append((i + 100 * (i % 2), " ".join(words)))
+    got = ngram_lm.score_documents(docs_frame(spark, [(d, t, "en", "s") for d, t in rows]).repartition(4), order=2).collect()
+    assert_scores(got, whole_scores(rows, 2))
+
+
 def test_states_sum_to_one():
     grams = ngram_lm.Grams([b"", b"a", b"b", b"c"], 3)
     grams.levels.append((np.array([1 << 32 | 1, 1 << 32 | 2, 2 << 32 | 0]), np.array([3, 2, 4]), np.array([4, 5, 6])))
