@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.similarity import connected_components
 from ..plans.lineage import stage
@@ -483,29 +484,8 @@ def _components(edges: DataFrame) -> DataFrame:
     return connected_components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``.
-
-    Documents with the same set are one node of the incidence. The steps:
-
-    1. One pass gives every document its set's identity, size and ``MINIMA`` independent minima, and
-       finds n-grams repeated inside a task.
-    2. Nodes that share a minimum are compared with the smallest node that has it, then, where a
-       crowd shares one and is not yet one component, with the smallest of some random sixteen.
-       What links makes the first components: a few comparisons per member settle large groups.
-    3. Another pass gives the leading entries of every node, common n-grams last, in blocks of
-       columns. A block multiplies its small columns and counts shared entries per pair; pairs
-       whose sizes, or what is left of either set, cannot reach the threshold are discarded, and
-       so are those whose parity sketches differ in too many bits. Large columns are multiplied in
-       cells, across components only.
-    4. Pairs still in different components are compared by their whole sets, and components are
-       closed over all links.
-
-    No link between different texts is lost: components need only links across components. Sets
-    hold 64-bit hashes. Nulls: a null text, or one without words, links with nothing and is its own
-    component; a null id counts as larger than any other. Rows repeated share one set. An empty
-    table gives no rows. Other columns are ignored.
-    """
+def _labelled_rows(docs: DataFrame) -> DataFrame:
+    """Rows of ``near_duplicates`` with their set's node and the node of the component's smallest doc_id."""
     found = _summaries(docs)
     rows = found.filter("n is not null").select("doc_id", "node", "n", "minima", "sketch", "long_sketch")
     classes = stage(
@@ -546,18 +526,78 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     parts = _components(links)
     labelled = classes.join(parts, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    smallest = stage(labelled.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
-    labels = stage(labelled.join(smallest, "component").select("node", "component_id"), "labels")
-    empty = rows.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = rows.filter("node is not null").join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(empty)
+    lowest = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("lowest")  # a null id after all others
+    smallest = stage(labelled.groupBy("component").agg(lowest).select("component", F.col("lowest.first_id").alias("component_id"), F.col("lowest.node").alias("keep_node")), "smallest")
+    labels = stage(labelled.join(smallest, "component").select("node", "component_id", "keep_node"), "labels")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "keep_node"]
+    empty = rows.filter("node is null").withColumn("component_id", F.col("doc_id")).withColumn("keep_node", F.col("node")).select(*columns)
+    return rows.filter("node is not null").join(labels, "node").select(*columns).unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``.
+
+    Documents with the same set are one node of the incidence. The steps:
+
+    1. One pass gives every document its set's identity, size and ``MINIMA`` independent minima, and
+       finds n-grams repeated inside a task.
+    2. Nodes that share a minimum are compared with the smallest node that has it, then, where a
+       crowd shares one and is not yet one component, with the smallest of some random sixteen.
+       What links makes the first components: a few comparisons per member settle large groups.
+    3. Another pass gives the leading entries of every node, common n-grams last, in blocks of
+       columns. A block multiplies its small columns and counts shared entries per pair; pairs
+       whose sizes, or what is left of either set, cannot reach the threshold are discarded, and
+       so are those whose parity sketches differ in too many bits. Large columns are multiplied in
+       cells, across components only.
+    4. Pairs still in different components are compared by their whole sets, and components are
+       closed over all links.
+
+    No link between different texts is lost: components need only links across components. Sets
+    hold 64-bit hashes. Nulls: a null text, or one without words, links with nothing and is its own
+    component; a null id counts as larger than any other. Rows repeated share one set. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    return _labelled_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the node of their text; null without words."""
+    for batch in batches:
+        sets = (shingles(text.as_py()) for text in batch.column("text"))
+        yield batch.append_column("_node", pa.array([node_of(grams) if len(grams) else None for grams in sets], pa.int64()))
+    _HASHES.clear()  # a worker lives on for other tasks
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id, and all its columns.
 
-    Rows that share the id of the one that stays all stay.
+    Ids need not be unique: rows are told apart by id and set of n-grams, and rows alike in both by
+    nothing, so any one of them stays. A null id counts as larger than any other. Rows without
+    words all stay.
+
+    Ids of which every row goes are dropped by id; texts are read again only under ids that are
+    null or of which some rows go and some stay.
     """
-    found = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stage(found.select(F.col("doc_id").alias("_gone_id")).distinct(), "near-copies")
-    return docs.join(checked_broadcast(gone), docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti")
+    stays = F.col("node").isNull() | (F.col("node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    pairs = stage(_labelled_rows(docs).select("doc_id", "node", stays.alias("stays")).groupBy("doc_id", "node", "stays").agg(F.count("*").alias("n")), "near-copies")
+    twin = F.col("stays") & F.col("node").isNotNull() & (F.col("n") > 1)
+    ids = stage(pairs.groupBy("doc_id").agg(F.bool_or("stays").alias("some"), F.bool_and(F.col("stays") & ~twin).alias("whole")).filter("not whole"), "ids")
+    gone = stage(ids.filter("doc_id is not null and not some").select(F.col("doc_id").alias("_gone_id")), "gone")
+    mixed = stage(ids.filter("doc_id is null or some").select("doc_id"), "mixed")
+    rows = docs.join(checked_broadcast(gone), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    if mixed.isEmpty():
+        return rows
+    named = checked_broadcast(mixed.filter("doc_id is not null").select(F.col("doc_id").alias("_mixed_id")))
+    unnamed = not mixed.filter("doc_id is null").isEmpty()
+    null = F.col("doc_id").isNull() & F.lit(unnamed)  # apart, for no join of so many rows of one id
+    sure = rows.filter(~null).join(named, F.col("doc_id") == F.col("_mixed_id"), "left_anti")
+    open_ = rows.filter(~null).join(named, F.col("doc_id") == F.col("_mixed_id"), "left_semi").unionByName(rows.filter(null))
+    read = open_.mapInArrow(_with_nodes, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    asked = pairs.join(checked_broadcast(mixed.withColumnRenamed("doc_id", "_mixed_id")), F.col("doc_id").eqNullSafe(F.col("_mixed_id")), "left_semi")
+    lost = stage(asked.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("node").alias("_of")), "lost")
+    twins = stage(asked.filter(twin).select(F.col("doc_id").alias("_id"), F.col("node").alias("_of")), "twins")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of"))
+    left = read.join(checked_broadcast(lost), same, "left_anti")
+    single = left.join(checked_broadcast(twins), same, "left_anti")
+    merged = left.join(checked_broadcast(twins), same, "left_semi").dropDuplicates(["doc_id", "_node"])
+    return sure.unionByName(single.unionByName(merged).drop("_node"))

@@ -132,6 +132,35 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(d for (d, _, c), n in components(rows).items() for _ in range(n) if d == c)
 
 
+def linked(x, y):
+    both = len(x & y)
+    return both and 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+@pytest.mark.parametrize("ids", ["a third null", "repeated", "all null", "as they are"])
+def test_no_other_text_goes_with_a_shared_id(spark, ids):
+    """Of every component exactly one row stays, with its smallest id, and rows without words all stay."""
+    kinds = {"a third null": lambda i, d: i if i % 3 else None, "repeated": lambda i, d: i * 7 % 90, "all null": lambda i, d: None, "as they are": lambda i, d: d}
+    rows = [(kinds[ids](i, d), t) for i, (d, t) in enumerate(hard_rows(3))]
+    sets = [grams(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if linked(sets[i], sets[j]) and part[i] != part[j]:
+                part = [part[j] if x == part[i] else x for x in part]
+    smallest = {}
+    for (d, _), s, p in zip(rows, sets, part, strict=True):
+        if s:
+            smallest[p] = min((x for x in (smallest.get(p), d) if x is not None), default=None)
+    docs = docs_frame(spark, [(d, t, "en", "s") for d, t in rows]).repartition(4)
+    got = jaccard_join.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert Counter(k for k in kept if not grams(k[1])) == Counter(r for r, s in zip(rows, sets, strict=True) if not s)
+    of = {row: p for row, p, s in zip(rows, part, sets, strict=True) if s}
+    assert Counter((of[k], k[0]) for k in kept if grams(k[1])) == Counter(smallest.items())
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
