@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, language_id, mixing, ngram_lm, quality, sharding, token_files, warc
+from . import bpe, collocations, exact_dedup, jaccard_join, language_id, mixing, ngram_lm, quality, sharding, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,8 +60,12 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_archive(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine_collocations(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_warc, op8_bpe, op9_quality_rules, op10_token_files)
+    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_warc, op8_bpe, op9_quality_rules, op10_token_files, op11_collocations)
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +76,39 @@ ORACLES: dict[str, str] = {
         ), copies AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM hashed GROUP BY text_sha256)
         SELECT h.doc_id, c.keep_id, c.group_size, h.doc_id = c.keep_id AS kept, h.text_sha256
         FROM hashed h JOIN copies c USING (text_sha256)""",
+    "op11_collocations": r"""
+        WITH texts AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), pieces AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS words
+            FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)
+        ), totals AS (
+            SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+        ), sizes AS (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS size
+        ), phrases AS (
+            SELECT lang, size, phrase, count(*) AS f
+            FROM (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: list_slice(words, i, i + size - 1))) AS phrase
+                  FROM pieces JOIN sizes ON len(words) >= size)
+            GROUP BY ALL HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT p.lang, p.phrase, p.f AS a, k.size AS k, l.f AS l, r.f AS r, t.n,
+                   ((1000::HUGEINT * p.f * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM phrases p JOIN sizes k ON k.size < p.size
+            JOIN phrases l ON l.lang = p.lang AND l.phrase = list_slice(p.phrase, 1, k.size)
+            JOIN phrases r ON r.lang = p.lang AND r.phrase = list_slice(p.phrase, k.size + 1, p.size)
+            JOIN totals t ON t.lang = p.lang
+        ), longer AS (
+            SELECT lang, list_slice(phrase, 1, size - 1) AS phrase, f FROM phrases WHERE size > 2
+            UNION ALL SELECT lang, list_slice(phrase, 2, size), f FROM phrases WHERE size > 2
+        ), best AS (
+            SELECT lang, phrase, any_value(a) AS a, any_value(n) AS n, min(struct_pack(score := score, k := k, l := l, r := r)) AS cut
+            FROM cuts GROUP BY lang, phrase
+        ), ranked AS (
+            SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, a, cut.l AS l, cut.r AS r, n, cut.score AS score,
+                   row_number() OVER (PARTITION BY b.lang ORDER BY cut.score DESC, a DESC, array_to_string(b.phrase, ' ')) AS rank
+            FROM best b
+            WHERE NOT EXISTS (SELECT 1 FROM longer g WHERE g.lang = b.lang AND g.phrase = b.phrase AND g.f >= b.a)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
