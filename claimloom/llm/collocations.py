@@ -86,7 +86,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
 
 
 def _frequent_keys(docs: DataFrame, size: int, least: int, filters: list[Broadcast]) -> DataFrame:
-    """(key): hashes of ``size``-word phrases whose count reaches ``least``, and hardly any other. Written once."""
+    """(key, n): hashes of ``size``-word phrases whose count reaches ``least``, and hardly any other. Written once."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, held, n = [f.value for f in filters], [], 0
@@ -105,50 +105,65 @@ def _frequent_keys(docs: DataFrame, size: int, least: int, filters: list[Broadca
             yield rows()
 
     counted = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return stage(counted.filter(F.col("n") >= least).select("key"), "frequent")
+    return stage(counted.filter(F.col("n") >= least), "frequent")
 
 
 def count_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
-    """(lang, size, phrase, n): exact counts of all phrases of up to ``longest`` words seen ``least`` times.
+    """(lang, size, phrase, n): counts of all phrases of 2 to ``longest`` words seen ``least`` times, and of their words.
 
     Size 0, with an empty phrase, counts all words of a language. A phrase can be frequent only
     if both its parts without the last and without the first word are, so the texts are read once
     for each size but the largest, counting hashes of phrases whose parts may be frequent, and once
     more for the phrases themselves. Filters built of the hashes only spare work: what they let
-    through is counted by its words. Written once.
+    through is counted anew as text. Counts of single words are those of their 64-bit hashes, so
+    that only words of frequent phrases move as text. Written once.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     context, filters = docs.sparkSession.sparkContext, []
+    words = _frequent_keys(texts, 1, least, filters)
     for size in range(1, max(longest, 2)):
-        filters.append(context.broadcast(key_filter(_frequent_keys(texts, size, least, filters))))  # at most 32 MB each
+        frequent = words if size == 1 else _frequent_keys(texts, size, least, filters)
+        filters.append(context.broadcast(key_filter(frequent)))  # at most 32 MB each
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried, held = [f.value for f in filters], {}
+        carried = [f.value for f in filters]
+        held: dict[int | str, list] = {}  # by hash, and by language for all its words
 
         def rows() -> pa.RecordBatch:
-            columns = [[k[0] for k in held], [k[1] for k in held], [k[2] for k in held], list(held.values())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "size", "phrase", "n"])
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64())
+            columns = list(zip(*held.values(), strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["lang", "size", "phrase", "words", "n"])
 
         for block in _blocks(batches):
-            by_text, words = np.unique(block.texts, return_counts=True)
-            for text, n in zip(by_text.tolist(), words.tolist(), strict=True):
-                key = (block.langs[text], 0, "")
-                held[key] = held.get(key, 0) + n
+            by_text, n_words = np.unique(block.texts, return_counts=True)
+            for text, n in zip(by_text.tolist(), n_words.tolist(), strict=True):
+                lang = block.langs[text]
+                held.setdefault(lang, [lang, 0, "", None, 0])[4] += n
             for size, at, keys in block.grams(longest, carried):
+                if size == 1:
+                    word_keys = keys.view(np.int64)
+                    continue
                 if size <= len(carried):
                     may = carried[size - 1].may_have(keys)
                     at, keys = at[may], keys[may]
-                _, firsts, counts = np.unique(keys, return_index=True, return_counts=True)
-                for i, n in zip(at[firsts].tolist(), counts.tolist(), strict=True):
-                    key = (block.langs[block.texts[i]], size, block.phrase(i, size))
-                    held[key] = held.get(key, 0) + n
+                found, firsts, counts = np.unique(keys, return_index=True, return_counts=True)
+                for key, i, n in zip(found.tolist(), at[firsts].tolist(), counts.tolist(), strict=True):
+                    if key in held:
+                        held[key][4] += n
+                    else:
+                        held[key] = [block.langs[block.texts[i]], size, block.phrase(i, size), word_keys[i : i + 2].tolist() if size == 2 else None, n]
             if len(held) > HELD // 4:
                 yield rows()
                 held.clear()
         yield rows()
 
-    counted = texts.mapInArrow(count, "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return stage(counted.filter((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
+    made = texts.mapInArrow(count, "lang string, size int, phrase string, words array<long>, n long")
+    counted = made.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.first("words", True).alias("words"))
+    phrases = stage(counted.filter((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
+    parts = phrases.filter("size = 2").select("lang", F.explode(F.arrays_zip(F.split("phrase", " ").alias("word"), F.col("words").alias("key"))).alias("part"))
+    parts = parts.select("lang", F.col("part.word").alias("phrase"), F.col("part.key").alias("key")).distinct()
+    singles = parts.join(words, "key").select("lang", F.lit(1).alias("size"), "phrase", "n")
+    return phrases.drop("words").unionByName(stage(singles, "words"))
 
 
 def _lockstep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
