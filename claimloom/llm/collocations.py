@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from ..plans.lineage import stage
 from .rolling import KeyFilter, RangeHash, key_filter, mixed
 
-#: Bytes of text worked on at once, and keys or phrases a counting task holds before it hands them on.
-BLOCK_BYTES, HELD = 1 << 21, 1_000_000
+#: Texts and bytes worked on at once, and keys and phrases a counting task holds before it hands them on.
+BLOCK_TEXTS, BLOCK_BYTES, HELD_KEYS, HELD_PHRASES = 1000, 1 << 20, 3_000_000, 250_000
 #: Of the phrases ranked together in one task before the last step, about so many.
 RANKED = 50_000
 #: Kinds of bytes: 0 in a word, 1 between words, 2 between pieces.
@@ -63,13 +63,11 @@ class _Block:
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
     """Blocks of about BLOCK_BYTES, cut only behind a byte that ends a piece, so no phrase is cut."""
-    for batch in batches:
+    for batch in (whole.slice(i, BLOCK_TEXTS) for whole in batches for i in range(0, whole.num_rows, BLOCK_TEXTS)):
         langs = ["und" if x is None else x for x in batch.column("lang").to_pylist()]
         empty, line_end = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
         texts = pc.binary_join_element_wise(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), empty, line_end)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        if not len(texts):
-            continue
         data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
         ends = offsets[1:] - offsets[0]
         lang_keys = np.array([xxhash.xxh64_intdigest(x) for x in langs], np.uint64)
@@ -98,7 +96,7 @@ def _frequent_keys(docs: DataFrame, size: int, least: int, filters: list[Broadca
         for block in _blocks(batches):
             *_, (_, _, keys) = block.grams(size, carried)
             held.append(keys)
-            if (n := n + len(keys)) > 4 * HELD:
+            if (n := n + len(keys)) > HELD_KEYS:
                 yield rows()
                 held, n = [], 0
         if n:
@@ -130,15 +128,15 @@ def count_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFr
         held: dict[int | str, list] = {}  # by hash, and by language for all its words
 
         def rows() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64())
-            columns = list(zip(*held.values(), strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["lang", "size", "phrase", "words", "n"])
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            columns = list(zip(*held.values(), strict=True)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["lang", "size", "phrase", "first", "second", "n"])
 
         for block in _blocks(batches):
             by_text, n_words = np.unique(block.texts, return_counts=True)
             for text, n in zip(by_text.tolist(), n_words.tolist(), strict=True):
                 lang = block.langs[text]
-                held.setdefault(lang, [lang, 0, "", None, 0])[4] += n
+                held.setdefault(lang, [lang, 0, "", None, None, 0])[5] += n
             for size, at, keys in block.grams(longest, carried):
                 if size == 1:
                     word_keys = keys.view(np.int64)
@@ -149,21 +147,22 @@ def count_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFr
                 found, firsts, counts = np.unique(keys, return_index=True, return_counts=True)
                 for key, i, n in zip(found.tolist(), at[firsts].tolist(), counts.tolist(), strict=True):
                     if key in held:
-                        held[key][4] += n
+                        held[key][5] += n
                     else:
-                        held[key] = [block.langs[block.texts[i]], size, block.phrase(i, size), word_keys[i : i + 2].tolist() if size == 2 else None, n]
-            if len(held) > HELD // 4:
+                        parts = word_keys[i : i + 2].tolist() if size == 2 else (None, None)
+                        held[key] = [block.langs[block.texts[i]], size, block.phrase(i, size), *parts, n]
+            if len(held) > HELD_PHRASES:
                 yield rows()
                 held.clear()
         yield rows()
 
-    made = texts.mapInArrow(count, "lang string, size int, phrase string, words array<long>, n long")
-    counted = made.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.first("words", True).alias("words"))
+    made = texts.mapInArrow(count, "lang string, size int, phrase string, first long, second long, n long")
+    counted = made.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.max("first").alias("first"), F.max("second").alias("second"))
     phrases = stage(counted.filter((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
-    parts = phrases.filter("size = 2").select("lang", F.explode(F.arrays_zip(F.split("phrase", " ").alias("word"), F.col("words").alias("key"))).alias("part"))
+    parts = phrases.filter("size = 2").select("lang", F.explode(F.arrays_zip(F.split("phrase", " ").alias("word"), F.array("first", "second").alias("key"))).alias("part"))
     parts = parts.select("lang", F.col("part.word").alias("phrase"), F.col("part.key").alias("key")).distinct()
     singles = parts.join(words, "key").select("lang", F.lit(1).alias("size"), "phrase", "n")
-    return phrases.drop("words").unionByName(stage(singles, "words"))
+    return phrases.drop("first", "second").unionByName(stage(singles, "words"))
 
 
 def _lockstep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

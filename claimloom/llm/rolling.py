@@ -39,10 +39,12 @@ class RangeHash:
 
     def __init__(self, data: np.ndarray):
         if len(data) >= len(RangeHash._up):
-            n = 2 ** (len(data) + 1).bit_length()
+            n = (len(data) // 2**18 + 1) * 2**18
             RangeHash._up, RangeHash._down = _powers(_ODD, n), _powers(pow(_ODD, -1, 2**64), n)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values()[data] * self._up[: len(data)], out=self.sums[1:])
+        values = _byte_values()[data]
+        values *= self._up[: len(data)]
+        np.cumsum(values, out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self._down[starts])
