@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from .rolling import KeyFilter, RangeHash, key_filter, mixed
 
 #: Texts and bytes worked on at once, and keys and phrases a counting task holds before it hands them on.
 BLOCK_TEXTS, BLOCK_BYTES, HELD_KEYS, HELD_PHRASES = 1000, 1 << 20, 3_000_000, 250_000
+#: A text's mark: so many bits of a hash of it.
+MARK_BITS = 24
 #: Of the phrases ranked together in one task before the last step, about so many.
 RANKED = 50_000
 #: Kinds of bytes: 0 in a word, 1 between words, 2 between pieces.
@@ -31,11 +35,11 @@ _LOWER[0x41:0x5B] += 0x20
 class _Block:
     """The words of some bytes of text: where they are, their language, which may start a piece, and their hash."""
 
-    def __init__(self, data: np.ndarray, first_byte: int, text_ends: np.ndarray, langs: list[str], lang_keys: np.ndarray):
+    def __init__(self, data: np.ndarray, first_byte: int, text_ends: np.ndarray, langs: list[str], lang_keys: np.ndarray, marks: np.ndarray):
         kinds = _KINDS[data]
         inside = np.concatenate(([False], kinds == 0, [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        self.data, self.starts, self.ends, self.langs = data, edges[::2], edges[1::2], langs
+        self.data, self.starts, self.ends, self.langs, self.marks = data, edges[::2], edges[1::2], langs, marks
         breaks = np.cumsum(kinds == 2)
         self.opens = np.ones(len(self.starts), bool)
         self.opens[1:] = breaks[self.starts[1:]] != breaks[self.ends[:-1] - 1]
@@ -79,90 +83,92 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
                     stop = start + int(cuts[-1]) + 1
                     break
                 stop = min(stop + BLOCK_BYTES, len(data))  # a piece longer than a block
-            yield _Block(data[start:stop], start, ends, langs, lang_keys)
+            yield _Block(data[start:stop], start, ends, langs, lang_keys, batch.column("mark").to_numpy())
             start = stop
 
 
 def _frequent_keys(docs: DataFrame, size: int, least: int, filters: list[Broadcast]) -> DataFrame:
-    """(key, n): hashes of ``size``-word phrases whose count reaches ``least``, and hardly any other. Written once."""
+    """(key, n, owner): hashes of ``size``-word phrases seen ``least`` times. Written once.
+
+    ``owner`` is the smallest mark of a text with the phrase; only texts with it need to name the phrase.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, held, n = [f.value for f in filters], [], 0
 
         def rows() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+            keys, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, owners = keys[order], owners[order]
+            firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            counts = np.diff(np.append(firsts, len(keys)))
+            packed = counts << MARK_BITS | np.minimum.reduceat(owners, firsts)
+            return pa.RecordBatch.from_arrays([pa.array(keys[firsts].view(np.int64)), pa.array(packed)], ["key", "packed"])
 
         for block in _blocks(batches):
-            *_, (_, _, keys) = block.grams(size, carried)
-            held.append(keys)
+            *_, (_, at, keys) = block.grams(size, carried)
+            held.append((keys, block.marks[block.texts[at]]))
             if (n := n + len(keys)) > HELD_KEYS:
                 yield rows()
                 held, n = [], 0
         if n:
             yield rows()
 
-    counted = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return stage(counted.filter(F.col("n") >= least), "frequent")
+    made = docs.mapInArrow(count, "key long, packed long").select("key", F.shiftright("packed", MARK_BITS).alias("n"), F.col("packed").bitwiseAND(F.lit(2**MARK_BITS - 1)).alias("owner"))
+    return stage(made.groupBy("key").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")).filter(F.col("n") >= least), "frequent")
 
 
 def count_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFrame:
-    """(lang, size, phrase, n): counts of all phrases of 2 to ``longest`` words seen ``least`` times, and of their words.
+    """(lang, size, phrase, n): counts of all phrases of up to ``longest`` words seen ``least`` times.
 
     Size 0, with an empty phrase, counts all words of a language. A phrase can be frequent only
     if both its parts without the last and without the first word are, so the texts are read once
-    for each size but the largest, counting hashes of phrases whose parts may be frequent, and once
-    more for the phrases themselves. Filters built of the hashes only spare work: what they let
-    through is counted anew as text. Counts of single words are those of their 64-bit hashes, so
-    that only words of frequent phrases move as text. Written once.
+    for each size, counting hashes of phrases whose parts may be frequent, and once more to name the
+    phrases, each from few texts. Phrases are told apart by 64-bit hashes; the filters built of
+    them, at most 32 MB each, only spare work. Written once.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    context, filters = docs.sparkSession.sparkContext, []
-    words = _frequent_keys(texts, 1, least, filters)
-    for size in range(1, max(longest, 2)):
-        frequent = words if size == 1 else _frequent_keys(texts, size, least, filters)
-        filters.append(context.broadcast(key_filter(frequent)))  # at most 32 MB each
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = [f.value for f in filters]
-        held: dict[int | str, list] = {}  # by hash, and by language for all its words
+    mark = F.xxhash64("text").bitwiseAND(F.lit(2**MARK_BITS - 1))
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("mark", mark)
+    context, filters, owners, counted = docs.sparkSession.sparkContext, [], [], []
+    owned = F.col("key").bitwiseXOR(F.col("owner").bitwiseOR(F.shiftleft("owner", 64 - MARK_BITS)))
+    for size in range(1, longest + 1):
+        frequent = _frequent_keys(texts, size, least, filters)
+        filters.append(context.broadcast(key_filter(frequent)))
+        owners.append(context.broadcast(key_filter(frequent.select(owned.alias("key")), 64)))
+        counted.append(frequent.select("key", "n"))
+
+    def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, owning = [f.value for f in filters], [f.value for f in owners]
+        words: Counter = Counter()
+        held: dict[int, tuple] = {}
 
         def rows() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            columns = list(zip(*held.values(), strict=True)) or [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["lang", "size", "phrase", "first", "second", "n"])
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
+            columns = list(zip(*held.values(), *((None, lang, 0, "", n) for lang, n in words.items()), strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["key", "lang", "size", "phrase", "n"])
 
         for block in _blocks(batches):
             by_text, n_words = np.unique(block.texts, return_counts=True)
             for text, n in zip(by_text.tolist(), n_words.tolist(), strict=True):
-                lang = block.langs[text]
-                held.setdefault(lang, [lang, 0, "", None, None, 0])[5] += n
+                words[block.langs[text]] += n
             for size, at, keys in block.grams(longest, carried):
-                if size == 1:
-                    word_keys = keys.view(np.int64)
-                    continue
-                if size <= len(carried):
-                    may = carried[size - 1].may_have(keys)
-                    at, keys = at[may], keys[may]
-                found, firsts, counts = np.unique(keys, return_index=True, return_counts=True)
-                for key, i, n in zip(found.tolist(), at[firsts].tolist(), counts.tolist(), strict=True):
-                    if key in held:
-                        held[key][5] += n
-                    else:
-                        parts = word_keys[i : i + 2].tolist() if size == 2 else (None, None)
-                        held[key] = [block.langs[block.texts[i]], size, block.phrase(i, size), *parts, n]
+                marks = block.marks[block.texts[at]].astype(np.uint64)
+                own = owning[size - 1].may_have(keys ^ marks ^ (marks << np.uint64(64 - MARK_BITS)))
+                found, firsts = np.unique(keys[own], return_index=True)
+                for key, i in zip(found.view(np.int64).tolist(), at[own][firsts].tolist(), strict=True):
+                    if key not in held:
+                        held[key] = (key, block.langs[block.texts[i]], size, block.phrase(i, size), None)
             if len(held) > HELD_PHRASES:
                 yield rows()
                 held.clear()
+                words.clear()
         yield rows()
 
-    made = texts.mapInArrow(count, "lang string, size int, phrase string, first long, second long, n long")
-    counted = made.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.max("first").alias("first"), F.max("second").alias("second"))
-    phrases = stage(counted.filter((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
-    parts = phrases.filter("size = 2").select("lang", F.explode(F.arrays_zip(F.split("phrase", " ").alias("word"), F.array("first", "second").alias("key"))).alias("part"))
-    parts = parts.select("lang", F.col("part.word").alias("phrase"), F.col("part.key").alias("key")).distinct()
-    singles = parts.join(words, "key").select("lang", F.lit(1).alias("size"), "phrase", "n")
-    return phrases.drop("first", "second").unionByName(stage(singles, "words"))
+    named = stage(texts.mapInArrow(name, "key long, lang string, size int, phrase string, n long"), "named")
+    totals = named.filter("size = 0").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    phrases = named.filter("size > 0").groupBy("key").agg(F.min(F.struct("lang", "size", "phrase")).alias("as"))
+    phrases = phrases.join(reduce(DataFrame.unionByName, counted), "key").select("as.*", "n")
+    return stage(phrases.unionByName(totals), "phrases")
 
 
 def _lockstep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,13 +69,13 @@ class KeyFilter:
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
 
 
-def key_filter(keys: DataFrame, most_bits: int = MOST_BITS) -> KeyFilter:
-    """The filter of a staged table's column ``key`` (long): 16 bits a key, up to 2 ** ``most_bits``.
+def key_filter(keys: DataFrame, each: int = 16, most_bits: int = MOST_BITS) -> KeyFilter:
+    """The filter of a staged table's column ``key`` (long): ``each`` bits a key, up to 2 ** ``most_bits``.
 
     Spark gathers the bits as 64-bit words, so at most 2 ** (most_bits - 6) rows reach the driver.
     Beyond the most it lets more through, which costs work and changes no result.
     """
-    bits = max(12, min(most_bits, math.ceil(math.log2(16 * max(1, keys.count())))))
+    bits = max(12, min(most_bits, math.ceil(math.log2(each * max(1, keys.count())))))
     places = F.explode(F.array(F.col("key").bitwiseAND(F.lit(2**bits - 1)), F.shiftrightunsigned("key", 64 - bits)))
     word, bit = F.shiftright("at", 6), F.expr("shiftleft(1L, cast(at & 63 as int))")
     found = keys.select(places.alias("at")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("value")).toArrow()
