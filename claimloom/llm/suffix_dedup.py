@@ -292,9 +292,9 @@ def remove_repeats(docs: DataFrame, span: int = 100, columns: tuple[str, ...] =
         """Texts that nothing is cut from need not move: their outcome is final unless a span says otherwise."""
         for batch in (b.slice(i, BLOCK_TEXTS) for b in batches for i in range(0, b.num_rows, BLOCK_TEXTS)):
             may = marked.value.may_have(batch.column("key").to_numpy().view(np.uint64))
-            texts = batch.column("text").cast(pa.binary())
-            done = [(None,) * len(columns) if m else outcome(t.as_py(), []) for m, t in zip(may.tolist(), texts, strict=True)]
-            moved = pc.if_else(pa.array(may), texts, pa.scalar(None, pa.binary()))
+            texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
+            done = [(None,) * len(names) if m else outcome(t, []) for m, t in zip(may.tolist(), texts, strict=True)]
+            moved = pa.array([t if m else None for m, t in zip(may.tolist(), texts, strict=True)], pa.binary())
             none = pa.nulls(len(may), pa.int64())
             own = [pa.array([r[i] for r in done], _OUT_TYPES[c]) for i, c in enumerate(names)]
             keys = [batch.column(c) for c in ("doc_id", "id", "mark")]
