@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, exact_dedup, jaccard_join, language_id, mixing, ngram_lm, quality, sharding, suffix_dedup, token_files, warc
+from . import bpe, collocations, conversation_repair, exact_dedup, jaccard_join, language_id, mixing, ngram_lm, quality, sharding, suffix_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,12 +64,21 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine_collocations(_table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return conversation_repair.repair_conversations(conversation_repair.damaged(rows), rows)
+
+
 def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, folder, "documents"), columns=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_warc, op8_bpe, op9_quality_rules, op10_token_files, op11_collocations, op13_suffix_dedup)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_shard, op3_ngram_score, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_warc, op8_bpe, op9_quality_rules,
+        op10_token_files, op11_collocations, op12_conversation_repair, op13_suffix_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
