@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.bindings import Tables
 
 MODULES = (
-    "bibliometrics", "citations", "claims", "graphs", "enrichment", "texts", "scores", "monitors", "sources", "traces", "networks",
+    "bibliometrics", "citations", "claims", "graphs", "enrichment", "texts", "scores", "monitors", "sources", "traces", "networks", "histories", "stewardship",
 )
 
 
