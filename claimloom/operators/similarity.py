@@ -432,33 +432,3 @@ def align_greedy(gold: DataFrame, predicted: DataFrame, threshold: float = ALIGN
             pairs.join(step.select("gold_id"), "gold_id", "left_anti").join(step.select("pred_id"), "pred_id", "left_anti"),
             "pairs",
         )
-
-
-# --- vectors ---------------------------------------------------------------------------------------------
-
-
-def embedding_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest candidates by cosine for each query vector; no self-match.
-
-    The queries are checked to be few and go to every task in one array, so the candidate
-    table is scanned once and only ``k`` rows per query and task are shuffled. Many queries
-    go in rounds.
-    """
-    limit = 500
-    n = queries.count()
-    rounds = max(1, -(-n // limit))
-    out = None
-    for i in range(rounds):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i) if rounds > 1 else queries
-        packed = part.agg(F.collect_list(F.struct("query_id", "vector"))).scalar()
-        scored = candidates.select("match_id", "vector", F.explode(packed).alias("q")).select(
-            F.col("q.query_id").alias("query_id"), "match_id", cosine(F.col("q.vector"), F.col("vector")).alias("score")
-        )
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
-        top = (
-            scored.filter(F.col("query_id") != F.col("match_id"))
-            .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k)
-        )
-        out = top if out is None else out.unionByName(top)
-    return out

@@ -7,10 +7,12 @@ continues where the last finished batch ended.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.monitoring import search_hits
 from ..plans.lineage import fresh_path
@@ -51,7 +53,7 @@ def new_hit_stream(claims: DataFrame, searches: DataFrame, late: str = "7 days")
     ``claims`` carries ``seen_at``; pairs are remembered for as long as the watermark
     reaches, which bounds the state.
     """
-    hits = search_hits(claims.withWatermark("seen_at", late), searches)
+    hits = search_hits(claims, searches).withWatermark("seen_at", late)
     return hits.dropDuplicatesWithinWatermark(["search_id", "claim_id"])
 
 
@@ -64,66 +66,55 @@ def run_new_hits(spark: SparkSession, claims: DataFrame, searches: DataFrame, la
 
 
 class SnapshotMonitor:
-    """Per-batch stance counts added to a running snapshot, with alerts for what is new.
+    """Stance counts and retraction of watched members as keyed state, with alerts for what a batch brings.
 
-    Every batch reads the snapshot its predecessor left and writes its own under its batch
-    number. A retried batch therefore starts from the same snapshot and overwrites the same
-    folders: alerts are never doubled.
+    The state of a member is three values; a batch reads and writes those of the members that it
+    touches and no others. Spark commits state and output of a batch together, so a retried batch
+    neither counts nor alerts twice. A retraction alerts once, however often it is reported.
     """
 
-    def __init__(self, spark: SparkSession, root: str, alerts_of: Callable[[DataFrame, DataFrame], DataFrame]):
+    OUT = "set_id string, work_id string, alert_type string, gained long, support long, contradict long, retracted boolean"
+    STATE = "support long, contradict long, retracted boolean"
+
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
-        self.alerts_of = alerts_of
-
-    SNAPSHOT = "set_id string, work_id string, support long, contradict long"
 
-    def _snapshot(self, batch: int) -> DataFrame:
-        if batch < 0:
-            return self.spark.createDataFrame([], self.SNAPSHOT)
-        return self.spark.read.schema(self.SNAPSHOT).parquet(f"{self.root}/snapshot/batch={batch}")
+    def changes(self, stream: DataFrame) -> DataFrame:
+        """One row per alert, and one without alert per touched member, with the member's new totals.
 
-    def process(self, batch: DataFrame, number: int) -> None:
-        """``batch(set_id, work_id, stance)``: incoming statements on watched members."""
-        gained = batch.groupBy("set_id", "work_id").agg(
-            F.count_if(F.col("stance") == "support").alias("support"),
-            F.count_if(F.col("stance") == "contradict").alias("contradict"),
-        )
-        before = self._snapshot(number - 1)
-        after = before.unionByName(gained).groupBy("set_id", "work_id").agg(
-            F.sum("support").alias("support"), F.sum("contradict").alias("contradict")
-        )
-        after.write.mode("overwrite").parquet(f"{self.root}/snapshot/batch={number}")
-        self.alerts_of(gained, self._snapshot(number)).write.mode("overwrite").parquet(
-            f"{self.root}/alerts/batch={number}"
+        ``stream``: set_id, work_id, stance, retracted; a null stance or retraction says nothing.
+        """
+        return (
+            stream.filter("set_id is not null and work_id is not null")
+            .select("set_id", "work_id", "stance", "retracted")
+            .groupBy("set_id", "work_id")
+            .applyInPandasWithState(_advance, self.OUT, self.STATE, "append", "NoTimeout")
         )
 
     def run(self, stream: DataFrame) -> None:
-        (
-            stream.writeStream.foreachBatch(self.process)
-            .option("checkpointLocation", f"{self.root}/state")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+        """Take in all that is available and stop; a later run goes on from there."""
+        run_available(self.changes(stream), f"{self.root}/changes", f"{self.root}/state")
 
     def alerts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/alerts")
+        """set_id, work_id, alert_type, gained of all alerts so far."""
+        return self.spark.read.schema(self.OUT).parquet(f"{self.root}/changes").filter("alert_type <> ''").select("set_id", "work_id", "alert_type", "gained")
 
     def latest(self) -> DataFrame:
-        """The newest snapshot."""
-        numbered = self.spark.read.option("basePath", f"{self.root}/snapshot").parquet(f"{self.root}/snapshot")
-        return numbered.filter(F.col("batch") == numbered.agg(F.max("batch")).scalar()).drop("batch")
-
-
-def stance_alerts(gained: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """One alert per member and stance that gained statements in the batch."""
-    rows = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col(c) > 0, F.struct(F.lit(f"new_{c}").alias("alert_type"), F.col(c).alias("gained")))
-                for c in ("support", "contradict")
-            ]
-        )
-    )
-    return gained.select("set_id", "work_id", F.explode(rows).alias("a")).select("set_id", "work_id", "a.*")
+        """The newest totals of every member; totals never fall, so the largest are the newest."""
+        rows = self.spark.read.schema(self.OUT).parquet(f"{self.root}/changes")
+        return rows.groupBy("set_id", "work_id").agg(F.max("support").alias("support"), F.max("contradict").alias("contradict"), F.bool_or("retracted").alias("retracted"))
+
+
+def _advance(key: tuple[str, str], parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A member's rows of one batch, a part at a time, added to its totals."""
+    support, contradict, retracted = state.get if state.exists else (0, 0, False)
+    before = (support, contradict, retracted)
+    for part in parts:
+        support += int((part["stance"] == "support").sum())
+        contradict += int((part["stance"] == "contradict").sum())
+        retracted = retracted or bool(part["retracted"].eq(True).any())
+    state.update((support, contradict, retracted))
+    alerts = [("new_support", support - before[0]), ("new_contradict", contradict - before[1]), ("retraction", int(retracted) - int(before[2])), ("", 0)]
+    rows = [(*key, kind, gained, support, contradict, retracted) for kind, gained in alerts if gained or not kind]
+    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SnapshotMonitor.OUT.split(", ")])

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import monitoring as M
@@ -43,11 +46,38 @@ def test_saved_searches(spark, rows):
     assert again.count() == 0
 
 
-def test_many_searches_take_several_passes(spark, rows, monkeypatch):
-    claims, searches = setup(spark)
-    one = rows(M.search_hits(claims, searches), "search_id", "claim_id")
-    monkeypatch.setattr(M, "SEARCHES_PER_PASS", 1)
-    assert rows(M.search_hits(claims, searches), "search_id", "claim_id") == one
+def brute_hits(claims, searches):
+    found = []
+    for c in claims:
+        for s in searches:
+            term, section = (s.q or "").strip(" ").lower(), None if s.section is None else s.section.strip(" ").lower()
+            texts = [x.lower() for x in (c.normalized_text, c.verbatim_text) if x is not None]
+            held = [(s.function, c.functions), (s.stance, c.stances), (s.resolution, c.resolutions)]
+            years = (s.min_year is None or (c.year is not None and c.year >= s.min_year)) and (s.max_year is None or (c.year is not None and c.year <= s.max_year))
+            if (not term or any(term in x for x in texts)) and (section is None or (c.section_facet or "\0").lower() == section) and years and all(w is None or w in (v or []) for w, v in held):
+                found.append((s.search_id, c.claim_id))
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("per_index", [100_000, 20, 1])
+def test_an_index_of_searches_finds_what_each_search_finds(spark, rows, per_index):
+    from claimloom.operators.search_index import match_searches
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["drug", "Drug trial", "ÉTÉ", "a b", "", "rug", None])
+    few = lambda values: [v for v in values if rng.random() < 0.5] if rng.random() < 0.9 else None
+    claims = spark.createDataFrame(
+        [(f"c{i}", "w", "T", word(), word(), rng.choice(["Results", "methods", None]), few(["method", "x", None]), few(["support", "support"]), few(["r"]), rng.choice([2000, 2010, None])) for i in range(80)], CLAIM
+    ).repartition(4)
+    searches = spark.createDataFrame(
+        [(f"s{i}", "u", "n", rng.choice(["drug", " RUG ", "été", "", None, "b"]), rng.choice([None, None, " results", "METHODS "]), rng.choice([None, None, "method"]),
+          rng.choice([None, None, "support"]), rng.choice([None, None, "r"]), rng.choice([None, None, 2005]), rng.choice([None, None, 2005])) for i in range(60)], SEARCH
+    )
+    shaped = searches.select("search_id", F.lower(F.trim("q")).alias("term"), F.lower(F.trim("section")).alias("section"), "function", "stance", "resolution", "min_year", "max_year")
+    got = match_searches(claims, shaped, per_index)
+    assert got.columns == [*claims.columns, "search_id"]
+    assert rows(got, "search_id", "claim_id") == brute_hits(claims.collect(), searches.collect())
+    assert match_searches(claims, shaped.limit(0), per_index).collect() == [] and match_searches(claims.limit(0), shaped, per_index).collect() == []
 
 
 def test_delta_and_alerts(spark, rows):
@@ -99,14 +129,28 @@ def test_stream_remembers_across_batches(spark, rows):
     assert got == rows(M.search_hits(claims, searches), "search_id", "claim_id")
 
 
-def test_snapshot_monitor_retry_changes_nothing(spark, rows):
-    monitor = S.SnapshotMonitor(spark, fresh_path(spark, "monitor"), S.stance_alerts)
-    schema = "set_id string, work_id string, stance string"
-    first = spark.createDataFrame([("k", "w", "support"), ("k", "w", "contradict"), ("k", "v", None)], schema)
-    second = spark.createDataFrame([("k", "w", "support")], schema)
-    monitor.process(first, 0)
-    monitor.process(second, 1)
-    before = rows(monitor.latest()), monitor.alerts().count()
-    monitor.process(second, 1)
-    assert (rows(monitor.latest()), monitor.alerts().count()) == before
-    assert ("k", "w", 2, 1) in rows(monitor.latest()) and before[1] == 3
+def test_snapshot_monitor_goes_on_from_its_state(spark, rows):
+    """Totals add up over batches and runs, a retraction alerts once, and a run without new files changes nothing."""
+    schema, folder = "set_id string, work_id string, stance string, retracted boolean", fresh_path(spark, "statements")
+    land = lambda *r: spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(folder)
+    monitor = S.SnapshotMonitor(spark, fresh_path(spark, "monitor"))
+    run = lambda: monitor.run(S.read_table_stream(spark, folder, spark.createDataFrame([], schema), 1))
+    land(("k", "w", "support", None), ("k", "w", "contradict", False), ("k", "v", None, None), (None, "w", "support", True))
+    land(("k", "w", "support", True), ("k", "w", "neutral", True))
+    run()
+    assert rows(monitor.alerts()) == [("k", "w", "new_contradict", 1), ("k", "w", "new_support", 1), ("k", "w", "new_support", 1), ("k", "w", "retraction", 1)]
+    run()
+    land(("k", "w", None, True), ("j", "w", "contradict", False))
+    run()
+    assert rows(monitor.latest()) == [("j", "w", 0, 1, False), ("k", "v", 0, 0, False), ("k", "w", 2, 1, True)]
+    assert monitor.alerts().count() == 5 and monitor.alerts().filter("alert_type = 'retraction'").count() == 1
+
+
+def test_a_batch_writes_only_the_members_it_touches(spark):
+    """The second batch adds one row to the output, though a hundred members are known."""
+    schema, folder = "set_id string, work_id string, stance string, retracted boolean", fresh_path(spark, "statements")
+    monitor = S.SnapshotMonitor(spark, fresh_path(spark, "monitor"))
+    for rows_ in ([("k", f"w{i}", "neutral", False) for i in range(100)], [("k", "w7", "neutral", False)]):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(folder)
+        monitor.run(S.read_table_stream(spark, folder, spark.createDataFrame([], schema), 1))
+    assert spark.read.schema(S.SnapshotMonitor.OUT).parquet(f"{monitor.root}/changes").count() == 101

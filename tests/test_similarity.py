@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import nearest as V
 from claimloom.operators import similarity as S
 
 
@@ -142,5 +143,35 @@ def test_alignment_equals_greedy(spark, small_grid):
 def test_embedding_ranking(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [])], "match_id long, vector array<float>")
     queries = rows.filter("match_id = 1").select(F.col("match_id").alias("query_id"), "vector")
-    got = [(r.rank, r.match_id, r.score) for r in S.embedding_top_k(queries, rows, 2).orderBy("rank").collect()]
+    got = [(r.rank, r.match_id, r.score) for r in V.embedding_top_k(queries, rows, 2).orderBy("rank").collect()]
     assert got == [(1, 2, 1.0), (2, 3, 0.0)]
+
+
+def brute_nearest(queries, rows, k):
+    import numpy as np
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9) + 0.0
+
+    return {q: [m for _, m in sorted((-cosine(v, w), m) for m, w in rows if m != q)[:k]] for q, v in queries}
+
+
+@pytest.mark.parametrize("block,query_bytes", [(4096, 1 << 25), (7, 1 << 25), (16, 300)])
+def test_nearest_against_all_pairs(spark, monkeypatch, block, query_bytes):
+    """Equal vectors tie by id, odd vectors score 0, and blocks and passes change nothing."""
+    monkeypatch.setattr(V, "CANDIDATE_BLOCK", block)
+    monkeypatch.setattr(V, "QUERY_BYTES", query_bytes)
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for i in range(160)]
+    rows += [(200, None), (201, []), (202, [0.0] * 4), (203, [1.0, 2.0]), (204, [1.0, None, 2.0, 1.0]), (205, rows[3][1]), (206, rows[3][1])]
+    frame = spark.createDataFrame(rows, "match_id long, vector array<float>").repartition(5)
+    queries = [r for r in rows if r[0] % 10 == 0 or r[0] > 199]
+    got = V.embedding_top_k(frame.filter("match_id % 10 = 0 or match_id > 199").withColumnRenamed("match_id", "query_id"), frame, 6).orderBy("query_id", "rank").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.match_id)
+    assert found == brute_nearest(queries, rows, 6)
+    assert V.embedding_top_k(frame.limit(0).withColumnRenamed("match_id", "query_id"), frame, 3).collect() == []
+    assert V.embedding_top_k(frame.withColumnRenamed("match_id", "query_id"), frame.limit(0), 3).collect() == []
