@@ -27,33 +27,35 @@ PERCENTILE = 0.95
 #: A writer closes a file at the first document that takes it to this many ids.
 FILE_IDS = 4 << 20
 MAGIC = b"PFORIDS1"
-#: Entries a worker keeps of parts of texts already encoded; a full cache starts anew.
-CACHED, CACHED_CHARS = 600_000, 64
+#: Entries a worker keeps of parts of texts already encoded, in each of two generations.
+CACHED, CACHED_CHARS = 500_000, 64
 
 # --- blocks -----------------------------------------------------------------------------------
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of 64 values, each below 2 ** width, as rows of ``width`` 64-bit words."""
-    words = np.zeros((len(values), width), np.uint64)
+    columns = np.ascontiguousarray(values.T)  # one place of all rows lies together
+    words = np.zeros((width, len(values)), np.uint64)
     for j in range(64 if width else 0):
         at, shift = divmod(j * width, 64)
-        words[:, at] |= values[:, j] << np.uint64(shift)
+        words[at] |= columns[j] << np.uint64(shift)
         if shift + width > 64:
-            words[:, at + 1] |= values[:, j] >> np.uint64(64 - shift)
-    return words
+            words[at + 1] |= columns[j] >> np.uint64(64 - shift)
+    return words.T
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    values = np.zeros((len(words), 64), np.uint64)
+    columns = np.ascontiguousarray(words.T)
+    values = np.zeros((64, len(words)), np.uint64)
     mask = np.uint64((1 << width) - 1)
     for j in range(64 if width else 0):
         at, shift = divmod(j * width, 64)
-        values[:, j] = words[:, at] >> np.uint64(shift)
+        np.right_shift(columns[at], np.uint64(shift), out=values[j])
         if shift + width > 64:
-            values[:, j] |= words[:, at + 1] << np.uint64(64 - shift)
-        values[:, j] &= mask
-    return values
+            values[j] |= columns[at + 1] << np.uint64(64 - shift)
+        values[j] &= mask
+    return values.T
 
 
 _HEADER = ("n_ids", "n_blocks", "n_words", "n_exceptions", "n_docs")
@@ -139,7 +141,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _ODD = re.compile("[" + "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")) + "]")
 # fixed value: the pre-tokenizer's pattern, in classes of Python's re
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACES = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and chr(c) not in " \n"]
 _ENDINGS = frozenset(".,;:!?")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -148,7 +150,9 @@ class ByteEncoder:
     """The tokenizers library's byte-level model, asked once for each distinct word.
 
     A single space between other characters always starts a new piece, so a text may be cut there
-    and the ids of each part kept for the next time it occurs.
+    and the ids of each part kept for the next time it occurs. The parts are kept in two
+    generations: when the newer is full it becomes the older, and what is met again moves on, so
+    frequent parts are never lost.
     """
 
     def __init__(self, path: str):
@@ -160,27 +164,32 @@ class ByteEncoder:
         self.model = self.tokenizer.model
         self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.symbols = dict(enumerate(byte_symbols()))
+        self.space = self.symbols[0x20]
         self._parts: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._marks = {m: self._piece(m) for m in _ENDINGS}
 
     def _piece(self, piece: str) -> bytes:
-        found = self._pieces.get(piece)
-        if found is None:
-            symbols = piece.encode().decode("latin-1").translate(self.symbols)
-            found = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-            if len(piece) <= CACHED_CHARS:
-                if len(self._pieces) >= CACHED:
-                    self._pieces.clear()
-                self._pieces[piece] = found
-        return found
+        return self._ids(piece.encode().decode("latin-1").translate(self.symbols))
+
+    def _ids(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
-    def _after_space(self, part: str) -> bytes:
+    def _part(self, part: str) -> bytes:
         """A part that follows a space: mostly letters, which are one piece, and a mark, which is another."""
-        if part.isalpha():
-            return self._piece(" " + part)
-        if part[-1] in _ENDINGS and part[:-1].isalpha():
-            return self._piece(" " + part[:-1]) + self._piece(part[-1])
-        return self._fresh(" " + part)
+        found = self._parts.get(part) or self._older.get(part)
+        if found is None:
+            if part.isalpha():
+                found = self._ids(self.space + part) if part.isascii() else self._piece(" " + part)
+            elif part[-1:] in _ENDINGS and part[:-1].isalpha():
+                found = self._part(part[:-1]) + self._marks[part[-1]]
+            else:
+                found = self._fresh(" " + part)
+        if len(part) <= CACHED_CHARS:
+            if len(self._parts) >= CACHED:
+                self._parts, self._older = {}, self._parts
+            self._parts[part] = found
+        return found
 
     def _fresh(self, part: str) -> bytes:
         if _CONTROL.search(part) or not part.isascii() and _ODD.search(part):
@@ -193,20 +202,13 @@ class ByteEncoder:
             return b""
         if any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        uneven = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text)
+        uneven = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(c in text for c in _OTHER_SPACES)
         parts = _SINGLE_SPACE.split(text) if uneven else text.split(" ")
-        get = self._parts.get
-        packed = [get(p) for p in parts]
+        packed = list(map(self._parts.get, parts))
         packed[0] = self._fresh(parts[0])
         if None in packed:
-            for i, found in enumerate(packed):
-                if found is None:
-                    part = parts[i]
-                    packed[i] = self._after_space(part)
-                    if len(part) <= CACHED_CHARS:
-                        if len(self._parts) >= CACHED:
-                            self._parts.clear()
-                        self._parts[part] = packed[i]
+            part = self._part
+            packed = [part(p) if found is None else found for p, found in zip(parts, packed, strict=True)]
         return b"".join(packed)
 
 
