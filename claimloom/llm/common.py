@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,3 +29,22 @@ def words(text: Column) -> Column:
 def checked_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Hint a broadcast of a staged key table after counting it; above ``limit`` rows Spark shuffles."""
     return F.broadcast(keys) if keys.count() <= limit else keys
+
+
+def apart_from(*used: str) -> Callable:
+    """For functions that return rows of their first argument: its other columns go by neutral names inside.
+
+    So no column of a caller meets a name that the function or a join makes up; ``used`` are the
+    columns the function reads. Names and order come back as they were.
+    """
+
+    def wrap(apply: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(apply)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            names = docs.columns
+            inside = docs.toDF(*(c if c in used else f"extra{i}" for i, c in enumerate(names)))
+            return apply(inside, *args, **kwargs).toDF(*names)
+
+        return run
+
+    return wrap

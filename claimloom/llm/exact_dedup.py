@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stage
-from .common import checked_broadcast, lower_ascii
+from .common import apart_from, checked_broadcast, lower_ascii
 
 
 def _text() -> Column:
@@ -75,6 +75,7 @@ def exact_duplicates(docs: DataFrame, prefix: int = 64, digest_all: bool = False
     return inside.unionByName(alone)
 
 
+@apart_from("doc_id", "text")
 def drop_duplicates(docs: DataFrame, prefix: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 

@@ -14,8 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.similarity import connected_components
 from ..plans.lineage import stage
-from .common import checked_broadcast
-from .ngram_lm import most_frequent
+from .common import apart_from, checked_broadcast
+from .ngram_lm import lowest_count
 
 WORDS = 5
 #: Two documents link when their Jaccard similarity is NUM / DEN or more.
@@ -30,7 +30,7 @@ CELL = 1000
 LOCAL_REPEATS = 4
 COMMON = 500_000
 #: Incidence entries per block of the product, and n-grams a counting task holds.
-BLOCK_ENTRIES, HELD = 1_000_000, 2_000_000
+BLOCK_ENTRIES, HELD = 250_000, 1_000_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)[:MINIMA]
 #: Bits of a set's parity sketch; nodes of a second round of first links, and its random stars.
 SKETCH, CROWD, STARS = 1024, 16, 3
@@ -165,6 +165,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
         if held:
             yield repeats(id_type)
         _HASHES.clear()  # a worker lives on for other tasks
+        pa.default_memory_pool().release_unused()
 
     return stage(docs.select("doc_id", "text").mapInArrow(run, schema), "summaries")
 
@@ -191,7 +192,7 @@ def _entries(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     n = len(grams)
                     if not n or (node := node_of(grams)) in seen:
                         continue
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
                     kept = n - -(-NUM * n // DEN) + 1
@@ -216,6 +217,7 @@ def _entries(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                         ["key", "node", "n", "place", "wide"],
                     )
         _HASHES.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(run, "key long, node long, n int, place int, wide boolean")
 
@@ -245,8 +247,10 @@ def _may_link(n: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return (DEN * small >= NUM * large) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= least_overlap(n[a], n[b]))
 
 
-def _small_products(starts: np.ndarray, stops: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within small columns, all columns of one length at a time."""
+def _small_products(
+    starts: np.ndarray, stops: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, group: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within small columns, across components, all columns of one length at a time."""
     length = stops - starts
     for size in np.unique(length).tolist():
         i, j = np.triu_indices(size, 1)
@@ -255,7 +259,7 @@ def _small_products(starts: np.ndarray, stops: np.ndarray, node: np.ndarray, n:
         for first in range(0, len(of_size), step):
             at = of_size[first : first + step, None]
             a, b = (at + i).ravel(), (at + j).ravel()
-            ok = _may_link(n, place, a, b)
+            ok = (group[a] != group[b]) & _may_link(n, place, a, b)
             yield node[a[ok]], node[b[ok]]
 
 
@@ -315,11 +319,11 @@ def _columns(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> list[
     return [np.concatenate(c) for c in zip(*held, strict=True)] if held else []
 
 
-_BLOCK = "a long, b long, shared long, key long, node long, n int, place int"
+_MET = "key long, node long, n int, place int, large boolean, home long"
 
 
-def _block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of columns: pairs of the small ones, entries of the others for the grid."""
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one block of columns the entries of those with several rows; ``home`` is a column's smallest node."""
     columns = _columns(batches, ("key", "node", "n", "place", "wide"))
     if not columns:
         return
@@ -331,24 +335,38 @@ def _block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, node, n, place, wide = (c[order] for c in columns)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a set may come from several tasks
-    key, node, n, place, wide = key[new], node[new], n[new].astype(np.int64), place[new].astype(np.int64), wide[new]
+    key, node, n, place, wide = (c[new] for c in (key, node, n, place, wide))
     starts, stops = _runs(key)
     length = stops - starts
-    small = (length > 1) & (length <= DENSE) & ~wide[starts]
-    a, b, shared = _counted(list(_small_products(starts[small], stops[small], node, n, place)))
-    if len(a):
-        k = len(a)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.array(b), pa.array(shared.astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())],
-            ["a", "b", "shared", "key", "node", "n", "place"],
-        )
-    large = np.repeat(wide[starts] | (length > DENSE), length)
-    if large.any():
-        k = int(large.sum())
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(key[large]), pa.array(node[large]), pa.array(n[large].astype(np.int32)), pa.array(place[large].astype(np.int32))],
-            ["a", "b", "shared", "key", "node", "n", "place"],
-        )
+    large = wide[starts] | (length > DENSE)
+    kept = np.repeat(large | (length > 1), length)
+    spread = [np.repeat(large, length)[kept], np.repeat(node[starts] if len(starts) else starts, length)[kept]]
+    arrays = [key[kept], node[kept], n[kept].astype(np.int32), place[kept].astype(np.int32), *spread]
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["key", "node", "n", "place", "large", "home"])
+
+
+def _multiplied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within the small columns that one task holds, counted over all of them."""
+    columns = _columns(batches, ("key", "node", "n", "place", "component"))
+    if not columns:
+        return
+    order = np.lexsort((columns[1], columns[0]))
+    key, node, n, place, component = (c[order] for c in columns)
+    starts, stops = _runs(key)
+    a, b, shared = _counted(list(_small_products(starts, stops, node, n.astype(np.int64), place.astype(np.int64), component)))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int64))], ["a", "b", "shared"])
+
+
+def _products(entries: DataFrame, components: DataFrame, blocks: int) -> DataFrame:
+    """(a, b, shared): pairs within small columns, across components.
+
+    Columns that lie within one component are settled and dropped. The others go by their smallest
+    node, so columns with the same rows meet in one task and a pair of them is made and counted once.
+    """
+    known = components.select("node", "component")
+    rows = stage(entries.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "small-columns")
+    open_ = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    return rows.join(open_, "key").repartition(blocks, "home").select("key", "node", "n", "place", "component").mapInArrow(_multiplied, "a long, b long, shared long")
 
 
 def _cell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,10 +510,12 @@ def _labelled_rows(docs: DataFrame) -> DataFrame:
         rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"), F.first("long_sketch").alias("long_sketch")), "sets"
     )
     repeated = found.filter("key is not null").groupBy("key").agg(F.sum("n_seen").alias("n"))
-    top = most_frequent(stage(repeated, "repeated"), COMMON)
-    keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
+    repeated = stage(repeated, "repeated")
+    cut = lowest_count(repeated, COMMON)
+    top = (repeated.limit(0) if cut is None else repeated.filter(F.col("n") >= cut)).select("key", "n").toArrow()
+    keys, counts = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
-    common = keys[order], np.array([r["n"] for r in top], np.int64)[order]
+    common = keys[order], counts[order]
 
     minima = classes.select("node", F.posexplode("minima").alias("which", "least"))
     group = ["which", "least"]
@@ -518,9 +538,10 @@ def _labelled_rows(docs: DataFrame) -> DataFrame:
     entries = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     blocks = max(-(-entries // BLOCK_ENTRIES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     apart = F.when(F.col("wide"), F.xxhash64("node")).otherwise(0)  # entries of common n-grams go anywhere
-    multiplied = stage(_entries(docs, common).repartition(blocks, "key", apart).mapInArrow(_block, _BLOCK), "products")
-    wide = _grid(multiplied.filter("key is not null").select("key", "node", "n", "place"), settled, classes)
-    counted = multiplied.filter("a is not null").select("a", "b", "shared").unionByName(wide).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    met = stage(_entries(docs, common).repartition(blocks, "key", apart).mapInArrow(_met, _MET), "met")
+    small = _products(met.filter("not large"), settled, blocks)
+    wide = _grid(met.filter("large").select("key", "node", "n", "place"), settled, classes)
+    counted = small.unionByName(wide).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     candidates = _plausible(_across(counted, settled), classes)
     links = links.unionByName(_linked(docs, classes, candidates))
 
@@ -545,7 +566,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        crowd shares one and is not yet one component, with the smallest of some random sixteen.
        What links makes the first components: a few comparisons per member settle large groups.
     3. Another pass gives the leading entries of every node, common n-grams last, in blocks of
-       columns. A block multiplies its small columns and counts shared entries per pair; pairs
+       columns, which keep the columns of several rows. Those across components meet again by
+       their smallest node; there they are multiplied and shared entries counted per pair; pairs
        whose sizes, or what is left of either set, cannot reach the threshold are discarded, and
        so are those whose parity sketches differ in too many bits. Large columns are multiplied in
        cells, across components only.
@@ -568,6 +590,7 @@ def _with_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _HASHES.clear()  # a worker lives on for other tasks
 
 
+@apart_from("doc_id", "text")
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id, and all its columns.
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart_from
+
 #: Hash buckets of subwords; a document's features are at most this many counts.
 BUCKETS = 8192
 #: Subwords are 1 to 4 bytes long.
@@ -214,7 +216,12 @@ def identify_languages(docs: DataFrame, sample: int = 1000) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.accepted")
 
 
+@apart_from("doc_id", "text", "lang")
 def keep_identified(docs: DataFrame, sample: int = 1000) -> DataFrame:
-    """The rows of ``docs`` whose language is accepted, with all their columns."""
+    """The rows of ``docs`` whose language is accepted, with all their columns.
+
+    A row with a null text, or without a letter, goes. Rows repeated are judged one by one; an empty
+    table gives no rows.
+    """
     marked = docs.withColumn("_language", _predicted(docs, fit_model(docs, sample)))
     return marked.filter("_language.accepted").drop("_language")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import stage
 from ..plans.ranking import with_global_position
-from .common import WORD
+from .common import WORD, apart_from
 
 #: Words the dynamic program fits exactly; larger remainders are first brought below it.
 FIT_WORDS = 1 << 16
@@ -158,6 +158,7 @@ def mix_sources(
     )
 
 
+@apart_from("doc_id", "text", "source")
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` as the mix takes them: rows left out, once, or repeated, with all their columns.
 

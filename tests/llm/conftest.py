@@ -6,7 +6,10 @@ import re
 import pytest
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-EXTRAS = "size kept shard key n node row_no component copies digest prefix_key bucket score target length".split()
+EXTRAS = (
+    "size kept shard key n node row_no component copies digest prefix_key bucket score target length extra0 part words low high mark id moved phrase run anchor "
+    "_language _digest _prefix_key _shared _lose_id _lose_digest _twin_id _twin_digest _copies _again _mix_id _node _gone_id _id _of _mixed_id"
+).split()
 
 
 def docs_frame(spark, rows):
