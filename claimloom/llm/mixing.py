@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import stage
 from ..plans.ranking import with_global_position
-from .common import WORD, apart_from
+from .common import WORD, apart_from, checked_broadcast
 
 #: Words the dynamic program fits exactly; larger remainders are first brought below it.
 FIT_WORDS = 1 << 16
@@ -167,6 +167,6 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """
     taken = mix_sources(docs, **parameters).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     taken = stage(taken.filter("_copies > 0"), "copies").withColumnRenamed("doc_id", "_mix_id")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_mix_id")))
+    joined = docs.join(checked_broadcast(taken), docs["doc_id"].eqNullSafe(F.col("_mix_id")))
     again: Column = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
     return joined.withColumn("_again", again).select(*docs.columns)
