@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 #: Entries a worker keeps of words already encoded; a full cache starts anew.
 CACHED = 200_000
 #: Longer runs without white space are not worth keeping.
@@ -162,6 +164,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] =
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what a stage before has left
         bpe = loaded(tokenizer)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.similarity import connected_components
 from ..plans.lineage import stage
-from .common import apart_from, checked_broadcast
+from .common import apart_from, checked_broadcast, give_back
 from .ngram_lm import lowest_count
 
 WORDS = 5
@@ -165,7 +165,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
         if held:
             yield repeats(id_type)
         _HASHES.clear()  # a worker lives on for other tasks
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return stage(docs.select("doc_id", "text").mapInArrow(run, schema), "summaries")
 
@@ -217,7 +217,7 @@ def _entries(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                         ["key", "node", "n", "place", "wide"],
                     )
         _HASHES.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "key long, node long, n int, place int, wide boolean")
 
@@ -233,6 +233,7 @@ def _sets(rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
                 columns = [part.column(c) for c in carry] + [pa.array([node_of(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*carry, "node", "grams"])
         _HASHES.clear()
+        give_back()
 
     schema = ", ".join([*(f"{c} long" for c in carry), "node long", "grams binary"])
     return rows.select(*carry, "text").mapInArrow(run, schema)
@@ -343,6 +344,7 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spread = [np.repeat(large, length)[kept], np.repeat(node[starts] if len(starts) else starts, length)[kept]]
     arrays = [key[kept], node[kept], n[kept].astype(np.int32), place[kept].astype(np.int32), *spread]
     yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["key", "node", "n", "place", "large", "home"])
+    give_back()
 
 
 def _multiplied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
