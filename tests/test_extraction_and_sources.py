@@ -154,11 +154,13 @@ BIB = '@comment{10.9/x}\n@article{k1, title={A {nested} one}, doi = {10.2000/BIB
 
 
 def test_reference_exports(spark):
-    files = spark.createDataFrame([("a.ris", RIS), ("b.bib", BIB), ("c", "stray 10.3000/x in\nTY  - JOUR\nno end"), ("d.csv", "10.1/x")], "file string, text string")
+    files = spark.createDataFrame([("a.ris", RIS), ("b.bib", BIB), ("c", "stray 10.3000/x in\nTY  - JOUR\nno end"), ("d.csv", "10.1/x"), ("e.txt", "doi:10.5000/A. 1999, PMID:77\n10.5000/a none 77 123456789 1999")], "file string, text string")
     rows = {(r.file, r.position): (r.doi, r.pmid) for r in R.parse_exports(files).collect()}
     assert rows[("a.ris", 0)] == ("10.1000/ris", "555") and rows[("a.ris", 1)] == (None, None)
     assert rows[("b.bib", 0)] == ("10.2000/bib", "321") and rows[("b.bib", 1)] == (None, None)
+    assert {k: v for k, v in rows.items() if k[0] == "e.txt"} == {("e.txt", 0): ("10.5000/a", None), ("e.txt", 1): (None, None), ("e.txt", 2): (None, "77"), ("e.txt", 6): (None, None)}
     counts = {r.file: (r.entry_count, r.matched_count) for r in R.export_counts(R.parse_exports(files)).collect()}
+    assert counts["e.txt"] == (4, 2) and "d.csv" not in counts  # too short for a DOI, and no number
     assert counts["a.ris"] == (2, 1) and counts["b.bib"] == (2, 1)
     formats = {r.file: r.f for r in files.select("file", R.detect_format(F.lit(None), F.col("text")).alias("f")).collect()}
     assert formats["a.ris"] == "ris" and formats["b.bib"] == "bibtex" and formats["d.csv"] == "csv"
