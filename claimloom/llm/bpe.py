@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import give_back
 
 #: Entries a worker keeps of words already encoded; a full cache starts anew.
-CACHED = 200_000
+CACHED = 100_000
 #: Longer runs without white space are not worth keeping.
 CACHED_CHARS = 64
 _SPACES = "\t-\r \x85\xa0  -     　"
@@ -182,6 +182,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] =
                         column.append(_OUTPUTS[name][2](ids, text))
                 arrays = [part.column("doc_id"), *(pa.array(c, _OUTPUTS[n][0]) for c, n in zip(columns, outputs, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *outputs])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{n} {_OUTPUTS[n][1]}" for n in outputs)])
