@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from .common import give_back
 
-#: Entries a worker keeps of words already encoded; a full cache starts anew.
-CACHED = 100_000
+#: Entries a worker keeps of words already encoded, in each of two generations.
+CACHED = 120_000
 #: Longer runs without white space are not worth keeping.
 CACHED_CHARS = 64
 _SPACES = "\t-\r \x85\xa0  -     　"
@@ -54,8 +54,8 @@ class WordBpe:
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.symbols = byte_symbols()
-        self._pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the lowest-ranked merge until none is left.
@@ -87,37 +87,37 @@ class WordBpe:
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        found = self._pieces.get(piece)
+        """Ids of a piece; one that stands alone between white space is looked up alike."""
+        found = self._parts.get(piece) or self._older.get(piece)
         if found is None:
             symbols = [self.symbols[b] for b in piece.encode("utf-8", "surrogatepass")]
             symbols[-1] += self.end
             found = np.array(self.merge([self.vocab[s] for s in symbols if s in self.vocab]), "<u4").tobytes()
-            if len(piece) <= CACHED_CHARS:
-                if len(self._pieces) >= CACHED:
-                    self._pieces.clear()
-                self._pieces[piece] = found
-        return found
+        return self._kept(piece, found)
+
+    def _kept(self, part: str, ids: bytes) -> bytes:
+        """Two generations: when the newer is full it becomes the older, and what is met again moves on."""
+        if len(part) <= CACHED_CHARS:
+            if len(self._parts) >= CACHED:
+                self._parts, self._older = {}, self._parts
+            self._parts[part] = ids
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
         """Little-endian ids of a run without white space."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
-        lowered = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()  # no special form for a final sigma
-        return b"".join([self._piece(p) for p in _PIECE.findall(lowered)])
+        found = self._older.get(chunk)
+        if found is not None:
+            return self._kept(chunk, found)
+        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
+        lowered = "".join(c.lower() for c in plain) if "Σ" in plain else plain.lower()  # no special form for a final sigma
+        return self._kept(chunk, b"".join([self._piece(p) for p in _PIECE.findall(lowered)]))
 
     def _plain(self, text: str) -> bytes:
         chunks = [c for c in _SPACE_RUN.split(text) if c] if _ONLY_PYTHON_SPACES.search(text) else text.split()
-        get = self._chunks.get
-        parts = [get(c) for c in chunks]
+        parts = list(map(self._parts.get, chunks))
         if None in parts:
-            for i, part in enumerate(parts):
-                if part is None:
-                    chunk = chunks[i]
-                    part = parts[i] = self._chunk(chunk)
-                    if len(chunk) <= CACHED_CHARS:
-                        if len(self._chunks) >= CACHED:
-                            self._chunks.clear()
-                        self._chunks[chunk] = part
+            make = self._chunk
+            parts = [make(c) if part is None else part for c, part in zip(chunks, parts, strict=True)]
         return b"".join(parts)
 
     def encode(self, text: str) -> np.ndarray:
