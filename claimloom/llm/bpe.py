@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import give_back
 
 #: Entries a worker keeps of words already encoded, in each of two generations.
-CACHED = 120_000
+CACHED = 90_000
 #: Longer runs without white space are not worth keeping.
 CACHED_CHARS = 64
 _SPACES = "\t-\r \x85\xa0  -     　"
