@@ -1,31 +1,37 @@
-"""Language-model scores from a weighted backoff automaton over smoothed n-grams."""
+"""Language-model scores from a weighted backoff automaton over smoothed n-grams.
+
+The model is every n-gram seen ``least`` times, and grows with the corpus; no task holds it. Texts
+are packed into blocks once. Level by level each block sends its distinct n-grams, packed, to the
+range of their context, where counts meet and go back in the order they came. From those a block
+builds the part of the automaton that its own texts can reach, and walks them.
+"""
 
 from __future__ import annotations
 
-import math
-import uuid
+import struct
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stage
+from .common import give_back
 
-#: Rows a counting task holds before it hands them on; sums are finished by Spark.
-HELD_ROWS = 400_000
-#: Tokens a scoring task works on at once, and n-grams whose weights it carries; scores depend on neither.
-BLOCK_TOKENS, CARRIED = 1_500_000, 300_000
-#: Bits of the filter that tells most n-grams seen too rarely; it saves work, scores do not depend on it.
-FILTER_BITS = 28
+#: Tokens of a block, tokens whose n-grams one range counts, words whose keys a task remembers; scores depend on none.
+BLOCK_TOKENS, RANGE_TOKENS, HELD_WORDS = 5_000_000, 1 << 21, 400_000
+#: Bits of the filter that tells most n-grams seen too rarely, and pieces it is merged in; it saves work, scores do not depend on it.
+FILTER_BITS, SLICE_BITS = 28, 6
 END = b""  # no word is empty, so the end of a text can take the empty one
+HASH_BITS = 48  # an n-gram goes by its context and so many bits of the rest
+
+#: What a range says to no block in particular goes under these block numbers.
+FILTER, HOT, TOTALS = -1, -2, -3
+ANSWER = "block long, place int, a binary, b binary, c binary"
 
 
 def held_out(doc_id: object, modulus: int = 7, rest: int = 2) -> bool:
@@ -40,557 +46,479 @@ def tokens(text: str | None) -> list[bytes]:
     return found
 
 
-def _training_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[str | None]:
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            if not held_out(doc_id):
-                yield text.as_py()
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n): exact count of every token of the training documents. Written once."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+# --- packed numbers ------------------------------------------------------------------------------
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-            )
 
-        for text in _training_texts(batches):
-            counts.update(tokens(text))
-            if len(counts) > HELD_ROWS:
-                yield rows()
-                counts.clear()
-        yield rows()
+def pack(numbers: np.ndarray, width: int | None = None) -> bytes:
+    """Numbers of 0 or more as planes of bytes, compressed; as many planes as the largest needs."""
+    numbers = np.ascontiguousarray(numbers, dtype="<u8")
+    width = width or max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(numbers), width) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "word binary, n long")
-    return stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
 
+def unpack(packed: bytes) -> np.ndarray:
+    size, width = struct.unpack_from("<QB", packed)
+    planes = np.zeros((size, 8), np.uint8)
+    if size:
+        flat = pa.decompress(packed[9:], decompressed_size=size * width, codec="zstd", asbytes=True)
+        planes[:, :width] = np.frombuffer(flat, np.uint8).reshape(width, size).T
+    return planes.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
-def lowest_count(counted: DataFrame, limit: int, least: int = 1) -> int | None:
-    """The count from which at most ``limit`` rows of a table with counts ``n`` are left; None if no class fits.
 
-    The cut is read from a histogram of fixed size: one class per count up to 4096, then 64 per
-    doubling.
-    """
-    step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 4096)
-    classes = counted.filter(F.col("n") >= least).groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("lowest")).collect()
-    cut, room = None, limit
-    for r in sorted(classes, key=lambda r: -r["step"]):
-        room -= r["rows"]
-        if room < 0:
-            break
-        cut = r["lowest"]
-    return cut
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def most_frequent(counted: DataFrame, limit: int, least: int = 1) -> list:
-    """At most ``limit`` rows of a table with counts ``n``: as many of its highest counts as fit whole."""
-    cut = lowest_count(counted, limit, least)
-    return [] if cut is None else counted.filter(F.col("n") >= cut).collect()
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed), dtype=np.uint64)
 
 
-class Grams:
-    """The kept n-grams, level by level, as sorted keys ``prefix state << 32 | word``.
+def joined(context: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """64-bit key of an n-gram from the key of its context and the hash of what follows."""
+    x = context ^ (rest * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    A word's number is its rank in the head; the first ``n_states`` words are states 1 ...
-    ``n_states`` (state 0 is the empty context) and kept n-grams follow.
-    """
 
-    def __init__(self, head: list[bytes], n_states: int):
-        self.head, self.n_states = head, n_states
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, counts, state ids
-        self._numbers: dict[bytes, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_numbers": None}
-
-    @property
-    def numbers(self) -> dict[bytes, int]:
-        if self._numbers is None:
-            self._numbers = {w: i for i, w in enumerate(self.head)}
-        return self._numbers
-
-    def keys(self, words: list[bytes]) -> np.ndarray:
-        """Keys of the n-grams one longer than the last level, whose parts are all kept."""
-        number = self.numbers.get
-        ids = np.fromiter((number(w, -1) for w in (END, *words)), np.int64, len(words) + 1)
-        states = np.where((ids >= 0) & (ids < self.n_states), ids + 1, 0)
-        small = states.copy()
-        for keys, _, numbers in self.levels:
-            key = (states[:-1] << 32) | ids[1:]
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            hit = (states[:-1] > 0) & (small[1:] > 0) & (len(keys) > 0)
-            if len(keys):
-                hit &= keys[at] == key
-            states = np.concatenate(([0], np.where(hit, numbers[at] if len(keys) else 0, 0)))
-        ok = (states[:-1] > 0) & (small[1:] > 0)
-        return ((states[:-1] << 32) | ids[1:])[ok]
-
-
-def count_grams(docs: DataFrame, grams: Grams) -> DataFrame:
-    """(key, n): exact count of every candidate n-gram of the next level. Written once.
-
-    The context before the first word is the end of a text.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(grams)  # bounded by the numbers of words and n-grams kept
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, size = shared.value, [], 0
-
-        def rows() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-        for text in _training_texts(batches):
-            keys = model.keys(tokens(text))
-            held.append(keys)
-            size += len(keys)
-            if size > 16 * HELD_ROWS:
-                yield rows()
-                held, size = [], 0
-        if held:
-            yield rows()
+def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "key long, n long")
-    return stage(counted.groupBy("key").agg(F.sum("n").alias("n")), "grams")
 
-
-@dataclass
-class Automaton:
-    """States with weighted arcs; a failure arc leads to the state of the next shorter context.
-
-    ``arcs`` maps ``state << 32 | word`` to an arc: its log10 probability and the state it leads
-    to. Where a state has no arc for a word, its failure weight is added and the search goes on in
-    its failure state. State 0 has an arc for every word of the head; a word outside it costs the
-    failure weights met here plus its unigram probability, which is added later.
-    """
-
-    numbers: dict[bytes, int]
-    arcs: dict[int, int]
-    arc_score: list[float]
-    arc_state: list[int]
-    fail_score: list[float]
-    fail_state: list[int]
-    word_score: list[float]
-    word_state: list[int]
-
-    def walk(self, words: list[bytes]) -> tuple[float, list[bytes]]:
-        """Log10 probability of the words, without the unigram part of those outside the head; and those."""
-        arcs, number = self.arcs.get, self.numbers.get
-        arc_score, arc_state, fail_score, fail_state = self.arc_score, self.arc_state, self.fail_score, self.fail_state
-        word_score, word_state = self.word_score, self.word_state
-        state, total, outside = word_state[number(END)] if END in self.numbers else 0, 0.0, []
-        for word in words:
-            w = number(word)
-            if w is None:
-                outside.append(word)
-                while state:
-                    total += fail_score[state]
-                    state = fail_state[state]
-                continue
-            while state:
-                arc = arcs(state << 32 | w)
-                if arc is not None:
-                    total += arc_score[arc]
-                    state = arc_state[arc]
-                    break
-                total += fail_score[state]
-                state = fail_state[state]
-            else:
-                total += word_score[w]
-                state = word_state[w]
-        return total, outside
-
-
-def build_automaton(grams: Grams, counts: np.ndarray, total: int, vocabulary: int) -> Automaton:
-    """Interpolated Witten-Bell weights over the kept n-grams.
-
-    In a state seen c times with t kept continuations, a kept word w has probability
-    n(w) / (c + t) + weight * p(w in the failure state), where weight is what the kept counts
-    leave; every other word has weight * p(w in the failure state). Each state sums to one.
-    """
-    n = len(grams.head)
-    chance = (counts + 1) / (total + vocabulary + 1)
-    n_all = grams.n_states + 1 + sum(len(k) for k, _, _ in grams.levels)
-    fail_weight, fail_state, seen = np.ones(n_all), np.zeros(n_all, np.int64), np.zeros(n_all, np.int64)
-    seen[1 : grams.n_states + 1] = counts[: grams.n_states]
-    last_word = np.zeros(n_all, np.int64)
-    last_word[1 : grams.n_states + 1] = np.arange(grams.n_states)
-    prob: dict[int, float] = {}
-    to_state: dict[int, int] = {}
-
-    def lower(state: int, word: int) -> tuple[float, int]:
-        scale = 1.0
-        while state:
-            if (key := state << 32 | word) in prob:
-                return scale * prob[key], to_state[key]
-            scale, state = scale * fail_weight[state], int(fail_state[state])
-        return scale * chance[word], word + 1 if word < grams.n_states else 0
-
-    for keys, found, numbers in grams.levels:
-        prefix, word = keys >> 32, keys & 0xFFFFFFFF
-        mass, kinds = np.zeros(n_all), np.zeros(n_all)
-        np.add.at(mass, prefix, found)
-        np.add.at(kinds, prefix, 1)
-        below = np.maximum(seen, mass) + kinds
-        left = np.where(kinds > 0, 1 - mass / np.maximum(below, 1), 1.0)
-        fresh = {}
-        for key, c, own, p, w in zip(keys.tolist(), found.tolist(), numbers.tolist(), prefix.tolist(), word.tolist(), strict=True):
-            shorter, backed = lower(int(fail_state[p]), w)
-            fresh[key] = (c / below[p] + left[p] * shorter, own)
-            fail_state[own], seen[own], last_word[own] = backed, c, w
-        for key, (p, own) in fresh.items():
-            prob[key], to_state[key] = p, own
-        fail_weight = np.where(kinds > 0, left, fail_weight)
-    order = {key: i for i, key in enumerate(prob)}
-    return Automaton(
-        grams.numbers, order, [math.log10(p) for p in prob.values()], list(to_state.values()), np.log10(fail_weight).tolist(), fail_state.tolist(),
-        np.log10(chance).tolist() if n else [], [i + 1 if i < grams.n_states else 0 for i in range(n)],
-    )
-
-
-_BUILT: dict[str, tuple[Automaton, np.ndarray]] = {}
-
-
-def _built(model_id: str, parts: tuple) -> tuple[Automaton, np.ndarray]:
-    """The automaton, built once in each Python worker."""
-    if model_id not in _BUILT:
-        _BUILT.clear()
-        grams, counts, total, vocabulary = parts
-        _BUILT[model_id] = build_automaton(grams, counts, total, vocabulary), np.log10((counts + 1) / (total + vocabulary + 1))
-    return _BUILT[model_id]
-
-
-def _score_bounded(docs: DataFrame, order: int, head_words: int, state_words: int, kept_grams: int, least: int) -> DataFrame:
-    """Scores under a model that every task carries, cut where the caller says.
-
-    A candidate n-gram has kept parts and words among the ``state_words`` most frequent. The model
-    has at most ``head_words`` words and, at each level, ``kept_grams`` n-grams seen ``least`` times
-    or more, the most frequent first; the last count is taken whole or not at all, so no tie is
-    broken. Words outside the head meet their counts in a shuffle join instead, so both scores use
-    the exact count of every token.
-    """
-    vocabulary = count_words(docs)
-    total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = sorted(most_frequent(vocabulary, head_words), key=lambda r: (-r.n, bytes(r.word)))
-    grams = Grams([bytes(r.word) for r in top], min(state_words, len(top)))
-    next_state = grams.n_states + 1
-    for _ in range(order - 1):
-        best = sorted(most_frequent(count_grams(docs, grams), kept_grams, least), key=lambda r: r.key)
-        keys = np.array([r.key for r in best], np.int64)
-        grams.levels.append((keys, np.array([r.n for r in best], np.int64), np.arange(next_state, next_state + len(best), dtype=np.int64)))
-        next_state += len(best)
-    counts = np.array([r.n for r in top], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((grams, counts, total, kinds))
-    model_id = uuid.uuid4().hex
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, base = _built(model_id, shared.value)
-        number = automaton.numbers.get
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "known", "base", "own", "outside")}
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                    words = tokens(text.as_py())
-                    own, outside = automaton.walk(words)
-                    ids = np.fromiter((number(w, -1) for w in words), np.int64, len(words))
-                    ids = ids[ids >= 0]
-                    out["doc_id"].append(doc_id)
-                    out["held_out"].append(held_out(doc_id))
-                    out["n_tokens"].append(len(words))
-                    out["known"].append(len(ids))
-                    out["base"].append(float(base[ids].sum()) if len(ids) else 0.0)
-                    out["own"].append(own)
-                    out["outside"].append(outside)
-                types = [part.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = stage(
-        docs.select("doc_id", "text").mapInArrow(
-            score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, own double, outside array<binary>"
-        ).withColumn("row_no", F.monotonically_increasing_id()),
-        "walked",
-    )
-    rare = scored.select("row_no", F.explode("outside").alias("word")).groupBy("row_no", "word").agg(F.count("*").alias("times"))
-    unigram = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + kinds + 1)))
-    extra = (
-        rare.join(vocabulary, "word", "left")
-        .groupBy("row_no")
-        .agg(F.sum(F.col("times") * unigram).alias("extra"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"))
-    )
-    none = F.lit(0.0)
-    return scored.join(extra, "row_no", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("extra", none)).alias("base_score"),
-        (F.col("own") + F.coalesce("extra", none)).alias("score"),
-    )
-
-
-# --- the whole model, as tables -----------------------------------------------------------------
-
-
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64(a, b)`` of two 64-bit columns."""
-    p1, p2, p3, p4 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
-
-    def turned(x: np.ndarray, k: int) -> np.ndarray:
-        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-
-    h = np.full(len(a), 42, np.uint64)
-    for x in (a, b):
-        h = h + np.uint64(0x27D4EB2F165667CD)  # the last prime and the width of a number
-        h = turned(h ^ (turned(x.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h = h ^ (h >> np.uint64(32))
-    return h.view(np.int64)
+# --- blocks of texts -----------------------------------------------------------------------------
 
 
 class _WordKeys(dict):
     """64-bit keys of words, kept for the next time; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD_ROWS:
+        if len(self) >= HELD_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-def _blocks(texts: Iterable[str | None], keys: _WordKeys) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Word keys of whole texts, each after the end of a text; place in the text; number of the text in the block."""
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """Blocks of whole texts: their ids, lengths, distinct words as keys, and which word stands where. Written once.
 
-    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in held])
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return np.concatenate(held), np.arange(len(starts)) - starts, np.repeat(np.arange(len(sizes)), sizes)
+    Each text begins with the end of another, the context of its first word.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    held, size = [], 0
-    for text in texts:
-        words = tokens(text)
-        held.append(np.fromiter(map(keys.__getitem__, [END, *words]), np.uint64, len(words) + 1).view(np.int64))
-        size += len(words) + 1
-        if size > BLOCK_TOKENS:
-            yield block()
-            held, size = [], 0
-    if held:
-        yield block()
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, number = _WordKeys(), TaskContext.get().partitionId() << 32
+        ids: list = []
+        held: list[np.ndarray] = []
+        size, id_type = 0, pa.null()
 
+        def block() -> pa.RecordBatch:
+            words, at = np.unique(np.concatenate(held), return_inverse=True)
+            columns = [
+                pa.array([number], pa.int64()), pa.array([size - len(held)], pa.int64()), pa.array([ids], pa.list_(id_type)),
+                *(pa.array([x], pa.binary()) for x in (pack(np.array([len(x) for x in held])), pack_sorted(words), pack(at))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "n", "ids", "lengths", "words", "at"])
 
-def _longer(keys: np.ndarray) -> np.ndarray:
-    """Keys of n-grams one longer, at the places where they end; the first place has none."""
-    return np.concatenate((keys[:1], pair_keys(keys[:-1], keys[1:])))
+        for batch in batches:
+            id_type = batch.schema.field("doc_id").type
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                words = tokens(text.as_py())
+                if held and size + len(words) > BLOCK_TOKENS:
+                    yield block()
+                    number, ids, held, size = number + 1, [], [], 0
+                ids.append(doc_id)
+                held.append(np.fromiter(map(keys.__getitem__, [END, *words]), np.uint64, len(words) + 1))
+                size += len(words) + 1
+        if held:
+            yield block()
+        held = []
+        keys.clear()
+        give_back()
+
+    schema = f"block long, n long, ids array<{kind}>, lengths binary, words binary, at binary"
+    return stage(docs.select("doc_id", "text").mapInArrow(blocks, schema), "blocks")
+
+
+class Level:
+    """Distinct n-grams of a block: keys, which of the level below is the context and which the rest, training count."""
+
+    def __init__(self, keys: np.ndarray, context: np.ndarray, rest: np.ndarray, last: np.ndarray, counts: np.ndarray, at: np.ndarray):
+        self.keys, self.context, self.rest, self.last, self.counts, self.at = keys, context, rest, last, counts, at
+
+
+class Block:
+    """A block of texts, read back: its n-grams level by level, and the parcels they travel in."""
+
+    def __init__(self, row: dict, bits: int):
+        self.bits, self.ids = bits, row["ids"]
+        self.held = np.array([held_out(x) for x in self.ids], bool)
+        lengths = unpack(row["lengths"]).astype(np.int64)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.number = np.repeat(np.arange(len(lengths)), lengths)
+        self.place = np.arange(len(self.number)) - np.repeat(self.starts, lengths)
+        self.training = ~np.repeat(self.held, lengths)
+        words, at = unpack_sorted(row["words"]), unpack(row["at"]).astype(np.int64)
+        counts = np.bincount(at[(self.place > 0) & self.training], minlength=len(words))
+        nothing = np.zeros(0, np.int64)
+        self.levels = [Level(words, nothing, nothing, np.arange(len(words)), counts, at)]
+
+    def extend(self, bits: np.ndarray) -> Level:
+        """The n-grams one longer, of those whose context and rest pass the filter."""
+        top, depth = self.levels[-1], len(self.levels)
+        maybe = passes(bits, top.keys)
+        at = top.at.copy()
+        inside = np.flatnonzero(at >= 0)
+        at[inside[~maybe[at[inside]]]] = -1
+        ends = np.flatnonzero((self.place[1:] >= depth) & (at[1:] >= 0) & (at[:-1] >= 0)) + 1
+        found, inverse = np.unique((at[ends - 1] << 32) | at[ends], return_inverse=True)
+        context, rest = found >> 32, found & 0xFFFFFFFF
+        place = np.full(len(at), -1, np.int64)
+        place[ends] = inverse
+        counts = np.bincount(inverse[self.training[ends]], minlength=len(found))
+        top.maybe = maybe
+        self.levels.append(Level(joined(top.keys[context], rest_hash(top.keys[rest])), context, rest, top.last[rest], counts, place))
+        return self.levels[-1]
+
+    def parcels(self, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Entries (context, range) of the last level and its n-grams in the order they are sent.
+
+        A context goes to one range; one of the hot ones to several, its n-grams dealt by hash, and
+        is named in each of them so that each says what it counted.
+        """
+        below, top = self.levels[-2:]
+        contexts = np.flatnonzero(below.maybe)
+        keys = below.keys[contexts]
+        shares = np.ones(len(keys), np.int64)
+        if len(hot[0]):
+            near = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
+            shares = np.where(hot[0][near] == keys, hot[1][near], 1)
+        first = np.cumsum(shares) - shares
+        owner = np.repeat(np.arange(len(keys)), shares)
+        salt = np.arange(len(owner)) - first[owner]
+        ranges = (_range_of(keys, self.bits)[owner] + salt) & ((1 << self.bits) - 1)
+        order = np.lexsort((keys[owner], ranges))
+        where = np.empty_like(order)
+        where[order] = np.arange(len(order))
+        rank = np.zeros(len(below.keys), np.int64)
+        rank[contexts] = np.arange(len(contexts))
+        mine = rank[top.context]
+        rest = rest_hash(below.keys[top.rest])
+        entry = where[first[mine] + (rest % shares[mine].astype(np.uint64)).astype(np.int64)]
+        grams = np.lexsort((rest, entry))
+        return contexts[owner[order]], ranges[order], grams, entry[grams], rest[grams]
+
+
+def rest_hash(keys: np.ndarray) -> np.ndarray:
+    """What tells an n-gram from others of its context: ``HASH_BITS`` bits of the key of the rest."""
+    return (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - HASH_BITS)
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False only for keys that are not in the table the filter was made of."""
-    at = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+# --- counting ------------------------------------------------------------------------------------
 
 
-def key_filter(table: DataFrame) -> np.ndarray:
-    """A bit for the last ``FILTER_BITS`` bits of every ``key``; its size is fixed."""
-    mask = (1 << FILTER_BITS) - 1
-    rows = table.groupBy(F.expr(f"shiftright(key & {mask}L, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63L as int)))").alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the table the filter was made of."""
+    at = keys >> np.uint64(64 - FILTER_BITS)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _answer(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "place", "a", "b", "c"])
+
+
+def _said_to_all(keys: np.ndarray, n: np.ndarray, share: int) -> list[tuple]:
+    """Pieces of the filter of the kept keys, and those counted so often that they must be split as contexts."""
+    at = np.unique(keys >> np.uint64(64 - FILTER_BITS))
+    piece = (at >> np.uint64(FILTER_BITS - SLICE_BITS)).astype(np.int64)
+    rows = [(FILTER, int(p), pack_sorted(at[piece == p]), b"", b"") for p in np.unique(piece)]
+    hot = np.flatnonzero(n > share)
+    if len(hot):
+        rows.append((HOT, 0, pack(keys[hot]), pack(-(-n[hot] // share)), b""))
+    return rows
+
+
+def count_level(sent: DataFrame, depth: int, least: int, share: int) -> DataFrame:
+    """What each range of contexts counted: its answer to each block, in the block's own order. Written once."""
+
+    def words(table: pa.Table) -> pa.Table:
+        blocks, place = table.column("block").to_pylist(), table.column("place")[0].as_py()
+        keys = [unpack_sorted(x) for x in table.column("a").to_pylist()]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate([unpack(x) for x in table.column("b").to_pylist()]), len(found)).astype(np.int64)
+        kept = n >= max(least, 1)
+        rows = _said_to_all(found[kept], n[kept], share)
+        rows.append((TOTALS, place, pack(np.array([n.sum(), (n > 0).sum()])), b"", b""))
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        rows += [(block, place, pack(n[x]), b"", b"") for block, x in zip(blocks, np.split(at, ends), strict=True)]
+        return _answer(rows)
+
+    def grams(table: pa.Table) -> pa.Table:
+        blocks, place = table.column("block").to_pylist(), table.column("place")[0].as_py()
+        entries = [unpack_sorted(x) for x in table.column("a").to_pylist()]
+        follow = np.concatenate([unpack(x) for x in table.column("b").to_pylist()]).astype(np.int64)
+        rest = [unpack(x) for x in table.column("c").to_pylist()]
+        own = np.concatenate([unpack(x) for x in table.column("d").to_pylist()])
+        contexts, which = np.unique(np.concatenate(entries), return_inverse=True)
+        context = np.repeat(which, follow)
+        keys, first, at = np.unique(joined(contexts[context], np.concatenate(rest)), return_index=True, return_inverse=True)
+        n = np.bincount(at, own, len(keys)).astype(np.int64)
+        kept = n >= max(least, 1)
+        mass = np.bincount(context[first[kept]], n[kept], len(contexts)).astype(np.int64)
+        kinds = np.bincount(context[first[kept]], minlength=len(contexts))
+        rows = _said_to_all(keys[kept], n[kept], share)
+        n[~kept] = 0
+        e = np.cumsum([len(x) for x in entries])[:-1]
+        g = np.cumsum([len(x) for x in rest])[:-1]
+        for block, x, y in zip(blocks, np.split(at, g), np.split(which, e), strict=True):
+            rows.append((block, place, pack(n[x]), pack(mass[y]), pack(kinds[y])))
+        return _answer(rows)
+
+    return stage(sent.groupBy("place").applyInArrow(words if depth == 1 else grams, ANSWER), "answers")
+
+
+def filter_of(answers: DataFrame) -> np.ndarray:
+    """The merged filter: a bit for the first ``FILTER_BITS`` bits of every kept key; its size is fixed."""
+    width = 1 << (FILTER_BITS - SLICE_BITS)
+
+    def merge(table: pa.Table) -> pa.Table:
+        bits = np.zeros(width, bool)
+        for x in table.column("a"):
+            bits[unpack_sorted(x.as_py()) & np.uint64(width - 1)] = True
+        packed = pa.compress(np.packbits(bits, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+        return pa.table([table.column("place")[:1], pa.array([packed], pa.binary())], ["place", "bits"])
+
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    pieces = answers.filter(F.col("block") == FILTER).select("place", "a")
+    for row in pieces.groupBy("place").applyInArrow(merge, "place int, bits binary").toLocalIterator():
+        bits[row.place * width // 8 : (row.place + 1) * width // 8] = np.frombuffer(pa.decompress(row.bits, width // 8, codec="zstd", asbytes=True), np.uint8)
     return bits
 
 
-def count_keys(docs: DataFrame) -> DataFrame:
-    """(key, n): exact count of every token of the training documents by its 64-bit key. Written once."""
+def hot_of(answers: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts to split and into how many shares, by key; a context counts for a fixed part of a range, so they are few."""
+    rows = answers.filter(F.col("block") == HOT).select("a", "b").collect()
+    keys = np.concatenate([unpack(r.a) for r in rows]) if rows else np.zeros(0, np.uint64)
+    shares = np.concatenate([unpack(r.b) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.minimum(shares[order], ranges)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, place, _ in _blocks(_training_texts(batches), _WordKeys()):
-            found, n = np.unique(keys[place > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["key", "n"])
 
-    return stage(docs.select("doc_id", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+def send_level(blocks: DataFrame, depth: int, bits: int, model: Callable[[], tuple[list, list]]) -> DataFrame:
+    """A row a block and range: contexts, how many n-grams each has, hashes of their rest, training counts."""
 
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters, hot = model()
+        for row in _rows(batches):
+            block = Block(row, bits)
+            for level in range(1, depth):
+                block.extend(filters[level - 1])
+            if depth == 1:
+                entries = block.levels[0].keys
+                ranges, counts = _range_of(entries, bits), block.levels[0].counts
+            else:
+                contexts, ranges, grams, entry, rest = block.parcels(hot[depth - 2])
+                entries, counts = block.levels[-2].keys[contexts], block.levels[-1].counts[grams]
+                follow = np.bincount(entry, minlength=len(entries))
+                ends = np.concatenate(([0], np.cumsum(follow)))
+            del block
+            for p in np.unique(ranges):
+                low, high = np.searchsorted(ranges, p), np.searchsorted(ranges, p, "right")
+                if depth == 1:
+                    parcel = pack_sorted(entries[low:high]), pack(counts[low:high]), b"", b""
+                else:
+                    a, z = ends[low], ends[high]
+                    parcel = pack_sorted(entries[low:high]), pack(follow[low:high]), pack(rest[a:z], HASH_BITS // 8), pack(counts[a:z])
+                columns = [pa.array([row["block"]], pa.int64()), pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in parcel)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "place", "a", "b", "c", "d"])
+        give_back()
 
-def count_pairs(docs: DataFrame, level: int, shorter: DataFrame, least: int) -> DataFrame:
-    """(a, b, key, n): n-grams of ``level`` words seen ``least`` times, as all but the last word, all but the first. Written once.
+    return blocks.select("block", "ids", "lengths", "words", "at").mapInArrow(send, "block long, place int, a binary, b binary, c binary, d binary")
 
-    Parts are seen as often as the whole, so pairs of which ``shorter`` lacks a part need no count.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(shorter))  # of fixed size
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def rows() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n)], ["a", "b", "n"])
-
-        for keys, place, _ in _blocks(_training_texts(batches), _WordKeys()):
-            for _ in range(level - 2):
-                keys = _longer(keys)
-            maybe = _passes(shared.value, keys)
-            ends = np.flatnonzero((place[1:] >= level - 1) & maybe[1:] & maybe[:-1])
-            held.append((keys[ends], keys[ends + 1]))
-            size += len(ends)
-            if size > 8 * HELD_ROWS:
-                yield rows()
-                held, size = [], 0
-        if held:
-            yield rows()
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return stage(counted.select("a", "b", F.xxhash64("a", "b").alias("key"), "n"), "pairs")
+# --- the automaton -------------------------------------------------------------------------------
 
 
-def weigh(docs: DataFrame, order: int, least: int) -> tuple[list[DataFrame], int, int]:
-    """Tables (key, n, own, base, known) of weights, a level each; number of training tokens and of distinct ones.
+class Automaton:
+    """States with weighted arcs; a failure arc leads to the state of the next shorter context.
 
-    The log10 score of a text is the sum of ``own`` over all its n-grams, beside the constant
-    -log10(tokens + words + 1) of each token: a word adds its add-one count, an n-gram what its arc
-    differs from its failure arcs, and either, as a context, its failure weight.
+    State 0 is the empty context and has an arc for every word. The other arcs are sorted codes
+    ``state * words + word`` with a log10 probability and the state they lead to. Where a state has
+    no arc for a word, its failure weight is added and the search goes on in its failure state.
     """
-    words = count_keys(docs)
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    none = F.lit(0.0)
-    level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(total + kinds + 1))).alias("p"), F.log10(F.col("n") + 1).alias("own"))
-    level = level.select("*", F.col("own").alias("base"), F.lit(1).alias("known"))
-    weights = []
-    for k in range(2, order + 1):
-        kept = count_pairs(docs, k, level.filter(F.col("n") >= least), least)
-        seen = kept.groupBy("a").agg(F.sum("n").alias("mass"), F.count("*").alias("follow")).join(level.select(F.col("key").alias("a"), F.col("n").alias("seen")), "a")
-        below = F.greatest("seen", "mass") + F.col("follow")
-        contexts = stage(seen.select("a", below.alias("below"), (1 - F.col("mass") / below).alias("left")), "contexts")
-        failing = contexts.select(F.col("a").alias("key"), F.log10("left").alias("fail"))
-        weights.append(level.join(failing, "key", "left").select("key", "n", (F.col("own") + F.coalesce("fail", none)).alias("own"), "base", "known"))
-        arcs = kept.join(contexts, "a").join(level.select(F.col("key").alias("b"), F.col("p").alias("shorter")), "b")
-        chance = F.col("n") / F.col("below") + F.col("left") * F.col("shorter")
-        level = stage(arcs.select("key", "n", chance.alias("p"), (F.log10(chance) - F.log10("left") - F.log10("shorter")).alias("own")), "arcs")
-        level = level.select("*", none.alias("base"), F.lit(0).alias("known"))
-    return [stage(w.select("key", "n", "own", "base", "known"), "weights") for w in (*weights, level)], total, kinds
-
-
-def _sum_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weights of (key, row_no, rows) added up by row, as far as a task holds them."""
-    held, size, names = [], 0, ["own", "base", "known"]
-
-    def rows() -> pa.RecordBatch:
-        row_no, *values = (np.concatenate(x) for x in zip(*held, strict=True))
-        found, at = np.unique(row_no, return_inverse=True)
-        sums = [np.bincount(at, v, len(found)) for v in values]
-        return pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums[:2]), pa.array(sums[2].astype(np.int64))], ["row_no", *names])
 
-    for batch in batches:
-        lists = batch.column("rows")
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        row_no = np.repeat(batch.column("row_no").to_numpy(zero_copy_only=False), lengths) + lists.flatten().to_numpy(zero_copy_only=False)
-        held.append((row_no, *(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths) for c in names)))
-        size += len(row_no)
-        if size > 5 * HELD_ROWS:
-            yield rows()
-            held, size = [], 0
-    if held:
-        yield rows()
-
-
-def _score_whole(docs: DataFrame, order: int, least: int) -> DataFrame:
-    """Scores under all n-grams seen ``least`` times, looked up by a shuffle join.
-
-    A task carries the weights of the most frequent n-grams and adds them up itself. Of any other
-    that a filter lets pass, a block of texts sends one row with the texts it occurs in.
+    def __init__(self, word_score: np.ndarray, word_state: np.ndarray):
+        self.word_score, self.word_state, self.n_words = word_score, word_state, len(word_score)
+        self.arcs, self.arc_score, self.arc_state = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.fail_score, self.fail_state = np.zeros(1), np.zeros(1, np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probability of a word in each state, and the states it leads to."""
+        score, after = np.zeros(len(word)), np.zeros(len(word), np.int64)
+        left = np.arange(len(word))
+        while len(left):
+            s, w = state[left], word[left]
+            root = s == 0
+            score[left[root]] += self.word_score[w[root]]
+            after[left[root]] = self.word_state[w[root]]
+            left, s, w = left[~root], s[~root], w[~root]
+            if not len(left):
+                break
+            code = s * self.n_words + w
+            arc = np.minimum(np.searchsorted(self.arcs, code), max(len(self.arcs) - 1, 0))
+            hit = self.arcs[arc] == code if len(self.arcs) else np.zeros(len(code), bool)
+            score[left[hit]] += self.arc_score[arc[hit]]
+            after[left[hit]] = self.arc_state[arc[hit]]
+            left, s = left[~hit], s[~hit]
+            score[left] += self.fail_score[s]
+            state[left] = self.fail_state[s]
+        return score, after
+
+    def walk(self, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text, read from left to right; the texts go in step, each with its own state."""
+        order = np.argsort(-lengths, kind="stable")
+        begin, size = starts[order], lengths[order]
+        total, state = np.zeros(len(order)), self.word_state[at[begin]]
+        running = len(order)
+        for i in range(1, int(size[0]) if len(size) else 0):
+            while running and size[running - 1] <= i:
+                running -= 1
+            score, state = self.step(state[:running].copy(), at[begin[:running] + i])
+            total[:running] += score
+        out = np.empty(len(order))
+        out[order] = total
+        return out
+
+
+def build_automaton(levels: list[Level], seen: list[np.ndarray], mass: list[np.ndarray], kinds: list[np.ndarray], total: int, vocabulary: int) -> Automaton:
+    """Interpolated Witten-Bell weights over the n-grams of some texts, under counts of the whole corpus.
+
+    A context seen c times, whose t kept continuations were seen m times in all, gives a kept word w the
+    probability n(w) / (max(c, m) + t) + left * p(w in the failure state), where left is what the
+    kept counts leave; every other word has left * p(w in the failure state). Each state sums to one.
+    A context without kept continuations is no state of its own, for it would only fail, at no cost.
     """
-    levels, total, kinds = weigh(docs, order, least)
-    weights = levels[0]
-    for w in levels[1:]:
-        weights = weights.unionByName(w)
-    cut = lowest_count(weights, CARRIED)
-    top = weights.filter(F.col("n") >= cut).toArrow().sort_by("key") if cut is not None else weights.limit(0).toArrow()
-    carried = tuple(top[c].to_numpy() for c in ("key", "own", "base", "known"))
-    rest = weights if cut is None else weights.filter(F.col("n") < cut)
-    shared = docs.sparkSession.sparkContext.broadcast((carried, [key_filter(w) for w in levels]))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "own", "row_no", "key", "rows"]
-
-    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (top_keys, *values), filters = shared.value
-        ids: list = []
-        row_no = TaskContext.get().partitionId() << 40
-        words = _WordKeys()
-        id_type = pa.null()
-
-        def texts() -> Iterator[str | None]:
-            nonlocal id_type
-            for batch in batches:
-                id_type = batch.schema.field("doc_id").type
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    ids.append(doc_id)
-                    yield text.as_py()
-
-        for keys, place, number in _blocks(texts(), words):
-            n = number[-1] + 1
-            sums = [np.zeros(n) for _ in values]
-            for level, bits in enumerate(filters, 1):
-                keys = _longer(keys) if level > 1 else keys
-                ends = np.flatnonzero((place >= max(level - 1, 1)) & _passes(bits, keys))
-                ends = ends[np.argsort(keys[ends], kind="stable")]
-                found, first, times = np.unique(keys[ends], return_index=True, return_counts=True)
-                if len(top_keys):
-                    at = np.minimum(np.searchsorted(top_keys, found), len(top_keys) - 1)
-                    here = top_keys[at] == found
-                    inside = np.repeat(here, times)
-                    which, texts_of = np.repeat(at, times)[inside], number[ends[inside]]
-                    sums = [s + np.bincount(texts_of, v[which], n) for s, v in zip(sums, values, strict=True)]
-                    ends, found, times = ends[~inside], found[~here], times[~here]
-                for part in range(0, len(found), 100_000):
-                    t = times[part : part + 100_000]
-                    before = int(times[:part].sum())
-                    offsets = np.concatenate(([0], np.cumsum(t))).astype(np.int32)
-                    rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[ends[before : before + offsets[-1]]].astype(np.int32)))
-                    k = len(t)
-                    kinds_ = (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(k, x) for x in kinds_), pa.array(np.full(k, row_no)), pa.array(found[part : part + 100_000]), rows], names)
-            mine, own, base, known = ids[:n], *sums
-            del ids[:n]
-            held = [held_out(x) for x in mine]
-            columns = [pa.array(mine, id_type), pa.array(held), pa.array(np.bincount(number, minlength=n) - 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(row_no, row_no + n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names)
-            row_no += int(n)
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, own double, row_no long, key long, rows array<int>"
-    sent = stage(docs.select("doc_id", "text").mapInArrow(look_up, schema), "looked-up")
-    asked = sent.filter("key is not null").select("key", "row_no", "rows").join(rest.select("key", "own", "base", "known"), "key")
-    parts = asked.select("row_no", "rows", "own", "base", "known").mapInArrow(_sum_up, "row_no long, own double, base double, known long")
-    more = parts.groupBy("row_no").agg(*(F.sum(c).alias(f"more_{c}") for c in ("own", "base", "known")))
-    each = F.col("n_tokens") * F.lit(-math.log10(total + kinds + 1))
-    return sent.filter("key is null").join(more, "row_no", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (each + F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (each + F.col("own") + F.coalesce("more_own", F.lit(0.0))).alias("score"),
-    )
-
-
-def score_documents(
-    docs: DataFrame, order: int = 3, head_words: int | None = None, state_words: int | None = None, kept_grams: int | None = None, least: int = 2
-) -> DataFrame:
+    chance = (seen[0] + 1) / (total + vocabulary + 1)
+    order, n_words = len(levels), len(chance)
+    bases = np.cumsum([1, *(len(x.keys) for x in levels[:-1])])
+    shorter = np.zeros(n_words, np.int64)  # where each n-gram of a level fails to
+    fails, codes, scores, targets = [], [], [], []
+    word_state = np.zeros(n_words, np.int64)
+    for depth, level in enumerate(levels):
+        if depth:
+            kept = np.flatnonzero(seen[depth] > 0)
+            a, b = level.context[kept], level.rest[kept]
+            p = np.zeros(len(level.keys))
+            p[kept] = seen[depth][kept] / below[a] + left[a] * chance[b]
+            chance, shorter = p, state[level.rest]
+        if depth + 1 < order:
+            below = np.maximum(seen[depth], mass[depth]) + kinds[depth]
+            left = np.where(kinds[depth] > 0, 1 - mass[depth] / np.maximum(below, 1), 1.0)
+            fails.append((np.log10(left), shorter))
+            entered = np.where(kinds[depth] > 0, bases[depth] + np.arange(len(level.keys)), shorter)
+        else:
+            entered = shorter
+        if depth:
+            codes.append((bases[depth - 1] + a) * n_words + level.last[kept])
+            scores.append(np.log10(p[kept]))
+            targets.append(entered[kept])
+        else:
+            word_state = entered
+        state = entered
+    built = Automaton(np.log10((seen[0] + 1) / (total + vocabulary + 1)), word_state)
+    if codes:
+        arcs = np.concatenate(codes)
+        place = np.argsort(arcs, kind="stable")
+        built.arcs, built.arc_score, built.arc_state = arcs[place], np.concatenate(scores)[place], np.concatenate(targets)[place]
+        built.fail_score = np.concatenate([[0.0], *(x for x, _ in fails)])
+        built.fail_state = np.concatenate([[0], *(x for _, x in fails)])
+    return built
+
+
+def score_block(block: Block, answers: dict[int, list[dict]], model: tuple[list, list], total: int, vocabulary: int) -> tuple[np.ndarray, ...]:
+    """Tokens, known tokens, base score and score of each text of a block."""
+    filters, hot = model
+    depths = len(filters) + 1
+
+    def told(depth: int, column: str) -> np.ndarray:
+        parts = [unpack(r[column]) for r in sorted(answers.get(depth, ()), key=lambda r: r["place"])]
+        return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+    seen, mass, kinds = [told(1, "a")], [], []
+    for depth in range(2, depths + 1):
+        level = block.extend(filters[depth - 2])
+        contexts, _, grams, _, _ = block.parcels(hot[depth - 2])
+        n = np.zeros(len(level.keys), np.int64)
+        n[grams] = told(depth, "a")
+        size = len(block.levels[-2].keys)
+        mass.append(np.bincount(contexts, told(depth, "b"), size).astype(np.int64))
+        kinds.append(np.bincount(contexts, told(depth, "c"), size).astype(np.int64))
+        seen.append(n)
+    built = build_automaton(block.levels, seen, mass, kinds, total, vocabulary)
+    at, inside, n = block.levels[0].at, block.place > 0, len(block.lengths)
+    words, texts = at[inside], block.number[inside]
+    known = np.bincount(texts[seen[0][words] > 0], minlength=n)
+    return block.lengths - 1, known, np.bincount(texts, built.word_score[words], n), built.walk(at, block.starts, block.lengths)
+
+
+def score_documents(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     Words are counted over all training documents, then n-grams level by level up to ``order``
-    words, over all of them too. Every n-gram seen ``least`` times or more is in the model, which is
-    a table of weights that grows with the data; words and n-grams are 64-bit hashes there. Only
-    where a caller gives a cut is the model small enough for a task to carry
-    (``_score_bounded``).
+    words, over all of them too. Every n-gram seen ``least`` times or more is in the model, which
+    grows with the data. Words go by 64-bit hashes there, longer n-grams by that of their context
+    and 48 bits of the rest.
 
     ``base_score`` is the add-one unigram score, ``score`` that of the interpolated n-grams, both
     log10 of the whole text and its end. Nulls: a null text is empty (only the end is scored), a
     null id counts as the empty text. Rows repeated are scored one by one. An empty table gives no
     rows; without training documents every token has probability one. Other columns are ignored.
     """
-    if head_words is state_words is kept_grams is None:
-        return _score_whole(docs, order, least)
-    every = np.iinfo(np.int32).max
-    return _score_bounded(docs, order, *(every if x is None else x for x in (head_words, state_words, kept_grams)), least)
+    spark = docs.sparkSession
+    blocks = pack_texts(docs)
+    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(FILTER_BITS - 6, max(0, int(size // RANGE_TOKENS).bit_length()))
+    share = max(RANGE_TOKENS // 4, 1)
+    shared, answers = None, []
+    filters: list[np.ndarray] = []
+    hot: list[tuple[np.ndarray, np.ndarray]] = []
+    total = vocabulary = 0
+    for depth in range(1, order + 1):
+        shared = spark.sparkContext.broadcast((list(filters), list(hot)))  # filters of fixed size, few hot contexts
+        answered = count_level(send_level(blocks, depth, bits, lambda shared=shared: shared.value), depth, least, share)
+        answers.append(answered.filter(F.col("block") >= 0).withColumn("depth", F.lit(depth)))
+        if depth == 1:
+            sums = [unpack(r.a) for r in answered.filter(F.col("block") == TOTALS).select("a").toLocalIterator()]
+            total, vocabulary = (int(sum(int(x[i]) for x in sums)) for i in (0, 1))
+        if depth < order:
+            filters.append(filter_of(answered))
+            hot.append(hot_of(answered, 1 << bits))
+    told = answers[0]
+    for more in answers[1:]:
+        told = told.unionByName(more)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def score(texts: pa.Table, said: pa.Table) -> pa.Table:
+        id_type = texts.schema.field("ids").type.value_type
+        row = texts.to_pylist()[0]
+        block = Block(row, bits)
+        by_depth: dict[int, list[dict]] = {}
+        for r in said.to_pylist():
+            by_depth.setdefault(r["depth"], []).append(r)
+        n, known, base, own = score_block(block, by_depth, shared.value, total, vocabulary)
+        columns = [pa.array(block.ids, id_type), pa.array(block.held), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(own)]
+        del block, by_depth
+        give_back()
+        return pa.table(columns, [f.split(" ")[0] for f in schema.split(", ")])
+
+    texts = blocks.select("block", "ids", "lengths", "words", "at").groupBy("block")
+    return texts.cogroup(told.groupBy("block")).applyInArrow(score, schema)

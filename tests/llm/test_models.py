@@ -45,48 +45,6 @@ def plain_score(words, levels, unigram, heads, n_states):
     return total
 
 
-@pytest.mark.parametrize(("order", "head", "states"), [(2, 10_000, 10_000), (3, 10_000, 10_000), (2, 40, 15), (1, 10_000, 10)])
-def test_scores_are_those_of_the_definition(odd_docs, odd_rows, order, head, states):
-    got = ngram_lm.score_documents(odd_docs, order=order, head_words=head, state_words=states, kept_grams=10_000, least=2).collect()
-    train = [lm_tokens(t) for d, t, _, _ in odd_rows if not is_held(d, 7, 2)]
-    counts = Counter(w for words in train for w in words)
-    total, kinds = sum(counts.values()), len(counts)
-    # whole classes of counts, as many as fit
-    classes, room, heads = Counter(counts.values()), head, []
-    for n in sorted(classes, reverse=True):
-        if (room := room - classes[n]) < 0:
-            break
-        heads += [w for w in counts if counts[w] == n]
-    heads.sort(key=lambda w: (-counts[w], w))
-    state_words = set(heads[:states])
-    unigram = lambda w: (counts[w] + 1) / (total + kinds + 1)
-    levels, kept = {}, {(w,): counts[w] for w in state_words}
-    for n in range(2, order + 1):
-        grams = Counter()
-        for words in train:
-            padded = [b"", *words]
-            for i in range(len(padded) - n + 1):
-                gram = tuple(padded[i : i + n])
-                if all(w in state_words for w in gram) and gram[:-1] in kept and (n == 2 or gram[1:] in kept):
-                    grams[gram] += 1
-        found = {g: c for g, c in grams.items() if c >= 2}
-        levels[n - 1] = {}
-        for g, c in found.items():
-            levels[n - 1].setdefault(g[:-1], (kept[g[:-1]], {}))[1][g[-1]] = c
-        kept = found
-    want = {}
-    for d, t, _, _ in odd_rows:
-        words = lm_tokens(t)
-        want.setdefault(d, []).append((len(words), sum(counts[w] > 0 for w in words), sum(math.log10(unigram(w)) for w in words), plain_score(words, levels, unigram, heads, states), is_held(d, 7, 2)))
-    assert len(got) == len(odd_rows)
-    for r in got:
-        assert r.train_tokens == total
-        assert any(
-            r.n_tokens == n and r.n_known == k and r.held_out == h and math.isclose(r.base_score, b, rel_tol=1e-9) and math.isclose(r.score, s, rel_tol=1e-9)
-            for n, k, b, s, h in want[r.doc_id]
-        ), (r, want[r.doc_id])
-
-
 def whole_scores(rows, order):
     """Scores by definition under every n-gram seen twice, whatever the number of words."""
     train = [lm_tokens(t) for d, t in rows if not is_held(d, 7, 2)]
@@ -116,12 +74,36 @@ def assert_scores(got, want):
     assert np.allclose([r[4:] for r in found], [r[4:] for r in want], rtol=1e-9, atol=1e-9)
 
 
-@pytest.mark.parametrize("carried", [0, 300, 300_000])
-def test_no_gram_is_cut(spark, odd_docs, odd_rows, monkeypatch, carried):
-    monkeypatch.setattr(ngram_lm, "CARRIED", carried)
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_are_those_of_the_definition(odd_docs, odd_rows, order):
+    got = ngram_lm.score_documents(odd_docs, order=order).collect()
+    assert_scores(got, whole_scores([(d, t) for d, t, _, _ in odd_rows], order))
+    assert all(r.held_out == is_held(r.doc_id, 7, 2) for r in got)
+
+
+@pytest.mark.parametrize(("block", "share"), [(400, 1 << 21), (5_000_000, 64), (300, 16)])
+def test_blocks_ranges_and_split_contexts_change_nothing(odd_docs, odd_rows, monkeypatch, block, share):
+    monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(ngram_lm, "RANGE_TOKENS", share)
     assert_scores(ngram_lm.score_documents(odd_docs).collect(), whole_scores([(d, t) for d, t, _, _ in odd_rows], 3))
 
 
+def test_one_context_before_a_third_of_all_words(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "RANGE_TOKENS", 256)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"the w{rng.randrange(300)} x{rng.randrange(4)}" for _ in range(20))) for i in range(120)]
+    rows += [(1000 + i, rows[7][1]) for i in range(60)]
+    assert_scores(ngram_lm.score_documents(docs_frame(spark, [(d, t, "en", "s") for d, t in rows]).repartition(5)).collect(), whole_scores(rows, 3))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for numbers in ([], [0], [5, 0, 255, 256], rng.integers(0, 2**63, 1000, np.uint64) * np.uint64(2)):
+        numbers = np.array(numbers, np.uint64)
+        assert np.array_equal(ngram_lm.unpack(ngram_lm.pack(numbers)), numbers)
+        assert np.array_equal(ngram_lm.unpack_sorted(ngram_lm.pack_sorted(np.sort(numbers))), np.sort(numbers))
+
+
 def test_more_words_and_bigrams_than_any_cut(spark):
     words = [f"v{i}" for i in range(22_000)]
     rng, rows = random.Random(1), []
@@ -134,20 +116,18 @@ def test_more_words_and_bigrams_than_any_cut(spark):
 
 
 def test_states_sum_to_one():
-    grams = ngram_lm.Grams([b"", b"a", b"b", b"c"], 3)
-    grams.levels.append((np.array([1 << 32 | 1, 1 << 32 | 2, 2 << 32 | 0]), np.array([3, 2, 4]), np.array([4, 5, 6])))
-    built = ngram_lm.build_automaton(grams, np.array([5, 6, 3, 2]), 16, 4)
-    for state in range(4):
-        total = 0.0
-        for w in range(4):
-            s, score = state, 0.0
-            while s and (s << 32 | w) not in built.arcs:
-                score, s = score + built.fail_score[s], built.fail_state[s]
-            total += 10 ** (score + (built.arc_score[built.arcs[s << 32 | w]] if s else built.word_score[w]))
+    none = np.zeros(0, np.int64)
+    words = ngram_lm.Level(np.arange(4), none, none, np.arange(4), none, none)
+    pairs = ngram_lm.Level(np.arange(3), np.array([1, 1, 2]), np.array([1, 2, 0]), np.array([1, 2, 0]), none, none)
+    triples = ngram_lm.Level(np.arange(2), np.array([0, 1]), np.array([1, 2]), np.array([2, 0]), none, none)
+    seen = [np.array([5, 6, 3, 2]), np.array([3, 2, 4]), np.array([2, 2])]
+    built = ngram_lm.build_automaton([words, pairs, triples], seen, [np.array([0, 5, 4, 0]), np.array([2, 2, 0])], [np.array([0, 2, 1, 0]), np.array([1, 1, 0])], 16, 4)
+    for state in range(len(built.fail_state)):
+        score, _ = built.step(np.full(4, state), np.arange(4))
         unseen, s = 0.0, state
         while s:
             unseen, s = unseen + built.fail_score[s], built.fail_state[s]
-        assert math.isclose(total + 10**unseen / 21, 1.0)
+        assert math.isclose((10**score).sum() + 10**unseen / 21, 1.0)
 
 
 def test_model_beats_base_on_repeated_language(spark):
