@@ -34,6 +34,23 @@ def checked_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def lowest_count(counted: DataFrame, limit: int, least: int = 1) -> int | None:
+    """The count from which at most ``limit`` rows of a table with counts ``n`` are left; None if no class fits.
+
+    The cut is read from a histogram of fixed size: one class per count up to 4096, then 64 per
+    doubling.
+    """
+    step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 4096)
+    classes = counted.filter(F.col("n") >= least).groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("lowest")).collect()
+    cut, room = None, limit
+    for r in sorted(classes, key=lambda r: -r["step"]):
+        room -= r["rows"]
+        if room < 0:
+            break
+        cut = r["lowest"]
+    return cut
+
+
 def apart_from(*used: str) -> Callable:
     """For functions that return rows of their first argument: its other columns go by neutral names inside.
 

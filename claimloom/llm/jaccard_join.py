@@ -14,8 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.similarity import connected_components
 from ..plans.lineage import stage
-from .common import apart_from, checked_broadcast, give_back
-from .ngram_lm import lowest_count
+from .common import apart_from, checked_broadcast, give_back, lowest_count
 
 WORDS = 5
 #: Two documents link when their Jaccard similarity is NUM / DEN or more.
