@@ -14,7 +14,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +26,11 @@ from ..plans.lineage import stage
 from .common import give_back
 
 #: Tokens of a block, tokens whose n-grams one range counts, words whose keys a task remembers; scores depend on none.
-BLOCK_TOKENS, RANGE_TOKENS, HELD_WORDS = 5_000_000, 1 << 21, 400_000
+BLOCK_TOKENS, RANGE_TOKENS, HELD_WORDS = 4_000_000, 1 << 21, 400_000
 #: Bits of the filter that tells most n-grams seen too rarely, and pieces it is merged in; it saves work, scores do not depend on it.
 FILTER_BITS, SLICE_BITS = 28, 6
 END = b""  # no word is empty, so the end of a text can take the empty one
-HASH_BITS = 48  # an n-gram goes by its context and so many bits of the rest
+HASH_BITS = 40  # an n-gram goes by its context and so many bits of the rest; a context has few n-grams in one range, see hot_of
 
 #: What a range says to no block in particular goes under these block numbers.
 FILTER, HOT, TOTALS = -1, -2, -3
@@ -156,27 +159,32 @@ class Block:
         self.held = np.array([held_out(x) for x in self.ids], bool)
         lengths = unpack(row["lengths"]).astype(np.int64)
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.number = np.repeat(np.arange(len(lengths)), lengths)
-        self.place = np.arange(len(self.number)) - np.repeat(self.starts, lengths)
         self.training = ~np.repeat(self.held, lengths)
-        words, at = unpack_sorted(row["words"]), unpack(row["at"]).astype(np.int64)
-        counts = np.bincount(at[(self.place > 0) & self.training], minlength=len(words))
-        nothing = np.zeros(0, np.int64)
-        self.levels = [Level(words, nothing, nothing, np.arange(len(words)), counts, at)]
-
-    def extend(self, bits: np.ndarray) -> Level:
+        words, at = unpack_sorted(row["words"]), unpack(row["at"]).astype(np.int32)
+        counts = np.bincount(at[self.from_place(1) & self.training], minlength=len(words))
+        nothing = np.zeros(0, np.int32)
+        self.levels = [Level(words, nothing, nothing, np.arange(len(words), dtype=np.int32), counts, at)]
+
+    def from_place(self, least: int) -> np.ndarray:
+        """Whether a token stands at the place ``least`` of its text or later; the end before it has place 0."""
+        inside = np.ones(len(self.training), bool)
+        for i in range(least):
+            inside[self.starts[self.lengths > i] + i] = False
+        return inside
+
+    def extend(self, bits: list[bytes]) -> Level:
         """The n-grams one longer, of those whose context and rest pass the filter."""
         top, depth = self.levels[-1], len(self.levels)
         maybe = passes(bits, top.keys)
-        at = top.at.copy()
-        inside = np.flatnonzero(at >= 0)
-        at[inside[~maybe[at[inside]]]] = -1
-        ends = np.flatnonzero((self.place[1:] >= depth) & (at[1:] >= 0) & (at[:-1] >= 0)) + 1
-        found, inverse = np.unique((at[ends - 1] << 32) | at[ends], return_inverse=True)
-        context, rest = found >> 32, found & 0xFFFFFFFF
-        place = np.full(len(at), -1, np.int64)
+        good = top.at >= 0
+        good[good] = maybe[top.at[good]]
+        ends = np.flatnonzero(self.from_place(depth)[1:] & good[1:] & good[:-1]) + 1
+        del good
+        found, inverse = np.unique((top.at[ends - 1].astype(np.int64) << 32) | top.at[ends], return_inverse=True)
+        context, rest = (found >> 32).astype(np.int32), (found & 0xFFFFFFFF).astype(np.int32)
+        place = np.full(len(top.at), -1, np.int32)
         place[ends] = inverse
-        counts = np.bincount(inverse[self.training[ends]], minlength=len(found))
+        counts = np.bincount(inverse[self.training[ends]], minlength=len(found)).astype(np.int32)
         top.maybe = maybe
         self.levels.append(Level(joined(top.keys[context], rest_hash(top.keys[rest])), context, rest, top.last[rest], counts, place))
         return self.levels[-1]
@@ -224,8 +232,10 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 # --- counting ------------------------------------------------------------------------------------
 
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def passes(pieces: list[bytes], keys: np.ndarray) -> np.ndarray:
     """False only for keys that are not in the table the filter was made of."""
+    size = 1 << (FILTER_BITS - SLICE_BITS - 3)
+    bits = np.concatenate([np.frombuffer(pa.decompress(x, size, codec="zstd", asbytes=True), np.uint8) if x else np.zeros(size, np.uint8) for x in pieces])
     at = keys >> np.uint64(64 - FILTER_BITS)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
@@ -285,8 +295,8 @@ def count_level(sent: DataFrame, depth: int, least: int, share: int) -> DataFram
     return stage(sent.groupBy("place").applyInArrow(words if depth == 1 else grams, ANSWER), "answers")
 
 
-def filter_of(answers: DataFrame) -> np.ndarray:
-    """The merged filter: a bit for the first ``FILTER_BITS`` bits of every kept key; its size is fixed."""
+def filter_of(answers: DataFrame) -> list[bytes]:
+    """The merged filter, in packed pieces: a bit for the first ``FILTER_BITS`` bits of every kept key; its size is bounded."""
     width = 1 << (FILTER_BITS - SLICE_BITS)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -296,15 +306,19 @@ def filter_of(answers: DataFrame) -> np.ndarray:
         packed = pa.compress(np.packbits(bits, bitorder="little").tobytes(), codec="zstd", asbytes=True)
         return pa.table([table.column("place")[:1], pa.array([packed], pa.binary())], ["place", "bits"])
 
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    bits = [b""] * (1 << SLICE_BITS)
     pieces = answers.filter(F.col("block") == FILTER).select("place", "a")
-    for row in pieces.groupBy("place").applyInArrow(merge, "place int, bits binary").toLocalIterator():
-        bits[row.place * width // 8 : (row.place + 1) * width // 8] = np.frombuffer(pa.decompress(row.bits, width // 8, codec="zstd", asbytes=True), np.uint8)
+    for row in pieces.groupBy("place").applyInArrow(merge, "place int, bits binary").collect():
+        bits[row.place] = bytes(row.bits)
     return bits
 
 
 def hot_of(answers: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts to split and into how many shares, by key; a context counts for a fixed part of a range, so they are few."""
+    """Contexts to split and into how many shares, by key.
+
+    A context counts for a fixed part of a range at least, so they are few; and a share holds so
+    few n-grams that two of one hash are not to be expected in it.
+    """
     rows = answers.filter(F.col("block") == HOT).select("a", "b").collect()
     keys = np.concatenate([unpack(r.a) for r in rows]) if rows else np.zeros(0, np.uint64)
     shares = np.concatenate([unpack(r.b) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
@@ -330,6 +344,7 @@ def send_level(blocks: DataFrame, depth: int, bits: int, model: Callable[[], tup
                 follow = np.bincount(entry, minlength=len(entries))
                 ends = np.concatenate(([0], np.cumsum(follow)))
             del block
+            give_back()
             for p in np.unique(ranges):
                 low, high = np.searchsorted(ranges, p), np.searchsorted(ranges, p, "right")
                 if depth == 1:
@@ -372,7 +387,7 @@ class Automaton:
             left, s, w = left[~root], s[~root], w[~root]
             if not len(left):
                 break
-            code = s * self.n_words + w
+            code = s * self.n_words + w  # int64 times int32 stays int64
             arc = np.minimum(np.searchsorted(self.arcs, code), max(len(self.arcs) - 1, 0))
             hit = self.arcs[arc] == code if len(self.arcs) else np.zeros(len(code), bool)
             score[left[hit]] += self.arc_score[arc[hit]]
@@ -427,7 +442,7 @@ def build_automaton(levels: list[Level], seen: list[np.ndarray], mass: list[np.n
         else:
             entered = shorter
         if depth:
-            codes.append((bases[depth - 1] + a) * n_words + level.last[kept])
+            codes.append((bases[depth - 1] + a.astype(np.int64)) * n_words + level.last[kept])
             scores.append(np.log10(p[kept]))
             targets.append(entered[kept])
         else:
@@ -463,10 +478,12 @@ def score_block(block: Block, answers: dict[int, list[dict]], model: tuple[list,
         kinds.append(np.bincount(contexts, told(depth, "c"), size).astype(np.int64))
         seen.append(n)
     built = build_automaton(block.levels, seen, mass, kinds, total, vocabulary)
-    at, inside, n = block.levels[0].at, block.place > 0, len(block.lengths)
-    words, texts = at[inside], block.number[inside]
-    known = np.bincount(texts[seen[0][words] > 0], minlength=n)
-    return block.lengths - 1, known, np.bincount(texts, built.word_score[words], n), built.walk(at, block.starts, block.lengths)
+    at = block.levels[0].at
+    of_word = np.where(block.from_place(1), built.word_score[at], 0.0)
+    base = np.add.reduceat(of_word, block.starts)
+    known = np.add.reduceat(block.from_place(1) & (seen[0][at] > 0), block.starts, dtype=np.int64)
+    block.levels.clear()
+    return block.lengths - 1, known, base, built.walk(at, block.starts, block.lengths)
 
 
 def score_documents(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
@@ -488,7 +505,7 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2) -> DataFram
     bits = min(FILTER_BITS - 6, max(0, int(size // RANGE_TOKENS).bit_length()))
     share = max(RANGE_TOKENS // 4, 1)
     shared, answers = None, []
-    filters: list[np.ndarray] = []
+    filters: list[list[bytes]] = []
     hot: list[tuple[np.ndarray, np.ndarray]] = []
     total = vocabulary = 0
     for depth in range(1, order + 1):
@@ -504,21 +521,28 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2) -> DataFram
     told = answers[0]
     for more in answers[1:]:
         told = told.unionByName(more)
+    where = blocks.select("block", F.lit(0).alias("place"), F.encode("_metadata.file_path", "utf-8").alias("a"), *(F.lit(b"").alias(c) for c in "bc"), F.lit(0).alias("depth"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def score(texts: pa.Table, said: pa.Table) -> pa.Table:
-        id_type = texts.schema.field("ids").type.value_type
-        row = texts.to_pylist()[0]
-        block = Block(row, bits)
+    def score(said: pa.Table) -> pa.Table:
         by_depth: dict[int, list[dict]] = {}
         for r in said.to_pylist():
             by_depth.setdefault(r["depth"], []).append(r)
+        texts = read_block(by_depth[0][0]["a"].decode(), by_depth[0][0]["block"])
+        id_type = texts.schema.field("ids").type.value_type
+        block = Block(texts.to_pylist()[0], bits)
         n, known, base, own = score_block(block, by_depth, shared.value, total, vocabulary)
         columns = [pa.array(block.ids, id_type), pa.array(block.held), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(own)]
         del block, by_depth
         give_back()
         return pa.table(columns, [f.split(" ")[0] for f in schema.split(", ")])
 
-    texts = blocks.select("block", "ids", "lengths", "words", "at").groupBy("block")
-    return texts.cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    return told.unionByName(where).groupBy("block").applyInArrow(score, schema)
+
+
+def read_block(path: str, block: int) -> pa.Table:
+    """A written block, read where its answers have met instead of being sent there."""
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as file:
+        return pq.ParquetFile(file).read().filter(pc.field("block") == block)
