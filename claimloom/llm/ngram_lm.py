@@ -26,7 +26,7 @@ from ..plans.lineage import stage
 from .common import give_back
 
 #: Tokens of a block, tokens whose n-grams one range counts, words whose keys a task remembers; scores depend on none.
-BLOCK_TOKENS, RANGE_TOKENS, HELD_WORDS = 4_000_000, 1 << 21, 400_000
+BLOCK_TOKENS, RANGE_TOKENS, HELD_WORDS = 2_000_000, 1 << 21, 400_000
 #: Bits of the filter that tells most n-grams seen too rarely, and pieces it is merged in; it saves work, scores do not depend on it.
 FILTER_BITS, SLICE_BITS = 28, 6
 END = b""  # no word is empty, so the end of a text can take the empty one
