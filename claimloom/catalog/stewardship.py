@@ -70,8 +70,8 @@ def _annotations(t):
         ("stance", "ann3", "'A'", "l_linenumber = 3 and l_quantity > 25"), ("function", "ann1", "cast(l_linenumber % 4 as string)", "true"),
         ("function", "ann2", "cast(case when l_quantity > 40 then 0 else l_linenumber % 4 end as string)", "l_discount > 0"),
     )
-    made = (lines.filter(where).selectExpr(f"'{task}' as task", "k as item_id", f"'{who}' as annotator", f"{label} as label") for task, who, label, where in rows)
-    return reduce(lambda a, b: a.unionByName(b), made)
+    said = (f"case when {where} then named_struct('task', '{task}', 'item_id', k, 'annotator', '{who}', 'label', {label}) end" for task, who, label, where in rows)
+    return lines.selectExpr(f"inline(array_compact(array({', '.join(said)})))")  # one scan for all readers
 
 
 def annotator_agreement(t):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import stage
 from ..plans.ranking import with_global_position
 
 #: Smallest values whose cumulative Poisson(1) share a uniform number reaches; beyond twelve the share is 1 to 10 digits.
@@ -18,12 +19,20 @@ def label_pairs(annotations: DataFrame) -> DataFrame:
 
     ``annotations``: task, item_id, annotator, label. Rows without a label are left out; of several
     labels of one annotator the largest counts. An item with more annotators gives its two smallest.
+
+    The rows of an item meet once; what follows needs no other exchange.
     """
-    known = annotations.filter("label is not null and annotator is not null").groupBy("task", "item_id", "annotator").agg(F.max("label").alias("label"))
-    least = known.groupBy("task", "item_id").agg(F.min(F.struct("annotator", "label")).alias("one"), F.count("*").alias("n")).filter("n > 1")
-    rest = known.join(least.select("task", "item_id", F.col("one.annotator").alias("_first")), ["task", "item_id"]).filter("annotator > _first")
-    second = rest.groupBy("task", "item_id").agg(F.min(F.struct("annotator", "label")).alias("two"))
-    return least.join(second, ["task", "item_id"]).select("task", "item_id", F.col("one.label").alias("first"), F.col("two.label").alias("second"))
+    given = annotations.select("task", "item_id", "annotator", "label").dropna().repartition("task", "item_id")
+    known = given.groupBy("task", "item_id", "annotator").agg(F.max("label").alias("label"))
+    place = F.row_number().over(Window.partitionBy("task", "item_id").orderBy("annotator"))
+    two = known.withColumn("_place", place).filter("_place <= 2").groupBy("task", "item_id")
+    of = lambda i: F.max(F.when(F.col("_place") == i, F.col("label")))
+    return two.agg(of(1).alias("first"), of(2).alias("second")).filter("second is not null")
+
+
+def _cells(pairs: DataFrame) -> DataFrame:
+    """Items per task and two labels, counted once for all that is read from them."""
+    return stage(pairs.groupBy("task", "first", "second").agg(F.count("*").alias("n")), "cells")
 
 
 def _kappa(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -38,14 +47,15 @@ def _kappa(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def cohen_kappa(pairs: DataFrame) -> DataFrame:
     """Per task: items, observed, expected, kappa; kappa is null where both always gave one and the same label."""
-    return _kappa(pairs.groupBy("task", "first", "second").agg(F.count("*").alias("n")), ["task"])
+    return _kappa(_cells(pairs), ["task"])
 
 
 def disagreements(pairs: DataFrame) -> DataFrame:
     """Per task and unequal pair of labels: items and share of all items, whichever annotator gave which."""
-    unequal = pairs.select("task", F.least("first", "second").alias("label"), F.greatest("first", "second").alias("other_label"))
-    totals = pairs.groupBy("task").agg(F.count("*").alias("_all"))
-    counts = unequal.filter("label <> other_label").groupBy("task", "label", "other_label").agg(F.count("*").alias("items"))
+    cells = _cells(pairs)
+    totals = cells.groupBy("task").agg(F.sum("n").alias("_all"))
+    unequal = cells.filter("first <> second").select("task", F.least("first", "second").alias("label"), F.greatest("first", "second").alias("other_label"), "n")
+    counts = unequal.groupBy("task", "label", "other_label").agg(F.sum("n").alias("items"))
     return counts.join(totals, "task").select("task", "label", "other_label", "items", (F.col("items") / F.col("_all")).alias("share"))
 
 

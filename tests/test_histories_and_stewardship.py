@@ -276,6 +276,19 @@ def test_bootstrap_interval_against_brute_force(spark):
     assert got["t"].kappa_low < R.cohen_kappa(pairs).filter("task = 't'").first().kappa < got["t"].kappa_high
 
 
+def test_labels_of_an_item_meet_in_one_exchange(spark, capsys):
+    R.label_pairs(annotations(spark, random_annotations())).explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1
+
+
+def test_agreement_reads_the_pairs_once(spark, capsys):
+    """Everything after the count of label pairs reads that count."""
+    pairs = R.label_pairs(annotations(spark, random_annotations()))
+    for out in (R.cohen_kappa(pairs), R.disagreements(pairs)):
+        out.explain()
+        assert "item_id" not in capsys.readouterr().out
+
+
 # --- queue ------------------------------------------------------------------------------------------
 
 
