@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..plans.lineage import stage
 from ..plans.ranking import with_global_position
@@ -65,17 +72,83 @@ def poisson_weight(item: Column, replicate: Column, seed: int) -> Column:
     return sum(((uniform >= edge).cast("long") for edge in _POISSON), F.lit(0).cast("long"))
 
 
+#: Weights a task holds at a time, and the counts it keeps before it gives them on.
+_BLOCK = 1 << 21
+
+
+def _after(crcs: np.ndarray, length: int) -> np.ndarray:
+    """The part of a checksum that it brings into that of a text longer by ``length`` bytes; the rest only depends on those."""
+    zeros = bytes(length)
+    step = lambda crc: zlib.crc32(zeros, crc) ^ zlib.crc32(zeros)
+    out = np.zeros(len(crcs), np.uint32)
+    for shift in (0, 8, 16, 24):
+        out ^= np.array([step(byte << shift) for byte in range(256)], np.uint32)[(crcs >> shift) & 255]
+    return out
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], replicates: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sums of `poisson_weight` per task, label pair and replicate, from rows of task, first, second and ``crc``.
+
+    ``crc`` is the checksum up to the number of the replicate, which a table look-up and one exclusive
+    or carry on, so no text is made for an item and a replicate.
+    """
+    numbers = [str(i).encode() for i in range(1, replicates + 1)]
+    tails = np.array([zlib.crc32(number) for number in numbers], np.uint32)
+    edges = [np.uint32(edge) for edge in (math.ceil(share * 2**32) for share in _POISSON) if edge < 2**32]
+    sums: dict[tuple, np.ndarray] = {}
+
+    def given_on():
+        for key, counts in sums.items():
+            drawn = np.flatnonzero(counts)
+            columns = [pa.array([value] * len(drawn), schema.field(i).type) for i, value in enumerate(key)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(drawn + 1, pa.int32()), pa.array(counts[drawn], pa.int64())], schema=schema)
+        sums.clear()
+
+    for batch in batches:
+        labels = [pc.dictionary_encode(batch.column(i), null_encoding="encode") for i in range(3)]
+        codes = np.zeros(batch.num_rows, np.int64)
+        for column in labels:
+            codes = codes * len(column.dictionary) + column.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        crcs = batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint32)[order]
+        codes = codes[order]
+        values = [column.dictionary.to_pylist() for column in labels]
+        rows = max(1, _BLOCK // replicates)
+        for at in range(0, len(codes), rows):
+            part = crcs[at : at + rows]
+            carried = {length: _after(part, length) for length in {len(number) for number in numbers}}
+            crc = np.stack([carried[len(number)] for number in numbers], axis=1) ^ tails
+            weights = np.zeros(crc.shape, np.uint8)
+            for edge in edges:
+                weights += crc >= edge
+            starts = np.flatnonzero(np.diff(codes[at : at + rows], prepend=-1))
+            for code, counts in zip(codes[at + starts], np.add.reduceat(weights, starts, axis=0, dtype=np.int64)):
+                key = []
+                for known in reversed(values):
+                    code, i = divmod(int(code), len(known))
+                    key.insert(0, known[i])
+                key = tuple(key)
+                sums[key] = sums[key] + counts if key in sums else counts
+            if len(sums) * replicates > _BLOCK:
+                yield from given_on()
+    yield from given_on()
+
+
 def kappa_interval(pairs: DataFrame, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Per task: kappa_low and kappa_high, the bootstrap interval of Cohen's kappa.
 
     Every replicate draws each item a Poisson number of times, which for many items is the
-    multinomial bootstrap and needs no second look at the data. Only counts of label pairs
-    per replicate are shuffled. The bounds are order statistics of the replicates' kappas; seed,
-    task and item ids decide them.
+    multinomial bootstrap and needs no second look at the data. An item is one row however many
+    replicates there are; only counts of label pairs per replicate are shuffled. The bounds are
+    order statistics of the replicates' kappas; seed, task and item ids decide them.
     """
-    copies = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = copies.withColumn("n", poisson_weight(F.concat_ws("/", "task", "item_id"), F.col("replicate"), seed))
-    cells = drawn.groupBy("task", "replicate", "first", "second").agg(F.sum("n").alias("n")).filter("n > 0")
+    item = F.concat_ws("/", "task", "item_id")
+    begun = pairs.select("task", "first", "second", F.crc32(F.concat_ws(":", F.lit(str(seed)), item, F.lit(""))).alias("crc"))
+    fields = [*begun.schema.fields[:3], StructField("replicate", IntegerType()), StructField("n", LongType())]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields])
+    plain = to_arrow_schema(schema)
+    drawn = begun.mapInArrow(lambda batches: _drawn(batches, replicates, plain), schema)
+    cells = stage(drawn.groupBy("task", "replicate", "first", "second").agg(F.sum("n").alias("n")), "cells")
     kappas = _kappa(cells, ["task", "replicate"]).filter("kappa is not null")
     ordered = kappas.groupBy("task").agg(F.sort_array(F.collect_list("kappa")).alias("k"))  # one a replicate
     at = lambda share: F.col("k")[F.floor(F.lit(share) * (F.size("k") - 1) + 0.5).cast("int")]

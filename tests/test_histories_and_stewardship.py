@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,25 @@ def test_agreement_reads_the_pairs_once(spark, capsys):
         assert "item_id" not in capsys.readouterr().out
 
 
+def test_replicates_are_drawn_without_a_row_for_each(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "poisson_weight", lambda *_: seen.append("text for each item and replicate"))
+    rows = [(task, f"i\u00e9{i}", "x" if i % 3 else "y", None if i == 5 else "xyz"[i % 2]) for task in "tu" for i in range(40)]
+    pairs = spark.createDataFrame(rows, "task string, item_id string, first string, second string")
+    assert R.kappa_interval(pairs, 1001, seed=2).count() == 2 and not seen
+    monkeypatch.undo()
+    schema = pa.schema([("task", pa.string()), ("first", pa.string()), ("second", pa.string()), ("replicate", pa.int32()), ("n", pa.int64())])
+    batch = pa.RecordBatch.from_pydict({"task": [r[0] for r in rows], "first": [r[2] for r in rows], "second": [r[3] for r in rows], "crc": [zlib.crc32(f"2:{r[0]}/{r[1]}:".encode()) for r in rows]})
+    monkeypatch.setattr(R, "_BLOCK", 3000)
+    got = Counter()
+    for part in R._drawn(iter([batch, batch.slice(0, 0)]), 1001, schema):
+        for r in part.to_pylist():
+            got[r["task"], r["first"], r["second"], r["replicate"]] += r["n"]
+    copies = pairs.crossJoin(spark.range(1, 1002).withColumnRenamed("id", "replicate"))
+    weighed = copies.withColumn("n", R.poisson_weight(F.concat_ws("/", "task", "item_id"), F.col("replicate"), 2)).groupBy("task", "first", "second", "replicate").agg(F.sum("n").alias("n"))
+    assert got == {(r.task, r.first, r.second, r.replicate): r.n for r in weighed.filter("n > 0").collect()}
+
+
 # --- queue ------------------------------------------------------------------------------------------
 
 
