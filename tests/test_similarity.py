@@ -51,6 +51,23 @@ def test_best_match_equals_brute_force(spark, small_grid, threshold):
     assert got == brute_best(claims, threshold)
 
 
+def test_hot_scope_meets_in_one_cell(spark):
+    """Claims of one frequent token, empty, null and repeated ones among them, are compared without a copy each 256 claims."""
+    random.seed(2)
+    claims = [(f"c{i:04d}", sorted({"hot", *(f"w{random.randrange(40):02d}" for _ in range(3))})) for i in range(700)] + [("e", []), ("n", None)]
+    df = spark.createDataFrame(claims, "id string, tokens array<string>").withColumn("scope", F.lit("s"))
+    asked, held = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "match_id")
+    out = S.grid_matches(asked, held, 2, 0.0, skip_self=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "array_intersect" not in plan
+    assert len(claims) <= min(S.CHUNK, S.CELL)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((round(-r.score, 9) + 0.0, r.match_id))
+    want = {i: sorted((round(-jaccard(a or [], b or []), 9) + 0.0, j) for j, b in claims)[:2] for i, a in claims}
+    assert {i: sorted(v) for i, v in got.items()} == want
+
+
 def test_hot_group_of_copies_is_one_class(spark, small_grid):
     claims = [(f"c{i:03d}", ["alpha", "beta", "gamma"]) for i in range(60)] + [("d1", ["alpha", "beta", "delta"]), ("d2", ["zeta"])]
     df = spark.createDataFrame(claims, "claim_id string, tokens array<string>")
