@@ -264,10 +264,9 @@ def entity_pairs(groundings: DataFrame) -> DataFrame:
 
 def corroborating_edges(groundings: DataFrame, kg_edges: DataFrame) -> DataFrame:
     """Knowledge-graph edges between entities of one claim, either direction, once each."""
-    pairs = entity_pairs(groundings)
-    directed = pairs.select("interpretation_id", F.col("left").alias("subject"), F.col("right").alias("object")).unionByName(
-        pairs.select("interpretation_id", F.col("right").alias("subject"), F.col("left").alias("object"))
-    )
+    ends = lambda a, b: F.struct(F.col(a).alias("subject"), F.col(b).alias("object"))
+    both = F.explode(F.array(ends("left", "right"), ends("right", "left")))
+    directed = entity_pairs(groundings).select("interpretation_id", both.alias("e")).select("interpretation_id", "e.*")
     predicate = F.coalesce(F.nullif(F.col("predicate"), F.lit("")), F.lit("biolink:related_to"))
     return (
         kg_edges.withColumn("predicate", predicate)
