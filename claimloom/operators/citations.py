@@ -89,14 +89,14 @@ def incoming_relations(relations: DataFrame, claim_works: DataFrame) -> DataFram
 
     ``claim_works`` maps ``interpretation_id`` to ``work_id`` (superseded ones included).
     Each relation joins once and then yields its one or two distinct works, so neither an
-    OR join nor a dedup shuffle is needed.
+    OR join nor a dedup shuffle is needed. Relations without a target are scattered by the works
+    they name, so that their long ids need not travel where nobody reads them.
     """
     target = claim_works.select(
         F.col("interpretation_id").alias("_target"), F.col("work_id").alias("_target_work")
     )
-    keyed = relations.withColumn(
-        "_target", spread_nulls(F.col("target_interpretation_id"), F.col("assertion_id"))
-    )
+    by = ("citing_work_id", "cited_work_id") if "citing_work_id" in relations.columns else ("assertion_id",)
+    keyed = relations.withColumn("_target", spread_nulls(F.col("target_interpretation_id"), *map(F.col, by)))
     works = F.array_distinct(F.array_compact(F.array("cited_work_id", "_target_work")))
     return (
         keyed.join(target, "_target", "left")
@@ -118,6 +118,8 @@ _DIMENSIONS = ("stance", "function", "resolution", "section")
 def tallies(statements: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """``(subject_id, dimension, value, n)`` in one pass of grouping sets.
 
+    The statements of a subject meet before they are copied once a grouping set, so its counts are
+    nearly done when they are exchanged; a rebalance splits hot subjects where a join would not.
     A null stance or function is no bucket; a null section counts as ``unspecified``.
     ``total`` and ``abstained`` (neither stance nor function) come as dimensions too.
     """
@@ -131,7 +133,7 @@ def tallies(statements: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         *[F.col(c).cast("string").alias(c) for c in extra],
     )
     sets = [["subject_id", d] for d in dims] + [["subject_id"]]
-    grouped = rows.groupingSets(sets, "subject_id", *dims).agg(
+    grouped = rows.hint("rebalance", "subject_id").groupingSets(sets, "subject_id", *dims).agg(
         F.grouping_id().alias("gid"),
         F.count("*").alias("n"),
         F.count_if(F.col("stance").isNull() & F.col("function").isNull()).alias("abstained"),
@@ -169,12 +171,17 @@ def member_tallies(tally_rows: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def stance_counts(statements: DataFrame) -> DataFrame:
-    """Support and contradict counts per subject."""
-    return statements.groupBy("subject_id").agg(
-        F.count_if(F.col("stance") == "support").alias("support"),
-        F.count_if(F.col("stance") == "contradict").alias("contradict"),
-    )
+def stance_counts(statements: DataFrame, earlier: Column | None = None) -> DataFrame:
+    """Support and contradict counts per subject.
+
+    With ``earlier``, also of the statements it holds for, as ``support_then`` and
+    ``contradict_then``: two states from one reading.
+    """
+    sides = ("support", "contradict")
+    counts = [F.count_if(F.col("stance") == c).alias(c) for c in sides]
+    if earlier is not None:
+        counts += [F.count_if((F.col("stance") == c) & earlier).alias(f"{c}_then") for c in sides]
+    return statements.groupBy("subject_id").agg(*counts)
 
 
 # --- per-paper report -------------------------------------------------------------------

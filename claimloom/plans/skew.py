@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-def spread_nulls(key: Column, by: Column) -> Column:
-    """A join key whose nulls scatter over all partitions instead of meeting in one.
+#: Stand-ins of null keys; enough to reach every partition, and short, since they travel with the rows.
+_STAND_INS = 1 << 16
+
+
+def spread_nulls(key: Column, *by: Column) -> Column:
+    """A join key whose nulls scatter over all partitions, by the hash of ``by``, instead of meeting in one.
 
     The replacement starts with a NUL character, which no identifier contains, so a
-    former null never matches.
+    former null never matches. Columns that the join carries anyway make the cheapest ``by``.
     """
-    return F.coalesce(key, F.concat(F.lit("\u0000"), by.cast("string")))
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*by), F.lit(_STAND_INS)).cast("string")))
