@@ -85,9 +85,15 @@ def neighborhood_k2(t):
     return G.neighborhoods(_centers(t), _pairs(t), 2, _NEIGHBORHOOD)
 
 
+def _staged_pairs(t):
+    """The pairs of citing and cited works, made once for queries that read them several times."""
+    return stage(_pairs(t).select("citing_work_id", "cited_work_id"), "pairs")
+
+
 def neighborhood_edges(t):
-    nodes = G.neighborhoods(_centers(t), _pairs(t), 1, _NEIGHBORHOOD)
-    return G.neighborhood_edges(nodes, _pairs(t)).groupBy("center").agg(F.count("*").alias("edges"))
+    pairs = _staged_pairs(t)
+    nodes = G.neighborhoods(_centers(t), pairs, 1, _NEIGHBORHOOD)
+    return G.neighborhood_edges(nodes, pairs).groupBy("center").agg(F.count("*").alias("edges"))
 
 
 def _links(t):
@@ -139,10 +145,11 @@ _WORKS_PER_SEED = 2
 
 def _snowball(t):
     """From the retracted orders that nothing cites, in the order of their numbers."""
-    cited = _pairs(t).select(F.col("cited_work_id").alias("work_id"))
+    pairs = _staged_pairs(t)
+    cited = pairs.select(F.col("cited_work_id").alias("work_id"))
     roots = B.order_works(t).filter("is_retracted").join(cited, "work_id", "left_anti")
-    seeds = roots.select("work_id", F.substr("work_id", F.lit(2)).cast("long").alias("position"))
-    links = _pairs(t).select("citing_work_id", "cited_work_id", F.col("cited_work_id").alias("position"))
+    seeds = stage(roots.select("work_id", F.substr("work_id", F.lit(2)).cast("long").alias("position")), "seeds")
+    links = pairs.select("citing_work_id", "cited_work_id", F.col("cited_work_id").alias("position"))
     return G.snowball(seeds, links, _WORKS_PER_SEED * seeds.count())
 
 

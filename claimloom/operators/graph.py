@@ -81,11 +81,14 @@ def neighborhoods(
     At most ``max_nodes`` per center (or all), kept by (hop, id). A center has then visited fewer
     than ``max_nodes`` works, so the ``2 * max_nodes`` smallest neighbours of any work
     always contain every neighbour that can still be chosen: hubs shrink to that before
-    any join, with the same result.
+    any join, with the same result. A single hop reads the neighbours of the centers alone.
     """
     both = pairs.select(F.col("citing_work_id").alias("src"), F.col("cited_work_id").alias("dst")).unionByName(
         pairs.select(F.col("cited_work_id").alias("src"), F.col("citing_work_id").alias("dst"))
     )
+    if depth == 1:
+        starts = stage(centers.select(F.col("work_id").alias("src")).distinct(), "starts")  # its size lets Spark choose the join
+        both = both.join(starts, "src", "left_semi")
     both = both.distinct()
     if max_nodes is not None:
         smallest = Window.partitionBy("src").orderBy("dst")

@@ -40,6 +40,35 @@ def test_neighborhoods_match_brute_force(spark):
             assert got[c] == brute_neighborhood(c, edges, depth, cap), (c, depth, cap)
 
 
+def test_one_hop_stages_only_what_touches_the_centers(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(G, "stage", lambda df, label="stage": staged.append((label, df.count())) or df)
+    pairs = spark.createDataFrame([("a", "b"), ("c", "a"), ("c", "d"), ("e", "f")], "citing_work_id string, cited_work_id string")
+    got = G.neighborhoods(spark.createDataFrame([("a",), ("a",)], "work_id string"), pairs, 1, 5)
+    assert {(r.work_id, r.hop) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 1)}
+    assert dict(staged)["adjacency"] == 2
+
+
+def test_queries_that_read_pairs_often_make_them_once(spark, monkeypatch):
+    from claimloom.catalog import graphs as C
+
+    works = [("a", "v", True), ("b", "v", False), ("c", "w", False), ("O7", "w", True)]
+    edges = [("O7", "b", "extracted", None), ("b", "c", "extracted", True), ("a", "c", "bibliographic", False), ("O7", "a", "extracted", None)]
+    made = []
+
+    def pairs(t):
+        made.append(1)
+        return citation_pairs(spark.createDataFrame(edges, "citing_work_id string, cited_work_id string, source string, is_influential boolean"))
+
+    monkeypatch.setattr(C, "_pairs", pairs)
+    monkeypatch.setattr(C.B, "order_works", lambda t: spark.createDataFrame(works, "work_id string, venue string, is_retracted boolean"))
+    assert sorted((r.work_id, r.level) for r in C.snowball(None).collect()) == [("O7", 0), ("a", 1)]
+    assert len(made) == 1
+    # O7 is the first of its venue, so is a: both see a-O7, a-c, O7-b
+    assert sorted(tuple(r) for r in C.neighborhood_edges(None).collect()) == [("O7", 2), ("a", 2)]
+    assert len(made) == 2
+
+
 def test_paper_graph(spark, rows):
     works = spark.createDataFrame([("a", "B"), ("b", "A"), ("c", None)], "work_id string, title string")
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "b")], "citing_work_id string, cited_work_id string")
