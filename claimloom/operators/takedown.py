@@ -105,9 +105,10 @@ def create_store(spark: SparkSession, folder: str, tables: dict[str, DataFrame],
     for name, table in tables.items():
         marked = table.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in MARKS.split(", ") if c.split()[0] not in table.columns})
         spread = marked.withColumn("bucket", _bucket(dependents[name].key, buckets))
-        spread.repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/{name}/v0")
+        spread.write.partitionBy("bucket").parquet(f"{folder}/{name}/v0")  # each task a file a bucket: no exchange, no task with a whole bucket
+        written = spark.read.schema(spread.schema).parquet(f"{folder}/{name}/v0")
         spread.limit(0).drop("bucket").write.parquet(f"{folder}/{name}/empty")  # its columns, should it have no rows
-        rows += [(0, name, b, f"{folder}/{name}/v0/bucket={b}") for b in _values(spread, "bucket")] + [(0, name, -1, f"{folder}/{name}/empty")]
+        rows += [(0, name, b, f"{folder}/{name}/v0/bucket={b}") for b in _values(written, "bucket")] + [(0, name, -1, f"{folder}/{name}/empty")]
     _publish(spark, folder, rows)
 
 
@@ -141,7 +142,7 @@ def apply_takedowns(spark: SparkSession, folder: str, tombstones: DataFrame, dep
             path = f"{folder}/{name}/v{version + 1}"
             part = spark.read.schema(tables[name].schema).parquet(*(rows[name, b] for b in touched))
             blanked = blank_content(part, keys[name], d).withColumn("bucket", _bucket(d.key, buckets))
-            blanked.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            blanked.write.mode("overwrite").partitionBy("bucket").parquet(path)
             rows |= {(name, b): f"{path}/bucket={b}" for b in touched}
             changed = True
     if not changed:

@@ -208,6 +208,14 @@ def test_vacuum_leaves_no_word_on_disk(spark):
         assert "secret3'" not in repr(rest.collect())
 
 
+def test_no_task_writes_a_bucket_alone(spark, tmp_path):
+    rows = spark.range(60).selectExpr("concat('w', id) as work_id", "'t' as title").repartition(3)
+    one = {"works": T.Dependent("work_id", "work_id", "work", ("title",))}
+    T.create_store(spark, str(tmp_path / "store"), {"works": rows}, one, 2)
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "store" / "works" / "v0").glob("bucket=*")]
+    assert files == [3, 3] and T.read_table(spark, str(tmp_path / "store"), "works").distinct().count() == 60
+
+
 def test_an_empty_store(spark):
     folder = fresh_path(spark, "store")
     empty = {n: t.limit(0) for n, t in corpus(spark)[1].items()}
