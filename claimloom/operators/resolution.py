@@ -15,6 +15,7 @@ from ..functions.identifiers import (
     pmid_from_token,
 )
 from ..functions.values import integrity_flags, is_blank, names_of
+from ..plans.lineage import stage
 from ..plans.skew import spread_nulls
 
 #: Work column behind each kind of identifier.
@@ -369,10 +370,11 @@ def intake_members(identifiers: DataFrame, works: DataFrame, members: DataFrame)
 
 
 def remove_members(members: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(remaining, removed) members; unknown ids are ignored."""
+    """(remaining, removed) members; unknown ids are ignored. Members are made and matched once."""
     on = ["set_id", "work_id"]
-    wanted = removals.select(*on).distinct()
-    return members.join(wanted, on, "left_anti"), members.join(wanted, on, "left_semi")
+    wanted = removals.select(*on).distinct().withColumn("_gone", F.lit(True))
+    matched = stage(members.join(wanted, on, "left").select(*members.columns, F.col("_gone").isNotNull().alias("_gone")), "members")
+    return matched.filter("not _gone").drop("_gone"), matched.filter("_gone").drop("_gone")
 
 
 def stub_works(links: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:

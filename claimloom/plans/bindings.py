@@ -268,10 +268,9 @@ def set_members(t: Tables) -> DataFrame:
     """Per nation, the parts its suppliers delivered."""
     return (
         t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .selectExpr(
-            "'collection' as kind", "concat('S', s_nationkey) as set_id", "concat('P', l_partkey) as work_id"
-        )
-        .distinct()
+        .selectExpr("concat('S', s_nationkey) as set_id", "concat('P', l_partkey) as work_id")
+        .distinct()  # without the kind, so that joins on both ids find the rows where they are
+        .select(F.lit("collection").alias("kind"), "set_id", "work_id")
     )
 
 

@@ -93,6 +93,21 @@ def test_intake(spark, rows):
     assert remaining.count() == 0 and removed.count() == 1
 
 
+def test_members_are_made_once_for_both_parts(spark, rows):
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    given = spark.createDataFrame([("s", "x", 1), ("s", "x", 1), ("s", "y", 2), (None, "x", 3), ("s", None, 4)], "set_id string, work_id string, n int")
+    removals = spark.createDataFrame([("s", "x"), ("s", "x"), (None, "x"), ("s", None), ("t", "y")], "set_id string, work_id string")
+    remaining, removed = R.remove_members(given.mapInArrow(told, given.schema), removals)
+    assert rows(remaining, "n") == [(2,), (3,), (4,)] and rows(removed) == [("s", "x", 1)] * 2
+    assert made.value == 5 and remaining.columns == given.columns
+
+
 def test_release_diff(spark, rows):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "corpusid long, title string")
     updates = spark.createDataFrame([(2, "b1", 1), (2, "b2", 2), (4, "d", 1), (3, "c1", 1)], "corpusid long, title string, seq int")
