@@ -166,6 +166,14 @@ def test_reference_exports(spark):
     assert formats["a.ris"] == "ris" and formats["b.bib"] == "bibtex" and formats["d.csv"] == "csv"
 
 
+def test_export_counts_without_copies_of_every_entry(spark, capsys):
+    entries = [("a", "d1", "p1"), ("a", "d1", None), ("a", None, "p1"), ("a", None, None), ("a", None, None), ("a", "d2", "d1"), (None, "d1", None), ("", None, "7"), ("b", None, None)]
+    got = R.export_counts(spark.createDataFrame(entries, "file string, doi string, pmid string"))
+    assert {tuple(r) for r in got.collect()} == {("a", 6, 4, 2, 2), (None, 1, 1, 1, 0), ("", 1, 1, 0, 1), ("b", 1, 0, 0, 0)}
+    got.explain()
+    assert "Expand" not in capsys.readouterr().out
+
+
 def test_full_text_reader_details():
     from claimloom.sources.fulltext import flatten_document
 
