@@ -115,3 +115,25 @@ def test_cluster_conflict_and_corroboration(spark, rows):
         "stance", F.element_at(F.array(F.lit("support"), F.lit("unclear"), F.lit("contradict"), F.lit("neutral")), F.substring("interpretation_id", 2, 1).cast("int"))
     )
     assert rows(K.cluster_conflicts(members)) == [("x", 3, True), ("y", 1, False)]
+
+
+def test_relations_without_their_targets_need_no_exchange(spark, rows, capsys):
+    from types import SimpleNamespace
+
+    from claimloom.plans import bindings as B
+
+    columns = (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    )
+    line = lambda order, part: (order, part, 1, 1, 2.0, 3.0, 0.1, 0.05, "A", "F", None)
+    tables = SimpleNamespace(lineitem=spark.createDataFrame([line(2, 7), line(10, 7), line(3, None), line(4, 8), line(4, 8)], columns))
+    relations = B.line_relations(tables)
+    target = {"2": "I10", "10": "I10", "4": "I4"}  # the smallest as text
+    got = relations.selectExpr("substring(citing_work_id, 2) as o", "substring_index(target_interpretation_id, '-', 1) as target")
+    assert rows(got) == sorted(((o, target[o]) for o in ("2", "10", "4", "4")), key=repr)
+    unread = relations.select("citing_occurrence_id", "stance")
+    assert unread.count() == 4
+    unread.explain()
+    shown = capsys.readouterr().out
+    assert "Exchange" not in shown and "Join" not in shown
