@@ -145,8 +145,10 @@ def extraction_scores(t):
 
 
 def _gold_relations(t):
-    target = B.keyed_lines(t).groupBy("l_partkey").agg(F.min("k").alias("target_k"))
-    return B.keyed_lines(t).join(target, "l_partkey").selectExpr(
+    """Each line's part has one target, so Spark drops the left join where nobody reads it, as in ``line_relations``."""
+    lines = B.keyed_lines(t).filter("l_partkey is not null")
+    target = lines.groupBy("l_partkey").agg(F.min("k").alias("target_k"))
+    return lines.join(target, "l_partkey", "left").selectExpr(
         "concat('Q', k) as gold_id", "concat('10.5555/p', l_partkey) as cited_doi",
         "element_at(array('background', 'method', 'comparison', 'direct_evidence'), cast(l_linenumber % 4 as int) + 1) as function",
         "case when l_returnflag = 'A' then 'support' when l_tax > 0.03 then 'contradict' else 'unclear' end as stance",
@@ -173,24 +175,24 @@ def _assertions(t):
     )
 
 
-def _aligned(t):
-    return V.aligned_relations(_gold_relations(t), _alignment(t), _assertions(t))
+def _aligned(t, *fields):
+    return V.aligned_relations(_gold_relations(t), _alignment(t), _assertions(t), fields)
 
 
 def stance_classification(t):
-    return V.per_class_prf(V.relationship_pairs(_aligned(t), "stance"), STANCES)
+    return V.per_class_prf(V.relationship_pairs(_aligned(t, "stance"), "stance"), STANCES)
 
 
 def function_confusion(t):
-    return V.confusion_matrix(V.relationship_pairs(_aligned(t), "function"), FUNCTIONS)
+    return V.confusion_matrix(V.relationship_pairs(_aligned(t, "function"), "function"), FUNCTIONS)
 
 
 def scope_accuracy(t):
-    return V.scope_accuracy(_aligned(t))
+    return V.scope_accuracy(_aligned(t, "scope"))
 
 
 def target_retrieval(t):
-    return V.recall_at(V.target_ranks(_aligned(t), _alignment(t))).withColumns(
+    return V.recall_at(V.target_ranks(_aligned(t, "target_interpretation_id", "target_candidates"), _alignment(t))).withColumns(
         {c: F.bround(c, 6) for c in ("recall_at_1", "recall_at_3")}
     )
 
@@ -200,7 +202,7 @@ def link_precision(t):
 
 
 def stance_calibration(t):
-    scored = V.stance_confidences(_aligned(t)).withColumn("confidence", F.round("confidence", 3))
+    scored = V.stance_confidences(_aligned(t, "stance", "stance_distribution")).withColumn("confidence", F.round("confidence", 3))
     return V.calibration_bins(scored).withColumns({c: F.bround(c, 6) for c in ("mean_confidence", "accuracy")})
 
 

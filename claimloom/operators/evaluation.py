@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import strip
 from ..functions.lexicons import COVERAGES
 from ..functions.values import precision_recall_f1, ratio
+from ..plans.keys import digest
 from ..plans.ranking import with_global_position
 
 # --- metric primitives ------------------------------------------------------------------------
@@ -263,20 +264,26 @@ def extraction_scores(gold: DataFrame, predicted: DataFrame, alignment: DataFram
     )
 
 
-def aligned_relations(gold_relations: DataFrame, alignment: DataFrame, assertions: DataFrame) -> DataFrame:
+def aligned_relations(gold_relations: DataFrame, alignment: DataFrame, assertions: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Each gold relation of an aligned claim with the first assertion of the predicted
     occurrence for the same cited DOI.
 
     ``gold_relations(gold_id, cited_doi, function, stance, scope, resolution,
     target_gold_id)``, ``alignment(gold_id, pred_id, occurrence_id)``,
-    ``assertions(occurrence_id, cited_doi, assertion_id, ...)``.
+    ``assertions(occurrence_id, cited_doi, assertion_id, ...)``. ``fields`` names what of an
+    assertion is read later (``None``: all of it), for a first row is chosen with all it bears.
+    Ids meet by their digests, so an id that nobody reads moves no further.
     """
-    first = assertions.groupBy("occurrence_id", "cited_doi").agg(
-        F.min_by(
-            F.struct(*[F.col(c) for c in assertions.columns if c not in ("occurrence_id", "cited_doi")]), "assertion_id"
-        ).alias("a")
+    taken = [c for c in assertions.columns if c not in ("occurrence_id", "cited_doi") and (fields is None or c in fields)]
+    first = (
+        assertions.select(digest("occurrence_id").alias("_occurrence"), "cited_doi", F.col("assertion_id").alias("_order"), F.struct(*taken).alias("a"))
+        .groupBy("_occurrence", "cited_doi")
+        .agg(F.min_by("a", "_order").alias("a"))
     )
-    return gold_relations.join(alignment, "gold_id").join(first, ["occurrence_id", "cited_doi"], "left")
+    own = [c for c in gold_relations.columns if c not in ("gold_id", "cited_doi")]
+    aligned = alignment.select(digest("gold_id").alias("_gold"), *(F.col(c) for c in alignment.columns if c != "gold_id")).withColumn("_occurrence", digest("occurrence_id"))
+    found = gold_relations.withColumn("_gold", digest("gold_id")).join(aligned, "_gold").join(first, ["_occurrence", "cited_doi"], "left")
+    return found.select("occurrence_id", "cited_doi", "gold_id", *own, *(c for c in alignment.columns if c not in ("gold_id", "occurrence_id")), "a")
 
 
 def relationship_pairs(aligned: DataFrame, dimension: str) -> DataFrame:
@@ -302,20 +309,22 @@ def target_ranks(aligned: DataFrame, alignment: DataFrame) -> DataFrame:
     wanted = aligned.filter(
         (F.col("resolution") == "claim_resolved") & (F.col("target_gold_id") != "")
     )
-    target = alignment.select(F.col("gold_id").alias("target_gold_id"), F.col("pred_id").alias("_target"))
+    target = alignment.select(digest("gold_id").alias("_gold"), digest("pred_id").alias("_target"))
     listed = F.array_distinct(
         F.array_compact(
             F.concat(
-                F.array(F.col("a.target_interpretation_id")),
+                F.array(digest("a.target_interpretation_id")),
                 F.coalesce(
-                    F.transform(F.col("a.target_candidates"), lambda c: c["interpretation_id"]),
-                    F.array().cast("array<string>"),
+                    F.transform(F.col("a.target_candidates"), lambda c: digest(c["interpretation_id"])),
+                    F.array().cast("array<binary>"),
                 ),
             )
         )
     )
-    position = F.array_position(listed, F.col("_target"))
-    return wanted.join(target, "target_gold_id", "left").select(
+    # only digests move on
+    named = wanted.select("gold_id", "cited_doi", "target_gold_id", digest("target_gold_id").alias("_gold"), listed.alias("_listed"))
+    position = F.array_position("_listed", F.col("_target"))
+    return named.join(target, "_gold", "left").select(
         "gold_id", "cited_doi", "target_gold_id", F.when(position > 0, position).cast("int").alias("rank")
     )
 

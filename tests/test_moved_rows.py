@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import citations as C
 from claimloom.operators import claims as K
+from claimloom.operators import evaluation as V
 from claimloom.operators import graph as G
 from claimloom.operators import tracing as T
 from claimloom.plans.skew import spread_nulls
@@ -113,3 +114,23 @@ def test_edges_of_a_trace_are_made_once(spark, monkeypatch):
     traced = T.trace_paths(edges, table(spark, "start string", ("a",)), 3)
     assert made == ["edges", "hop", "hop", "hop"]
     assert sorted((r.hop, r.node, r.ends) for r in traced.collect()) == [(1, "b", None), (2, "c", None), (3, "w", "paper")]
+
+
+def test_assertions_bear_only_what_is_read(spark):
+    gold = spark.createDataFrame(
+        [("q1", "d1", "support", "i1"), ("q1", "d1", "support", "i1"), ("q2", "d2", "neutral", None), (None, "d1", "support", "i1"), ("q3", None, "support", "i3")],
+        "gold_id string, cited_doi string, stance string, target_gold_id string",
+    )
+    alignment = spark.createDataFrame([("q1", "p1", "c1"), ("q1", "p9", "c1"), ("q2", "p2", None), (None, "p3", "c1"), ("q3", "p3", "c3")], "gold_id string, pred_id string, occurrence_id string")
+    assertions = spark.createDataFrame(
+        [("c1", "d1", "r2", "neutral", "t2"), ("c1", "d1", "r1", "support", "t1"), ("c1", "d1", None, "unclear", "t0"), (None, "d2", "r4", "neutral", "t4"), ("c3", None, "r5", "support", "t5")],
+        "occurrence_id string, cited_doi string, assertion_id string, stance string, target_interpretation_id string",
+    )
+    first = assertions.groupBy("occurrence_id", "cited_doi").agg(F.min_by(F.struct("stance"), "assertion_id").alias("a"))
+    want = gold.join(alignment, "gold_id").join(first, ["occurrence_id", "cited_doi"], "left")
+    got = V.aligned_relations(gold, alignment, assertions, ("stance",))
+    assert got.columns == want.columns
+    assert Counter(map(str, got.collect())) == Counter(map(str, want.collect())) and got.count() == 6
+    whole = V.aligned_relations(gold, alignment, assertions).select("a.*")
+    assert whole.columns == ["assertion_id", "stance", "target_interpretation_id"]
+    assert got.schema["a"].dataType.names == ["stance"]
