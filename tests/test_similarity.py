@@ -192,3 +192,12 @@ def test_nearest_against_all_pairs(spark, monkeypatch, block, query_bytes):
     assert found == brute_nearest(queries, rows, 6)
     assert V.embedding_top_k(frame.limit(0).withColumnRenamed("match_id", "query_id"), frame, 3).collect() == []
     assert V.embedding_top_k(frame.withColumnRenamed("match_id", "query_id"), frame.limit(0), 3).collect() == []
+
+
+def test_tokens_travel_as_numbers_in_order_of_frequency(spark):
+    classes = spark.createDataFrame([("a", ["zz", "b", "c"]), ("b", ["b", "c"]), ("c", ["c", "yy"])], "class_id string, tokens array<string>")
+    ordered = S._rarest_first(classes)
+    # yy and zz are of one class each, then b, then c
+    assert ordered.schema["tokens"].dataType.simpleString() == "array<int>"
+    assert {r.class_id: r.tokens for r in ordered.collect()} == {"a": [0, 1, 2], "b": [1, 2], "c": [-1, 2]}
+    assert {(r.class_id, r.scope, r.place) for r in S._prefixes(ordered, 0.4).collect()} == {("a", 1, 2), ("b", 1, 1), ("b", 2, 2), ("c", 2, 2)}
