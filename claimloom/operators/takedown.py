@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import stage
+from ..plans.keys import possibly_in
+from ..plans.lineage import COMPRESSION, stage
 
 _MANIFEST = "version long, table string, bucket int, path string"
 #: Columns every stored table has beside its own.
@@ -50,11 +51,12 @@ def touched_keys(takedowns: DataFrame, tables: dict[str, DataFrame], dependents:
     Follows the chain of tables from the removed works down, so only few rows join at each step. A
     row that hangs on several removed works bears the smallest tombstone_id.
     """
-    known = {"work": takedowns.withColumnRenamed("work_id", "_parent")}
+    known = {"work": stage(takedowns.withColumnRenamed("work_id", "_parent"), "takedown")}
     out: dict[str, DataFrame] = {}
     for name, d in dependents.items():
         rows = tables[name].select(F.col(d.key).alias("_key"), F.col(d.parent).alias("_parent"))
-        hit = rows.join(known[d.of], "_parent").groupBy("_key").agg(F.min(F.struct("tombstone_id", "removed_reason")).alias("mark"))
+        near = possibly_in(rows, "_parent", known[d.of].select("_parent")).filter("_possible").drop("_possible")
+        hit = near.join(known[d.of], "_parent").groupBy("_key").agg(F.min(F.struct("tombstone_id", "removed_reason")).alias("mark"))
         out[name] = stage(hit.select("_key", "mark.*"), "takedown")
         known[name] = out[name].withColumnRenamed("_key", "_parent")
     return out
@@ -63,12 +65,15 @@ def touched_keys(takedowns: DataFrame, tables: dict[str, DataFrame], dependents:
 def blank_content(table: DataFrame, keys: DataFrame, dependent: Dependent) -> DataFrame:
     """The rows of ``table``, with the content of those in ``keys`` null and their tombstone beside it.
 
-    Content that an earlier takedown has blanked stays blank, and its tombstone stays.
+    Content that an earlier takedown has blanked stays blank, and its tombstone stays. Rows that a filter
+    of the keys rules out stay where they are; only the others are exchanged.
     """
     had = {c.split()[0]: c.split()[1] for c in MARKS.split(", ")}
     rows = table.withColumns({c: F.lit(None).cast(kind) for c, kind in had.items() if c not in table.columns})
     new = keys.select(F.col("_key").alias(dependent.key), F.col("tombstone_id").alias("_new_id"), F.col("removed_reason").alias("_new_reason"))
-    joined = rows.join(new, dependent.key, "left")
+    near = possibly_in(rows, dependent.key, keys.select("_key"))
+    rest = near.filter("not _possible").withColumns({c: F.lit(None).cast("string") for c in ("_new_id", "_new_reason")})
+    joined = near.filter("_possible").join(new, dependent.key, "left").unionByName(rest)
     gone = F.col("tombstone_id").isNotNull() | F.col("_new_id").isNotNull()
     kept = {c: F.when(~gone, F.col(c)) for c in dependent.content}
     first = F.col("tombstone_id").isNull()
@@ -105,7 +110,7 @@ def create_store(spark: SparkSession, folder: str, tables: dict[str, DataFrame],
     for name, table in tables.items():
         marked = table.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in MARKS.split(", ") if c.split()[0] not in table.columns})
         spread = marked.withColumn("bucket", _bucket(dependents[name].key, buckets))
-        spread.write.partitionBy("bucket").parquet(f"{folder}/{name}/v0")  # each task a file a bucket: no exchange, no task with a whole bucket
+        spread.write.option("compression", COMPRESSION).partitionBy("bucket").parquet(f"{folder}/{name}/v0")  # each task a file a bucket: no exchange, no task with a whole bucket
         written = spark.read.schema(spread.schema).parquet(f"{folder}/{name}/v0")
         spread.limit(0).drop("bucket").write.parquet(f"{folder}/{name}/empty")  # its columns, should it have no rows
         rows += [(0, name, b, f"{folder}/{name}/v0/bucket={b}") for b in _values(written, "bucket")] + [(0, name, -1, f"{folder}/{name}/empty")]
@@ -136,13 +141,14 @@ def apply_takedowns(spark: SparkSession, folder: str, tombstones: DataFrame, dep
     version, rows = current_version(spark, folder), {(name, b): path for name, b, path in entries}
     changed = False
     for name, d in dependents.items():
-        still = tables[name].filter("tombstone_id is null").select(F.col(d.key).alias("_key")).join(keys[name], "_key", "left_semi")
+        own = possibly_in(tables[name].filter("tombstone_id is null").select(F.col(d.key).alias("_key")), "_key", keys[name].select("_key"))
+        still = own.filter("_possible").join(keys[name], "_key", "left_semi")
         touched = _values(still.withColumn("bucket", _bucket("_key", buckets)), "bucket")
         if touched:  # one job for all of them
             path = f"{folder}/{name}/v{version + 1}"
             part = spark.read.schema(tables[name].schema).parquet(*(rows[name, b] for b in touched))
             blanked = blank_content(part, keys[name], d).withColumn("bucket", _bucket(d.key, buckets))
-            blanked.write.mode("overwrite").partitionBy("bucket").parquet(path)
+            blanked.write.mode("overwrite").option("compression", COMPRESSION).partitionBy("bucket").parquet(path)
             rows |= {(name, b): f"{path}/bucket={b}" for b in touched}
             changed = True
     if not changed:

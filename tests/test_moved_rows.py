@@ -11,7 +11,9 @@ from claimloom.operators import citations as C
 from claimloom.operators import claims as K
 from claimloom.operators import evaluation as V
 from claimloom.operators import graph as G
+from claimloom.operators import takedown as D
 from claimloom.operators import tracing as T
+from claimloom.plans.keys import digest, possibly_in
 from claimloom.plans.skew import spread_nulls
 
 
@@ -134,3 +136,63 @@ def test_assertions_bear_only_what_is_read(spark):
     whole = V.aligned_relations(gold, alignment, assertions).select("a.*")
     assert whole.columns == ["assertion_id", "stance", "target_interpretation_id"]
     assert got.schema["a"].dataType.names == ["stance"]
+
+
+def test_filter_of_keys_loses_none_and_lets_few_through(spark):
+    rows = spark.range(4000).selectExpr("if(id % 100 = 99, null, concat('key-', id)) as k", "id")
+    wanted = spark.range(0, 4000, 40).selectExpr("concat('key-', id) as w").unionByName(spark.sql("select cast(null as string) as w"))
+    marked = possibly_in(rows, "k", wanted)
+    assert marked.columns == ["k", "id", "_possible"] and marked.count() == 4000
+    through = {r.k for r in marked.filter("_possible").collect()}
+    assert {f"key-{i}" for i in range(0, 4000, 40)} <= through and None not in through and len(through) < 400
+    assert not possibly_in(rows, "k", wanted.limit(0)).filter("_possible").count()
+
+
+def test_digests_are_short_and_keep_nulls(spark):
+    out = spark.sql("select explode(array('a', 'b', 'a', null)) as k").select("k", digest("k").alias("d")).collect()
+    assert [r.d is None for r in out] == [False, False, False, True] and len({bytes(r.d) for r in out[:3]}) == 2 and len(out[0].d) == 12
+
+
+def test_rows_without_takedown_stay_where_they_are(spark, moved):
+    columns = "id string, text string, tombstone_id string, removed_reason string"
+    table_ = spark.createDataFrame([(f"i{n}", "text", None, None) for n in range(500)] + [(None, "text", None, None), ("old", None, "t0", "why")], columns)
+    keys = spark.createDataFrame([("i1", "t1", "gone"), ("old", "t2", "gone")], "_key string, tombstone_id string, removed_reason string")
+    out = D.blank_content(table_, keys, D.Dependent("id", "id", "work", ("text",)))
+    assert out.count() == 502 and out.filter("text is not null").count() == 500
+    assert sorted(tuple(r) for r in out.filter("tombstone_id is not null").collect()) == [("i1", None, "t1", "gone"), ("old", None, "t0", "why")]
+    assert moved(out, "id") and "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_and_candidates_move_digests(spark):
+    from claimloom.catalog import claims, monitors
+    from claimloom.plans.bindings import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = claims.claim_scores(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") >= 6
+    found = monitors._candidates(t)
+    assert "evidence_passage_id" not in found.columns and "claim_occurrence_id" not in found.columns
+
+
+def test_exports_are_read_by_every_core(spark):
+    from claimloom.catalog.sources import _exports
+    from claimloom.plans.bindings import Tables
+
+    plan = _exports(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_a_hop_exchanges_only_edges_of_its_nodes(spark, monkeypatch):
+    seen = []
+
+    def watched(rows, key, wanted, *more):
+        out = possibly_in(rows, key, wanted, *more)
+        seen.append((rows.count(), out.filter("_possible").count()))
+        return out
+
+    monkeypatch.setattr(T, "possibly_in", watched)
+    rows = [(f"r{i}", f"n{i}", f"n{i + 1}", "w", 1.0, 1.0, True, "e") for i in range(300)]
+    edges = spark.createDataFrame(rows, "assertion_id string, source string, target string, work_id string, link_score double, stance_score double, accepted boolean, evidence string")
+    got = T.trace_paths(edges, spark.createDataFrame([("n0",)], "start string"), 3)
+    assert sorted((r.hop, r.node) for r in got.collect()) == [(1, "n1"), (2, "n2"), (3, "n3")]
+    assert len(seen) == 3 and all(n == 300 and 1 <= few < 30 for n, few in seen)
